@@ -104,3 +104,17 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
                 (row[s] for s in ("whole", "real", "text") if row[s] is not None), None
             )
     return result
+
+
+def bounded_distinct(df: DataFrame, columns: Sequence[str], bound: int) -> dict[str, int | None]:
+    """Exact distinct counts up to ``bound``; None for a column with more.
+
+    A sketch first rules out columns far beyond the bound, so only the values of
+    low-cardinality columns are ever shuffled.
+    """
+    if not columns:
+        return {}
+    estimates = {r["column"]: r["unique_count"] for r in distinct_counts(df, columns, True).collect()}
+    near = [c for c in columns if estimates[c] <= 10 * bound + 100]
+    exact = {r["column"]: r["unique_count"] for r in distinct_counts(df, near).collect()} if near else {}
+    return {c: exact[c] if c in exact and exact[c] <= bound else None for c in columns}
