@@ -150,7 +150,7 @@ def feature_correlations(
                 rows.append((c, n, None, None, None))
             else:
                 p = correlation_p_value(r, n)
-                rows.append((c, n, round(r, digits), round(p, digits), p < limits.alpha))
+                rows.append((c, n, round(r, digits) + 0.0, round(p, digits), p < limits.alpha))
     rows.sort(key=lambda r: (-(abs(r[2]) if r[2] is not None else -1.0), r[0]))
     return spark.createDataFrame(rows, schema)
 
