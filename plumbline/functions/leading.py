@@ -29,15 +29,20 @@ class Leading:
     samples: list[str] = field(default_factory=list)
 
 
-def _summary(present: Column, order: Column, text: Column, is_text: Column, keep: int) -> Column:
-    """Counts and the first ``keep`` texts of a group of at most ``limit`` rows."""
-    entry = F.when(present, F.struct(order.alias("order"), text.alias("text")))
-    return F.struct(
-        F.count_if(present).alias("count"),
-        F.count_if(present & is_text & parse_number(text).isNotNull()).alias("numbers"),
-        F.count_if(present & is_text & parse_timestamp(text).isNotNull()).alias("dates"),
-        F.slice(F.array_sort(F.collect_list(entry)), 1, keep)["text"].alias("samples"),
+def _summaries(entries: DataFrame, keep: int) -> dict[str, Leading]:
+    """Summary per column of ``(column, is_text, order, text)``, at most ``limit`` rows each."""
+    text = F.when(F.col("is_text"), F.col("text"))
+    in_order = F.array_sort(F.collect_list(F.struct("order", "text")))
+    grouped = entries.groupBy("column").agg(
+        F.count("*").alias("count"),
+        F.count(parse_number(text)).alias("numbers"),
+        F.count(parse_timestamp(text)).alias("dates"),
+        F.slice(in_order, 1, keep)["text"].alias("samples"),
     )
+    return {
+        r["column"]: Leading(r["count"], r["numbers"], r["dates"], list(r["samples"]))
+        for r in grouped.collect()
+    }
 
 
 def leading_values(
@@ -47,56 +52,42 @@ def leading_values(
     limit: int = 100,
     keep: int = 5,
 ) -> dict[str, Leading]:
-    """Summary of the first ``limit`` non-null values (strings) or ``keep`` values (others)."""
+    """Summary of the first ``limit`` non-null values (text) or ``keep`` values (others)."""
     columns = list(columns if columns is not None else df.columns)
     if not columns:
         return {}
     types = types_of(df)
-    need = {c: limit if is_string(types[c]) else keep for c in columns}
+    texts = {c: is_string(types[c]) for c in columns}
     order = F.struct(*[ref(k) for k in order_by])
 
-    prefix = df.orderBy(*[ref(k) for k in order_by]).limit(limit).select(
-        order.alias("_order"),
-        *[_present(c, types).alias(f"v{i}") for i, c in enumerate(columns)],
+    cells = [F.lit(len(columns))]
+    for i, c in enumerate(columns):
+        cells += [F.lit(c), F.lit(texts[c]), F.col(f"v{i}")]
+    prefix = (
+        df.orderBy(*[ref(k) for k in order_by])
+        .limit(limit)
+        .select(order.alias("order"), *[_present(c, types).alias(f"v{i}") for i, c in enumerate(columns)])
     )
-    row = prefix.agg(
-        F.count("*").alias("rows"),
-        *[
-            _summary(
-                F.col(f"v{i}").isNotNull(),
-                F.col("_order"),
-                F.col(f"v{i}"),
-                F.lit(is_string(types[c])),
-                keep,
-            ).alias(f"s{i}")
-            for i, c in enumerate(columns)
-        ],
-    ).first()
-    found = {c: _leading(row[f"s{i}"]) for i, c in enumerate(columns)}
-    if row["rows"] < limit:
-        return found
+    entries = prefix.select("order", F.stack(*cells).alias("column", "is_text", "text"))
+    found = {c: Leading() for c in columns}
+    found |= _summaries(entries.filter(F.col("text").isNotNull()), keep)
 
+    need = {c: limit if texts[c] else keep for c in columns}
     sparse = [c for c in columns if found[c].count < need[c]]
-    if sparse:
+    if sparse and len(df.select(order).limit(limit).take(limit)) == limit:
         parts = [
             df.select(
                 F.lit(c).alias("column"),
-                F.lit(is_string(types[c])).alias("is_text"),
-                order.alias("_order"),
+                F.lit(texts[c]).alias("is_text"),
+                order.alias("order"),
                 _present(c, types).alias("text"),
             )
             .filter(F.col("text").isNotNull())
-            .orderBy("_order")
+            .orderBy("order")
             .limit(need[c])
             for c in sparse
         ]
-        grouped = reduce(DataFrame.unionByName, parts).groupBy("column").agg(
-            _summary(
-                F.col("text").isNotNull(), F.col("_order"), F.col("text"), F.col("is_text"), keep
-            ).alias("s")
-        )
-        found.update({c: Leading() for c in sparse})
-        found.update({r["column"]: _leading(r["s"]) for r in grouped.collect()})
+        found |= _summaries(reduce(DataFrame.unionByName, parts), keep)
     return found
 
 
@@ -106,6 +97,3 @@ def _present(name: str, types: dict) -> Column:
         value = F.when(~F.isnan(value), value)
     return value.cast("string")
 
-
-def _leading(row) -> Leading:
-    return Leading(row["count"], row["numbers"], row["dates"], list(row["samples"]))

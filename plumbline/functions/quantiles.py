@@ -156,8 +156,8 @@ def _propose(
 
 def _select(work: DataFrame, targets: list[_Target]) -> dict[tuple[str, float], float]:
     """Read the two neighbouring order statistics of each target and interpolate."""
-    solved: dict[tuple[str, float], float] = {}
-    for group in batches(targets, WIDE_AGG_COLUMNS // 3):
+    solved = {(t.column, t.prob): t.low for t in targets if t.low == t.high}
+    for group in batches([t for t in targets if t.low < t.high], WIDE_AGG_COLUMNS // 3):
         aggs = []
         for i, t in enumerate(group):
             for end, rank in (("lo", t.first), ("hi", t.last)):
@@ -169,7 +169,7 @@ def _select(work: DataFrame, targets: list[_Target]) -> dict[tuple[str, float],
                 )
         narrowed = work.select(
             *[F.when(t.within(), F.col(t.column)).alias(f"v{i}") for i, t in enumerate(group)]
-        )
+        ).filter(F.coalesce(*[f"v{i}" for i in range(len(group))]).isNotNull())
         row = narrowed.agg(*aggs).first()
         for i, t in enumerate(group):
             low, high = row[f"lo{i}"], row[f"hi{i}"]

@@ -13,6 +13,8 @@ from ..functions.columns import as_double, batches, numeric_columns, ref, types_
 from ..functions.counts import top_values, value_frequencies
 from .profile import Profile, fences, null_mask, outside
 
+PAIRS_PER_PASS = 200
+
 
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, int]]:
     found = {}
@@ -109,7 +111,7 @@ def correlation_matrix(
         return df.sparkSession.createDataFrame([], schema)
     rows = []
     pairs = [*combinations(columns, 2), *[(c, c) for c in columns]]
-    for group in batches(pairs, WIDE_AGG_COLUMNS):
+    for group in batches(pairs, PAIRS_PER_PASS):
         row = df.agg(
             *[F.corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(group)]
         ).first()

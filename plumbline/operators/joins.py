@@ -18,12 +18,14 @@ def attach(df: DataFrame, key: str, lookup: DataFrame, name: str, sizes: DataFra
     broadcast. A larger one is shuffled, except for its heaviest keys: those rows
     stay where they are and meet a broadcast of at most ``HOT_KEYS`` rows.
     """
-    small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     right = lookup.select(ref(key).alias("_key"), ref(name).alias(name))
     out = [ref(c) for c in [*df.columns, name]]
     on = ref(key) == F.col("_key")
-    if small:
-        return df.join(F.broadcast(right), on, "left").select(*out)
+    found = right.limit(BROADCAST_ROWS + 1).collect()
+    if len(found) <= BROADCAST_ROWS:
+        # Computed once and of known size.
+        small = df.sparkSession.createDataFrame(found, right.schema)
+        return df.join(F.broadcast(small), on, "left").select(*out)
     heaviest = sizes.filter(ref(key).isNotNull()).orderBy(F.desc("count"), ref(key)).limit(HOT_KEYS)
     hot = [r[0] for r in heaviest.select(ref(key)).collect()]
     is_hot = F.coalesce(ref(key).isin(hot), F.lit(False))

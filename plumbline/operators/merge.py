@@ -58,7 +58,10 @@ def profile_states(
 
 
 def merge_states(states: DataFrame, limits: Thresholds = DEFAULTS, digits: int = 4) -> DataFrame:
-    """One profile row per column from the states of all chunks."""
+    """One profile row per column from the states of all chunks.
+
+    ``states`` is read twice and should be a stored table.
+    """
     pooled = states.groupBy("column").agg(
         (F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("_mean")
     )

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,12 +26,11 @@ FLAT_LOOKUP = 32
 
 
 def _key(names: Sequence[str]) -> Column:
-    return F.struct(*[ref(n) for n in names])
+    return F.struct(*[ref(n).alias(f"k{i}") for i, n in enumerate(names)])
 
 
-def _boundaries(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[Column]:
+def _boundaries(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[tuple]:
     """Boundary keys from a bounded sample; they only balance ranges, any choice is correct."""
-    types = types_of(df)
     share = min(1.0, SAMPLES_PER_RANGE * ranges / rows)
     sample = (
         df.select(*[ref(k) for k in keys])
@@ -38,26 +39,23 @@ def _boundaries(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> l
         .collect()
     )
     picks = sorted({len(sample) * i // ranges for i in range(1, ranges)} - {0})
-    return [
-        F.struct(*[F.lit(sample[p][j]).cast(types[k]).alias(f"k{j}") for j, k in enumerate(keys)])
-        for p in picks
-        if p < len(sample)
-    ]
+    return [tuple(sample[p]) for p in picks if p < len(sample)]
 
 
 def _locate(key: Column, bounds: list[Column]) -> Column:
     """Number of boundaries at or below the key; two short lookups instead of a long one."""
 
-    def reached(edges: Column) -> Column:
-        return F.size(F.filter(edges, lambda b: b <= key))
+    def compare(edges: list[Column]) -> Column:
+        return reduce(add, [(key >= b).cast("int") for b in edges])
 
     if len(bounds) <= FLAT_LOOKUP:
-        return reached(F.array(*bounds))
+        return compare(bounds)
     width = math.ceil(math.sqrt(len(bounds)))
     runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    run = reached(F.array(*[r[0] for r in runs]))
+    run = compare([r[0] for r in runs])
     members = F.element_at(F.array(*[F.array(*r) for r in runs]), run)
-    return F.when(run == 0, 0).otherwise((run - 1) * width + reached(members))
+    within = F.size(F.filter(members, lambda b: b <= key))
+    return F.when(run == 0, 0).otherwise((run - 1) * width + within)
 
 
 class Ranges:
@@ -71,66 +69,72 @@ class Ranges:
         rows_per_range: int = ROWS_PER_RANGE,
         rows: int | None = None,
     ):
-        self.source = df
         self.order_by, self.partition_by = list(order_by), list(partition_by)
         keys = self.partition_by + self.order_by
+        types = types_of(df)
         rows = df.count() if rows is None else rows
         wanted = min(MAX_RANGES, math.ceil(rows / rows_per_range)) if rows else 1
         self.bucket = fresh(df, "_range")
-        bounds = _boundaries(df, keys, wanted, rows) if wanted > 1 else []
-        self.single = not bounds
-        located = _locate(
-            F.struct(*[ref(k).alias(f"k{j}") for j, k in enumerate(keys)]), bounds
-        ) if bounds else F.lit(0)
+        self.bounds = _boundaries(df, keys, wanted, rows) if wanted > 1 else []
+        self.single = not self.bounds
+        located = F.lit(0)
+        if self.bounds:
+            edges = [
+                F.struct(
+                    *[F.lit(v).cast(types[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, b))]
+                )
+                for b in self.bounds
+            ]
+            located = _locate(_key(keys), edges)
         self.df = df.withColumn(self.bucket, located)
+        self.group_types = [types[k].simpleString() for k in self.partition_by]
 
     def window(self, *extra: str) -> W:
         parts = [ref(c) for c in (self.bucket, *self.partition_by, *extra)]
         return W.partitionBy(*parts).orderBy(*[ref(k) for k in self.order_by])
 
-    def group(self) -> Column:
-        return _key(self.partition_by) if self.partition_by else F.lit(0)
-
     def order(self) -> Column:
         return _key(self.order_by)
 
-    def with_carry(
-        self,
-        df: DataFrame,
-        aggs: dict[str, Column],
-        combine: dict[str, object],
-        group: Column | None = None,
-    ) -> DataFrame:
+    def _edges(self) -> DataFrame:
+        """``(_range, _group)``: each range but the first, with the group it begins in.
+
+        Only that group can have rows in the ranges before. At most MAX_RANGES rows.
+        """
+        spark = self.df.sparkSession
+        width = len(self.partition_by)
+        rows = [(i + 1, *b[:width]) for i, b in enumerate(self.bounds)]
+        names = [f"k{i}" for i in range(width)]
+        fields = ", ".join(["_edge int", *[f"{n} {t}" for n, t in zip(names, self.group_types)]])
+        group = F.struct(*names) if width else F.struct(F.lit(0).alias("k0"))
+        return spark.createDataFrame(rows, fields).select("_edge", group.alias("_begins"))
+
+    def with_carry(self, df: DataFrame, aggs: dict[str, Column], combine: dict[str, object]) -> DataFrame:
         """Add columns that summarise the same group's rows in all earlier ranges.
 
-        ``aggs`` summarise one range's rows of its last group, which is the only group
-        that can go on in the next range; ``combine`` folds those summaries over the
-        earlier ranges. Rows of other groups get NULL.
+        ``aggs`` summarise, per range, the rows of the group the next range begins in;
+        ``combine`` folds those summaries over the earlier ranges. Rows of other groups
+        get NULL, as nothing of theirs lies before their range.
         """
-        group = self.group() if group is None else group
         if self.single:
             types = df.agg(*[a.alias(n) for n, a in aggs.items()]).schema
             return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in types.fields})
-        tagged = df.withColumn("_group", group)
-        last = tagged.groupBy(self.bucket).agg(F.max("_group").alias("_last"))
-        # Bounded: one row per range.
-        ends = tagged.join(F.broadcast(last), self.bucket).filter(F.col("_group") == F.col("_last"))
-        summary = ends.groupBy(self.bucket, "_last").agg(*[a.alias(n) for n, a in aggs.items()])
-        upto = (
-            W.partitionBy("_last").orderBy(self.bucket).rowsBetween(W.unboundedPreceding, W.currentRow)
-        )
-        before = W.orderBy(self.bucket)  # over one row per range
-        folded = summary.select(
-            self.bucket, "_last", *[combine[n](F.col(n)).over(upto).alias(n) for n in aggs]
+        edges = self._edges()
+        group = _key(self.partition_by) if self.partition_by else F.struct(F.lit(0).alias("k0"))
+        # Broadcasts here have at most MAX_RANGES rows.
+        ends = df.join(F.broadcast(edges), ref(self.bucket) + 1 == F.col("_edge"))
+        summary = (
+            ends.filter(group.eqNullSafe(F.col("_begins")))
+            .groupBy("_edge")
+            .agg(*[a.alias(n) for n, a in aggs.items()])
         )
-        carry = folded.select(
-            self.bucket,
-            F.lag("_last").over(before).alias("_from"),
-            *[F.lag(n).over(before).alias(n) for n in aggs],
+        upto = W.partitionBy("_begins").orderBy("_edge").rowsBetween(W.unboundedPreceding, W.currentRow)
+        carry = edges.join(summary, "_edge", "left").select(
+            "_edge", "_begins", *[combine[n](F.col(n)).over(upto).alias(n) for n in aggs]
         )
-        joined = tagged.join(F.broadcast(carry), self.bucket, "left")
-        same = F.col("_group").eqNullSafe(F.col("_from"))
-        return joined.withColumns({n: F.when(same, F.col(n)) for n in aggs}).drop("_group", "_from")
+        joined = df.join(F.broadcast(carry), ref(self.bucket) == F.col("_edge"), "left")
+        same = group.eqNullSafe(F.col("_begins"))
+        return joined.withColumns({n: F.when(same, F.col(n)) for n in aggs}).drop("_edge", "_begins")
 
 
 def forward_fill(

@@ -23,6 +23,7 @@ from ..functions.leading import Leading, leading_values
 from ..functions.parsing import parse_number, parse_timestamp
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import adjusted_skew, label_of_skew, skew_label
+from .rows import count_duplicates
 
 PROFILE_SCHEMA = (
     "column string, dtype string, type_category string, null_count bigint, null_percent double, "
@@ -94,11 +95,8 @@ def table_profile(df: DataFrame, approx: bool = False) -> DataFrame:
         ).select(
             "rows", width, F.greatest(F.col("rows") - F.col("_distinct"), F.lit(0)).alias("duplicate_rows")
         )
-    copies = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias("_copies"))
-    return copies.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).cast("bigint").alias("rows"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
-    ).select("rows", width, "duplicate_rows")
+    copies = F.lit(count_duplicates(df)).cast("bigint").alias("duplicate_rows")
+    return df.agg(F.count("*").alias("rows")).select("rows", width, copies)
 
 
 def null_profile(df: DataFrame, digits: int = 2) -> DataFrame:
@@ -270,7 +268,10 @@ def profile(
 
     duplicate_rows = None
     if duplicates:
-        duplicate_rows = table_profile(df, approx).first()["duplicate_rows"]
+        if approx:
+            duplicate_rows = table_profile(df, approx).first()["duplicate_rows"]
+        else:
+            duplicate_rows = count_duplicates(df)
 
     columns = {}
     for c in df.columns:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -27,20 +28,21 @@ def chunks(
     last one may repeat nothing but overlap. Empty texts give no rows.
     """
     step = limits.chunk_size - limits.chunk_overlap
-    length = F.length(ref(text))
+    # Cut once into pieces of one step, then complete each with the pieces after it:
+    # taking substrings from the start of a long text again and again is quadratic.
+    more = math.ceil(limits.chunk_overlap / step)
+    pieces = F.regexp_extract_all(ref(text), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    whole = F.transform(
+        F.col("_pieces"),
+        lambda _, i: F.substring(
+            F.array_join(F.slice("_pieces", i + 1, more + 1), ""), 1, limits.chunk_size
+        ),
+    )
     return (
-        docs.filter(length > 0)
-        .select(
-            *[ref(c) for c in keep],
-            ref(text).alias("_text"),
-            F.posexplode(F.sequence(F.lit(0), length - 1, F.lit(step))).alias("chunk_id", "start"),
-        )
-        .select(
-            *[ref(c) for c in keep],
-            "chunk_id",
-            "start",
-            F.substring("_text", F.col("start") + 1, F.lit(limits.chunk_size)).alias("text"),
-        )
+        docs.filter(F.length(ref(text)) > 0)
+        .select(*[ref(c) for c in keep], pieces.alias("_pieces"))
+        .select(*[ref(c) for c in keep], F.posexplode(whole).alias("chunk_id", "text"))
+        .select(*[ref(c) for c in keep], "chunk_id", (F.col("chunk_id") * step).alias("start"), "text")
     )
 
 

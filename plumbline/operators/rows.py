@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..config import BROADCAST_ROWS
+from ..functions.columns import ref, types_of
 
 
 def standard_names(names: Sequence[str]) -> list[str]:
@@ -28,6 +33,62 @@ def standardize_names(df: DataFrame) -> DataFrame:
     return df.toDF(*standard_names(df.columns))
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one copy of each row; NULL equals NULL."""
-    return df.dropDuplicates() if df.columns else df
+HASH, COPIES = "_row_hash", "_copies"
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of the whole row; equal rows have equal hashes."""
+    parts = []
+    for name, dtype in types_of(df).items():
+        value = ref(name)
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0)  # -0.0 equals 0.0
+        parts.append(value)
+    return F.xxhash64(*parts)
+
+
+def repeated_hashes(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The hashes that occur more than once, or None if there are more than ``limit``.
+
+    Only hashes are shuffled. Rows with another hash have no copy for certain, so whole
+    rows need comparing among the repeated hashes alone.
+    """
+    counts = df.groupBy(row_hash(df).alias(HASH)).agg(F.count("*").alias(COPIES))
+    found = counts.filter(F.col(COPIES) > 1).select(HASH).limit(limit + 1).collect()
+    if len(found) > limit:
+        return None
+    return df.sparkSession.createDataFrame(found, f"{HASH} bigint")
+
+
+def count_duplicates(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
+    """Copies beyond the first of each row; exact."""
+    repeated = repeated_hashes(df, limit)
+    if repeated is None:
+        suspects = df
+    elif repeated.isEmpty():
+        return 0
+    else:
+        known = F.broadcast(repeated)
+        suspects = df.withColumn(HASH, row_hash(df)).join(known, HASH, "left_semi")
+    groups = suspects.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias(COPIES))
+    return groups.agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0))).first()[0]
+
+
+def drop_duplicates(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Keep one copy of each row; NULL equals NULL.
+
+    Rows whose hash occurs once stay where they are; only the others are shuffled.
+    With more than ``limit`` repeated hashes all rows are.
+    """
+    if not df.columns:
+        return df
+    repeated = repeated_hashes(df, limit)
+    if repeated is None:
+        return df.dropDuplicates()
+    if repeated.isEmpty():
+        return df
+    hashed = df.withColumn(HASH, row_hash(df))
+    known = F.broadcast(repeated)
+    single = hashed.join(known, HASH, "left_anti").drop(HASH)
+    copied = hashed.join(known, HASH, "left_semi").drop(HASH)
+    return single.unionByName(copied.dropDuplicates())

@@ -17,7 +17,7 @@ from .operators.joins import attach
 from .plans import rules
 from .plans.execute import apply_plan
 from .plans.run import clean, propose
-from .session import shared_dir
+from .session import materialize, shared_dir
 from .sources import tables
 from .views import load
 
@@ -129,7 +129,7 @@ def summary_flags(spark, sf):  # P17
 def merged_profile(spark, sf):  # P16
     months = F.date_trunc("month", "l_shipdate")
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    states = merge.profile_states(load(spark, sf, "lineitem"), columns, months)
+    states = materialize(merge.profile_states(load(spark, sf, "lineitem"), columns, months))
     return merge.merge_states(states).select(
         "column", "rows", "null_count", "null_percent", "mean", "std", "min", "max", "skewness", "skew_label"
     )
