@@ -9,6 +9,7 @@ are never collected. ``order_by`` must name a unique order within a group.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from functools import reduce
@@ -17,6 +18,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import MAX_RANGES, ROWS_PER_RANGE
 from ..functions.columns import fresh, ref, types_of
@@ -42,20 +44,35 @@ def _boundaries(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> l
     return [tuple(sample[p]) for p in picks if p < len(sample)]
 
 
-def _locate(key: Column, bounds: list[Column]) -> Column:
-    """Number of boundaries at or below the key; two short lookups instead of a long one."""
+def _edge_literal(bound: tuple, types: Sequence[T.DataType]) -> Column:
+    return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(bound, types))])
 
-    def compare(edges: list[Column]) -> Column:
-        return reduce(add, [(key >= b).cast("int") for b in edges])
 
+def _edge_runs(runs: list[list[tuple]], types: Sequence[T.DataType]) -> Column:
+    """All boundaries as one constant array of runs; one literal keeps the plan small."""
+
+    def plain(value):
+        return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+    entry = ", ".join(f"k{i}: {t.simpleString()}" for i, t in enumerate(types))
+    rows = [[{f"k{i}": v for i, v in enumerate(b) if v is not None} for b in run] for run in runs]
+    text = json.dumps(rows, default=plain, ensure_ascii=False)
+    return F.from_json(F.lit(text), f"array<array<struct<{entry}>>>", {"timeZone": "UTC"})
+
+
+def _locate(key: Column, bounds: list[tuple], types: Sequence[T.DataType]) -> tuple[Column, Column]:
+    """Number of boundaries at or below the key, and the boundaries themselves as an array.
+
+    Many boundaries are searched in two short lookups instead of a long one.
+    """
     if len(bounds) <= FLAT_LOOKUP:
-        return compare(bounds)
+        edges = [_edge_literal(b, types) for b in bounds]
+        return reduce(add, [(key >= e).cast("int") for e in edges]), F.array(*edges)
     width = math.ceil(math.sqrt(len(bounds)))
-    runs = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    run = compare([r[0] for r in runs])
-    members = F.element_at(F.array(*[F.array(*r) for r in runs]), run)
-    within = F.size(F.filter(members, lambda b: b <= key))
-    return F.when(run == 0, 0).otherwise((run - 1) * width + within)
+    runs = _edge_runs([bounds[i : i + width] for i in range(0, len(bounds), width)], types)
+    run = F.size(F.filter(runs, lambda r: r[0] <= key))
+    within = F.size(F.filter(F.element_at(runs, run), lambda b: b <= key))
+    return F.when(run == 0, 0).otherwise((run - 1) * width + within), F.flatten(runs)
 
 
 class Ranges:
@@ -77,17 +94,13 @@ class Ranges:
         self.bucket = fresh(df, "_range")
         self.bounds = _boundaries(df, keys, wanted, rows) if wanted > 1 else []
         self.single = not self.bounds
-        located = F.lit(0)
+        odd = [k for k in keys if not isinstance(types[k], T.AtomicType) or isinstance(types[k], T.BinaryType)]
+        if odd:
+            raise TypeError(f"rows cannot be ordered by {', '.join(odd)}")
+        located, self.edges = F.lit(0), None
         if self.bounds:
-            edges = [
-                F.struct(
-                    *[F.lit(v).cast(types[k]).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, b))]
-                )
-                for b in self.bounds
-            ]
-            located = _locate(_key(keys), edges)
+            located, self.edges = _locate(_key(keys), self.bounds, [types[k] for k in keys])
         self.df = df.withColumn(self.bucket, located)
-        self.group_types = [types[k].simpleString() for k in self.partition_by]
 
     def window(self, *extra: str) -> W:
         parts = [ref(c) for c in (self.bucket, *self.partition_by, *extra)]
@@ -101,13 +114,10 @@ class Ranges:
 
         Only that group can have rows in the ranges before. At most MAX_RANGES rows.
         """
-        spark = self.df.sparkSession
-        width = len(self.partition_by)
-        rows = [(i + 1, *b[:width]) for i, b in enumerate(self.bounds)]
-        names = [f"k{i}" for i in range(width)]
-        fields = ", ".join(["_edge int", *[f"{n} {t}" for n, t in zip(names, self.group_types)]])
-        group = F.struct(*names) if width else F.struct(F.lit(0).alias("k0"))
-        return spark.createDataFrame(rows, fields).select("_edge", group.alias("_begins"))
+        edges = self.df.sparkSession.range(1).select(F.posexplode(self.edges).alias("_at", "_key"))
+        begins = [F.col(f"_key.k{i}").alias(f"k{i}") for i in range(len(self.partition_by))]
+        group = F.struct(*begins) if begins else F.struct(F.lit(0).alias("k0"))
+        return edges.select((F.col("_at") + 1).alias("_edge"), group.alias("_begins"))
 
     def with_carry(self, df: DataFrame, aggs: dict[str, Column], combine: dict[str, object]) -> DataFrame:
         """Add columns that summarise the same group's rows in all earlier ranges.

