@@ -90,7 +90,9 @@ DEFAULTS = Thresholds()
 WIDE_AGG_COLUMNS = 60  # columns aggregated in one pass, to stay inside codegen limits
 DIRECT_QUANTILE_ROWS = 100_000  # up to here one value->count map per column is small
 SKETCH_K = 8192  # accuracy of the sketch that brackets exact quantiles
+FINE_SKETCH_K = 65535  # the same for large columns, where a narrower bracket saves a scan
+FINE_SKETCH_ROWS = 50_000_000
 ROWS_PER_RANGE = 250_000  # target rows of one range of an ordered operator
-MAX_RANGES = 2048  # ranges of an ordered operator; bounds every carry table
+MAX_RANGES = 16_384  # ranges of an ordered operator; bounds every carry table
 BROADCAST_ROWS = 100_000  # largest lookup that is broadcast, checked by a count
 QUERY_BLOCK = 1024  # query vectors scored in one scan of the corpus

@@ -16,7 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DIRECT_QUANTILE_ROWS, SKETCH_K, WIDE_AGG_COLUMNS
+from ..config import (
+    DIRECT_QUANTILE_ROWS,
+    FINE_SKETCH_K,
+    FINE_SKETCH_ROWS,
+    SKETCH_K,
+    WIDE_AGG_COLUMNS,
+)
 from .columns import batches
 
 INF = float("inf")
@@ -34,7 +40,6 @@ class _Target:
     below: int = 0  # values under the bracket
     inside: int = 0  # values in the bracket, ends included
     between: int = 0  # values strictly between the ends
-    error: float = 0.0
     tries: int = 0
 
     @property
@@ -55,7 +60,7 @@ def exact_quantiles(
     probs: Sequence[float],
     counts: dict[str, int] | None = None,
     direct_rows: int = DIRECT_QUANTILE_ROWS,
-    sketch_k: int = SKETCH_K,
+    sketch_k: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles of each named expression; NULLs are ignored, no values give None.
 
@@ -88,6 +93,9 @@ def exact_quantiles(
         for p in probs
     ]
     if targets:
+        if sketch_k is None:
+            large = max(known.values()) > FINE_SKETCH_ROWS
+            sketch_k = FINE_SKETCH_K if large else SKETCH_K
         _narrow(work, targets, direct_rows, sketch_k)
         solved = _select(work, targets)
         for q in {t.column for t in targets}:

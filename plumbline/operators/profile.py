@@ -311,18 +311,25 @@ def _values(
     if approx:
         unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, approx=True).collect()}
     if counted:
-        # One query: both branches reuse the same shuffled (column, value) counts.
+        # One query, and both branches read the same shuffled (column, value) counts:
+        # the sum keeps the counts in the first one, and the condition on the counts
+        # keeps the column filter of the second one behind the shuffle.
         frequencies = value_frequencies(df, counted)
-        sizes = frequencies.groupBy("column").agg(F.count("*").alias("count")).select(
-            "column", F.lit(0).alias("position"), F.lit(None).cast("string").alias("value"), "count"
+        sizes = frequencies.groupBy("column").agg(
+            F.count("*").alias("count"), F.sum("count").alias("values")
         )
-        best = top_rows(frequencies, limits.top_values).select(
-            "column", "position", value_text().alias("value"), "count"
+        sizes = sizes.select(
+            "column", F.lit(0).alias("position"), F.lit(None).cast("string").alias("value"), "count", "values"
+        )
+        least = F.when(F.col("column").isin(plain), 1).otherwise(2**63 - 1)
+        ranked = frequencies.filter(F.col("count") >= least)
+        best = top_rows(ranked, limits.top_values).select(
+            "column", "position", value_text().alias("value"), "count", F.lit(None).cast("bigint").alias("values")
         )
         for r in sizes.unionByName(best).orderBy("column", "position").collect():
             if r["position"] == 0:
                 unique.setdefault(r["column"], r["count"])
-            elif r["column"] in plain:
+            else:
                 top.setdefault(r["column"], []).append((r["value"], r["count"]))
     return {c: unique.get(c, 0) for c in categories}, top
 

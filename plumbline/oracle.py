@@ -409,6 +409,13 @@ FROM orders_dirty, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS
     q("feat_target_mean", """SELECT p_partkey, p_type, p_retailprice,
   round(avg(p_retailprice) OVER (PARTITION BY p_type), 4) AS p_type_target_mean FROM part""")
 
+    kinds_of_part = ["LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    type_flags = ", ".join(f"CAST(p_type = '{k}' AS INTEGER) AS p_type_{k.lower()}" for k in kinds_of_part)
+    q("feat_suggested", f"""SELECT p_partkey, p_brand, p_size, p_retailprice,
+  CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand_enc, {type_flags},
+  CAST(least(greatest(ceil((p_size - lo) / w) - 1, 0), 4) AS INTEGER) AS p_size_bin
+FROM part, (SELECT min(p_size) AS lo, (max(p_size) - min(p_size)) / 5 AS w FROM part)""")
+
     q("histogram", f"""SELECT "column", bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, "count"
 FROM ({union([bins("lineitem", c, 20) for c in LINE_NUMBERS])})""")
     q("kde", f"""WITH b AS ({bins("lineitem", "l_extendedprice", 200)}),
