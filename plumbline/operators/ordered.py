@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ..config import MAX_RANGES, ROWS_PER_RANGE
 from ..functions.columns import fresh, ref, types_of
+from .joins import attach
 
 SAMPLES_PER_RANGE = 20
 FLAT_LOOKUP = 32
@@ -245,7 +246,7 @@ def rank_values(
     """Rank of each row's value, ascending; ties share a rank (min, dense or average).
 
     Equal values are counted before anything is ordered, so a hot value is one row of
-    the ranked table. The ranks come back by a join on the value.
+    the ranked table. The ranks come back by a lookup of the value.
     """
     group = list(partition_by)
     counts = df.filter(ref(column).isNotNull()).groupBy(*[ref(c) for c in [*group, column]]).agg(
@@ -258,11 +259,12 @@ def rank_values(
         ranked = before.withColumn(name, F.col("_upto") - (F.col("_ties") - 1) / 2.0)
     else:
         ranked = before.withColumn(name, F.col("_upto") - F.col("_ties") + 1)
-    keys = [*group, column]
-    lookup = ranked.select(*[ref(k).alias(f"_k{i}") for i, k in enumerate(keys)], name)
-    match = [ref(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    # A hot value makes one skewed join partition, which adaptive execution splits.
-    return df.join(lookup, match, "left").select(*[ref(c) for c in [*df.columns, name]])
+    some = df.filter(ref(column).isNotNull())
+    sizes = counts.withColumnRenamed("_ties", "count")
+    with_rank = attach(some, [*group, column], ranked, name, sizes)
+    dtype = with_rank.schema[name].dataType
+    none = df.filter(ref(column).isNull()).withColumn(name, F.lit(None).cast(dtype))
+    return with_rank.unionByName(none)
 
 
 def neighbours(

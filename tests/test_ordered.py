@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.operators import ordered
+from plumbline.operators import joins, ordered
 from tests.conftest import same_rows
 
 UPTO = (W.unboundedPreceding, W.currentRow)
@@ -77,6 +77,16 @@ def test_ranks(rows, group, size):
         assert same_rows(found.filter("v is not null"), some.withColumn("r", expected))
 
 
+def test_ranks_of_many_values(rows, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(joins, "HOT_KEYS", 3)
+    expected = rows.filter("v is not null").withColumn(
+        "r", F.rank().over(W.partitionBy("user").orderBy("v")).cast("bigint")
+    )
+    found = ordered.rank_values(rows, "v", ["user"], "r")
+    assert found.count() == rows.count() and same_rows(found.filter("v is not null"), expected)
+
+
 def test_descending_nulls_and_null_groups(spark):
     rows = [(1, None, 1), (2, None, None), (3, "a", None), (4, "a", 5), (5, "a", None), (6, None, None)]
     df = spark.createDataFrame(rows, "k int, g string, v int")
