@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import is_string, ref, types_of
+from .columns import batches, is_string, ref, types_of
 from .parsing import parse_number, parse_timestamp
 
+SCANS_PER_QUERY = 30
+
 
 @dataclass
 class Leading:
@@ -26,6 +29,8 @@ class Leading:
     count: int = 0
     numbers: int = 0
     dates: int = 0
+    first_date: datetime | None = None
+    last_date: datetime | None = None
     samples: list[str] = field(default_factory=list)
 
 
@@ -37,10 +42,14 @@ def _summaries(entries: DataFrame, keep: int) -> dict[str, Leading]:
         F.count("*").alias("count"),
         F.count(parse_number(text)).alias("numbers"),
         F.count(parse_timestamp(text)).alias("dates"),
+        F.min(parse_timestamp(text)).alias("first_date"),
+        F.max(parse_timestamp(text)).alias("last_date"),
         F.slice(in_order, 1, keep)["text"].alias("samples"),
     )
     return {
-        r["column"]: Leading(r["count"], r["numbers"], r["dates"], list(r["samples"]))
+        r["column"]: Leading(
+            r["count"], r["numbers"], r["dates"], r["first_date"], r["last_date"], list(r["samples"])
+        )
         for r in grouped.collect()
     }
 
@@ -75,19 +84,20 @@ def leading_values(
     need = {c: limit if texts[c] else keep for c in columns}
     sparse = [c for c in columns if found[c].count < need[c]]
     if sparse and len(df.select(order).limit(limit).take(limit)) == limit:
-        parts = [
-            df.select(
-                F.lit(c).alias("column"),
-                F.lit(texts[c]).alias("is_text"),
-                order.alias("order"),
-                _present(c, types).alias("text"),
-            )
-            .filter(F.col("text").isNotNull())
-            .orderBy("order")
-            .limit(need[c])
-            for c in sparse
-        ]
-        found |= _summaries(reduce(DataFrame.unionByName, parts), keep)
+        for group in batches(sparse, SCANS_PER_QUERY):
+            parts = [
+                df.select(
+                    F.lit(c).alias("column"),
+                    F.lit(texts[c]).alias("is_text"),
+                    order.alias("order"),
+                    _present(c, types).alias("text"),
+                )
+                .filter(F.col("text").isNotNull())
+                .orderBy("order")
+                .limit(need[c])
+                for c in group
+            ]
+            found |= _summaries(reduce(DataFrame.unionByName, parts), keep)
     return found
 
 

@@ -117,19 +117,35 @@ def _narrow(work: DataFrame, targets: list[_Target], limit: int, sketch_k: int)
                 x = F.col(group[i].column)
                 checks += [
                     F.count_if(x < F.lit(low)).alias(f"b{i}"),
-                    F.count_if(x.between(F.lit(low), F.lit(high))).alias(f"i{i}"),
-                    F.count_if((x > F.lit(low)) & (x < F.lit(high))).alias(f"s{i}"),
+                    F.count_if(x <= F.lit(high)).alias(f"u{i}"),
                 ]
             row = work.agg(*checks).first()
+            crowded = []
             for i, (target, (low, high)) in enumerate(zip(group, proposals)):
-                below, inside = row[f"b{i}"], row[f"i{i}"]
+                below, upto = row[f"b{i}"], row[f"u{i}"]
                 target.tries += 1
-                if below <= target.first and target.last < below + inside:
-                    target.low, target.high = low, high
-                    target.below, target.inside, target.between = below, inside, row[f"s{i}"]
-                    target.tries = 0
+                if below <= target.first and target.last < upto:
+                    target.low, target.high, target.tries = low, high, 0
+                    target.below, target.inside = below, upto - below
+                    target.between = target.inside if low < high else 0
+                    if target.between > limit:
+                        crowded.append(target)
                 elif target.tries > 20:
                     raise RuntimeError(f"no bracket found for quantile {target.prob}")
+            if crowded:
+                _discount_ends(work, crowded)
+
+
+def _discount_ends(work: DataFrame, targets: list[_Target]) -> None:
+    """A hot value at an end of a bracket is one value; count only what lies between."""
+    row = work.agg(
+        *[
+            F.count_if((F.col(t.column) > F.lit(t.low)) & (F.col(t.column) < F.lit(t.high))).alias(f"s{i}")
+            for i, t in enumerate(targets)
+        ]
+    ).first()
+    for i, t in enumerate(targets):
+        t.between = row[f"s{i}"]
 
 
 def _propose(

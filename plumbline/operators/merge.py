@@ -12,9 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Thresholds
-from ..functions.columns import as_double, is_numeric, ref, types_of
+from ..functions.columns import as_double, is_numeric, is_string, ref, types_of
 from ..functions.counts import top_values, value_frequencies
 from ..functions.stats import skew_label
 from .profile import null_mask
@@ -39,7 +40,7 @@ def profile_states(
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.lit("numeric" if numeric else "categorical").alias("type_category"),
+                F.lit(_category(types[c])).alias("type_category"),
                 values.alias("n"),
                 (F.count("*") - values).alias("nulls"),
                 F.avg(x).alias("mean"),
@@ -57,6 +58,13 @@ def profile_states(
     return grouped.select("chunk", states).select("chunk", "s.*")
 
 
+def _category(dtype: T.DataType) -> str:
+    """No inference here: text is categorical, and what is neither text nor number is other."""
+    if is_numeric(dtype):
+        return "numeric"
+    return "categorical" if is_string(dtype) or isinstance(dtype, T.BooleanType) else "other"
+
+
 def merge_states(states: DataFrame, limits: Thresholds = DEFAULTS, digits: int = 4) -> DataFrame:
     """One profile row per column from the states of all chunks.
 

@@ -237,11 +237,13 @@ def profile(
     approx: bool = False,
     duplicates: bool = True,
     limits: Thresholds = DEFAULTS,
+    sample_only: bool = False,
 ) -> Profile:
     """Full profile. ``order_by`` names the row order used for samples and inference.
 
     ``approx`` counts distinct values and duplicates with sketches; everything else
-    stays exact.
+    stays exact. ``sample_only`` takes the range of text dates from the first values
+    that also decide the type, instead of the whole column.
     """
     types = types_of(df)
     lead = leading_values(df, order_by, df.columns, limits.inference_sample, limits.sample_values)
@@ -255,7 +257,7 @@ def profile(
             numbers[c] = parse_number(ref(c))
         elif category == "datetime":
             dates[c] = ref(c).cast("timestamp_ntz")
-        elif category == "should_be_datetime":
+        elif category == "should_be_datetime" and not sample_only:
             dates[c] = parse_timestamp(ref(c))
 
     if not df.columns:
@@ -293,6 +295,8 @@ def profile(
             p.outlier_count = outliers[c]
         elif c in dates:
             p.min_date, p.max_date = s.min_date, s.max_date
+        elif category == "should_be_datetime":
+            p.min_date, p.max_date = lead[c].first_date, lead[c].last_date
         else:
             p.top_values = top.get(c, [])
             p.cardinality = "high" if p.unique_count > limits.high_cardinality else "low"

@@ -55,7 +55,7 @@ class TextVectors:
 
     def __init__(self, features: int = 256):
         self.stages = [
-            RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\W+"),
+            RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+"),
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
             IDF(inputCol="_counts", outputCol="_weights"),
             Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),

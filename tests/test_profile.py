@@ -203,3 +203,17 @@ def test_merged_states_equal_the_whole(spark):
     assert merged["s"]["approx_unique_count"] == 3 and merged["s"]["mean"] is None
     assert abs(merged["x"]["approx_median"] - whole["x"]["median"]) < 30
     assert merged["x"]["approx_outlier_count"] == 0
+
+
+def test_date_range_of_the_sample(spark):
+    df = spark.range(300).select("id", F.expr("DATE '2024-01-01' + CAST(id AS INT)").cast("string").alias("day"))
+    whole = profile(df, ["id"], duplicates=False).columns["day"]
+    sample = profile(df, ["id"], duplicates=False, sample_only=True).columns["day"]
+    assert whole.min_date == sample.min_date and str(whole.max_date)[:10] == "2024-10-26"
+    assert str(sample.max_date)[:10] == "2024-04-09" and sample.type_category == "should_be_datetime"
+
+
+def test_merged_categories(spark):
+    df = spark.sql("SELECT 1 AS n, 'a' AS s, true AS b, DATE '2024-01-01' AS d")
+    found = {r["column"]: r["type_category"] for r in merge.merge_states(merge.profile_states(df)).collect()}
+    assert found == {"n": "numeric", "s": "categorical", "b": "categorical", "d": "other"}
