@@ -514,7 +514,7 @@ JOIN (SELECT o_custkey AS k, avg(o_totalprice) AS m FROM orders GROUP BY o_custk
     q("c_semi_join", """SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN
   (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING max(o_totalprice) > 400000)""")
     q("c_anti_join", """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS
-  (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+  (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)""")
     q("c_asof", """SELECT v.event_id, v.ts, v.user_id, c.value AS click_value
 FROM (SELECT * FROM events WHERE event_type <> 'click') v
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.ts >= c.ts""")
@@ -522,7 +522,8 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON v.user_id
   SELECT c_nationkey AS nation, c_acctbal AS balance FROM customer
   UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY nation""")
     q("c_intersect", "SELECT l_partkey AS key FROM lineitem INTERSECT SELECT p_partkey FROM part")
-    q("c_except", """SELECT c_custkey AS key FROM customer EXCEPT ALL SELECT DISTINCT o_custkey FROM orders""")
+    q("c_except", """SELECT c_custkey AS key FROM customer EXCEPT ALL
+  SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 450000""")
     q("c_nlargest", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
     q("c_nsmallest", """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
 ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 10""")

@@ -776,7 +776,8 @@ def c_semi_join(spark, sf):
 
 @register
 def c_anti_join(spark, sf):
-    buyers = load(spark, sf, "orders").select("o_custkey").distinct()  # a hot key is one row
+    large = load(spark, sf, "orders").filter(F.col("o_totalprice") > 450000)
+    buyers = large.select("o_custkey").distinct()  # a hot key is one row
     return (
         load(spark, sf, "customer")
         .join(buyers, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
@@ -808,7 +809,8 @@ def c_intersect(spark, sf):
 
 @register
 def c_except(spark, sf):
-    buyers = load(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
+    large = load(spark, sf, "orders").filter(F.col("o_totalprice") > 450000)
+    buyers = large.select(F.col("o_custkey").alias("key"))
     return load(spark, sf, "customer").select(F.col("c_custkey").alias("key")).exceptAll(buyers.distinct())
 
 
