@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"  # the white space between words, as a regex class
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
@@ -14,9 +13,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def removed(text: Column, characters: str) -> Column:
-    """How many of these characters a text holds."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def count_of(text: Column, characters: str) -> Column:
+    """How many characters of a regex class a text holds."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def packed(docs: DataFrame) -> Column:

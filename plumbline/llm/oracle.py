@@ -86,11 +86,10 @@ def _quality_rules() -> str:
         f" + CASE v_{n} WHEN 1 THEN ln(m.g_{n}) - ln(1 - m.b_{n}) WHEN -1 THEN ln(1 - m.g_{n}) - ln(m.b_{n}) ELSE 0 END"
         for n in names
     )
-    right, both = rules.PRIOR_RIGHT, rules.PRIOR_RIGHT + rules.PRIOR_WRONG
-    share = lambda r, a: f"(coalesce(sum({r}), 0) + {right}) / (coalesce(sum({a}), 0) + {both})"
+    share = lambda r, a, prior: f"(coalesce(sum({r}), 0) + {prior[0]}) / (coalesce(sum({a}), 0) + {sum(prior)})"
     learn = ", ".join(
-        f"{share(f'CASE v_{n} WHEN 1 THEN g END', f'CASE WHEN v_{n} <> 0 THEN g END')} AS g_{n}, "
-        f"{share(f'CASE v_{n} WHEN -1 THEN b END', f'CASE WHEN v_{n} <> 0 THEN b END')} AS b_{n}"
+        f"{share(f'CASE v_{n} WHEN 1 THEN g END', f'CASE WHEN v_{n} <> 0 THEN g END', rules.ON_GOOD)} AS g_{n}, "
+        f"{share(f'CASE v_{n} WHEN -1 THEN b END', f'CASE WHEN v_{n} <> 0 THEN b END', rules.ON_BAD)} AS b_{n}"
         for n in names
     )
     first = ", ".join(f"{g}::DOUBLE AS g_{n}, {b}::DOUBLE AS b_{n}" for n, g, b in zip(names, start.right_good, start.right_bad))
@@ -116,7 +115,7 @@ measured AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         len(lines) AS n_lines, length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+         len(lines) AS n_lines, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS n_alnum,
          length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals,
          length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_shouts,
          length(text) - length(replace(text, '.', '')) AS n_ends, len(list_distinct(words)) AS n_distinct_words

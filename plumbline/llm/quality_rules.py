@@ -21,23 +21,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .columns import SPACE_CHARS, packed, quoted, removed, unpacked, words
+from .columns import SPACE, count_of, packed, quoted, unpacked, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 ITERATIONS = 20
-# Starting accuracy of every rule, as right and wrong pseudo-votes.
-PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
+# Starting values, as pseudo-votes (right, wrong): a rule seldom objects to a good text, and
+# objects only to those bad texts that are bad in its own way.
+ON_GOOD = (9.9, 0.1)
+ON_BAD = (2.0, 8.0)
 PRIOR_GOOD, PRIOR_BAD = 3.0, 1.0
 
 # Name, measure, bad below, good from, good to, bad above; between them a rule abstains.
 RULES = [
     ("symbols", "n_symbols / n_words", None, 0.0, 0.02, 0.1),
     ("word_length", "word_chars / n_words", 2.0, 3.0, 10.0, 15.0),
-    ("dup_lines", "n_dup_lines / n_lines", None, 0.0, 0.05, 0.3),
+    ("letters", "n_alnum / word_chars", 0.88, 0.93, 1.0, None),
+    ("dup_lines", "n_dup_lines / n_lines", None, 0.0, 0.05, 0.5),
     ("repeats", "n_repeat_words / n_words", None, 0.0, 0.1, 0.3),
-    ("capitals", "n_capitals / n_letters", None, 0.0, 0.12, 0.3),
+    ("capitals", "n_capitals / n_alnum", None, 0.0, 0.12, 0.3),
     ("shouting", "n_shouts / n_words", None, 0.0, 0.05, 0.2),
     ("sentence_ends", "n_ends / n_words", 0.005, 0.02, 0.5, 0.8),
     ("variety", "n_distinct_words / n_words", 0.1, 0.25, 1.0, None),
@@ -61,15 +64,15 @@ def _measured(df: DataFrame) -> DataFrame:
     base = base.select(
         *keep,
         "words",
-        F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0).alias("lines"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        removed(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        removed(F.col("text"), "!?").cast("long").alias("n_shouts"),
-        removed(F.col("text"), ".").cast("long").alias("n_ends"),
-        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("n_letters"),
-        F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).alias("n_capitals"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        count_of(F.col("text"), "!?").alias("n_shouts"),
+        count_of(F.col("text"), ".").alias("n_ends"),
+        count_of(F.col("text"), r"\p{L}\p{N}").alias("n_alnum"),
+        count_of(F.col("text"), r"\p{Lu}").alias("n_capitals"),
     )
     # Three words in a row as one 64-bit hash; equal hashes within one text are equal words.
     base = base.select(
@@ -104,7 +107,7 @@ def _measured(df: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
-        "n_letters",
+        "n_alnum",
         "n_capitals",
         "n_shouts",
         "n_ends",
@@ -149,9 +152,8 @@ def posterior(model: Model) -> Column:
 
 
 def start() -> Model:
-    right = PRIOR_RIGHT / (PRIOR_RIGHT + PRIOR_WRONG)
     n = len(RULES)
-    return Model(PRIOR_GOOD / (PRIOR_GOOD + PRIOR_BAD), (right,) * n, (right,) * n)
+    return Model(PRIOR_GOOD / (PRIOR_GOOD + PRIOR_BAD), (ON_GOOD[0] / sum(ON_GOOD),) * n, (ON_BAD[0] / sum(ON_BAD),) * n)
 
 
 def learn(patterns: DataFrame, iterations: int = ITERATIONS) -> Model:
@@ -171,11 +173,11 @@ def learn(patterns: DataFrame, iterations: int = ITERATIONS) -> Model:
             ]
         row = patterns.select("*", good.alias("g"), bad.alias("b")).agg(*sums).first()
         of = lambda k: row[k] or 0.0
-        share = lambda r, a: (of(r) + PRIOR_RIGHT) / (of(a) + PRIOR_RIGHT + PRIOR_WRONG)
+        share = lambda r, a, prior: (of(r) + prior[0]) / (of(a) + sum(prior))
         model = Model(
             (of("good") + PRIOR_GOOD) / (of("good") + of("bad") + PRIOR_GOOD + PRIOR_BAD),
-            tuple(share(f"gr_{r[0]}", f"ga_{r[0]}") for r in RULES),
-            tuple(share(f"br_{r[0]}", f"ba_{r[0]}") for r in RULES),
+            tuple(share(f"gr_{r[0]}", f"ga_{r[0]}", ON_GOOD) for r in RULES),
+            tuple(share(f"br_{r[0]}", f"ba_{r[0]}", ON_BAD) for r in RULES),
         )
     return model
 

@@ -32,7 +32,7 @@ CERTAIN = 6.0  # evidence is held within this many units of log odds
 def _features() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1))
-    letters = F.greatest(F.col("n_letters"), F.lit(1))
+    letters = F.greatest(F.col("n_alnum"), F.lit(1))
     capped = lambda x: F.least(x, F.lit(1.0))
     return [
         F.log1p(F.col("n_words").cast("double")) / 10,
