@@ -21,8 +21,10 @@ interchangeable; repeated rows are packed each. An empty table gives an empty re
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -37,15 +39,16 @@ from .words import slices
 CAPACITY = 2048
 END_ID = 0
 SALTS = 256
-CACHED_WORDS = 200_000
+CACHED_WORDS = 900_000
 
 _tokenizers: dict = {}
 
 
 class WordTokenizer:
-    """Token ids of texts, each distinct word of a batch tokenized once.
+    """Token ids of texts, each distinct word tokenized once.
 
-    Right for tokenizers that split at white space first, drop it, and treat every word alone.
+    Right for tokenizers that split at white space first, drop it, lower ASCII letters, and
+    treat letters and the punctuation behind them alone.
     """
 
     def __init__(self, path: str):
@@ -53,29 +56,49 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.ends = dict(zip(".,", self._encoded([".", ","])))
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found = self.inner.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words not known yet; a word with a full stop or comma behind is its letters and that."""
+        known, ends = self.known, self.ends
+        stems = [w[:-1] if w[-1:] in ends and w[:-1].isalpha() else w for w in words]
+        new = list({s for s in stems if s not in known})
+        found = dict(zip(new, self._encoded(new)))
+        if len(known) < CACHED_WORDS:
+            known.update(found)
+            found = known
+        out = [
+            (found[s] if s in found else known[s]) + (b"" if len(s) == len(w) else ends[w[-1]]) for s, w in zip(stems, words)
+        ]
+        if found is known:
+            known.update(zip(words, out))
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other and the number of ids of each text."""
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
+            if text.isascii() or "\u03a3" not in text and is_normalized("NFC", text):
+                text = text.lower()  # as the tokenizer will, but for the final sigma
             found = text.replace("\n", " ").replace("\t", " ").split(" ")
             words += found
             counts[i] = len(found)
         values = np.empty(len(words), dtype=object)
         values[:] = words
         codes, distinct = pd.factorize(values)
-        get = self.known.get
-        parts = [get(w) for w in distinct]
-        new = [k for k, p in enumerate(parts) if p is None]
-        if new:
-            for k, e in zip(new, self.inner.encode_batch_fast([distinct[k] for k in new], add_special_tokens=False)):
-                parts[k] = np.array(e.ids, np.uint32)
-            if len(self.known) < CACHED_WORDS:
-                self.known.update((distinct[k], parts[k]) for k in new)
-        sizes = np.array([len(p) for p in parts], np.int64)
-        pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        parts = list(map(self.known.get, distinct))
+        if None in parts:
+            at = [k for k, p in enumerate(parts) if p is None]
+            for k, p in zip(at, self._learn([distinct[k] for k in at])):
+                parts[k] = p
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool = np.frombuffer(b"".join(parts), np.uint32)
         first = np.cumsum(sizes) - sizes
         size = sizes[codes]
         ends = np.cumsum(size)
@@ -89,8 +112,11 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length and token ids of every piece of every document."""
+def token_pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, digest: bool = False
+) -> DataFrame:
+    """doc_id, piece, start, length and token ids of every piece of every document; with
+    ``digest``, a CRC-32 of the ids in place of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
@@ -104,37 +130,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = piece * capacity
             length = np.minimum(counts[owner] - start, capacity)
-            ids = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat.astype(np.int32))
-            )
+            edges = np.concatenate([[0], np.cumsum(length)])
+            if digest:
+                raw = flat.astype("<u4", copy=False)
+                last = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(edges[:-1], edges[1:])], pa.int64())
+            else:
+                last = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(owner)),
-                    pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids,
+                    pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), last,
                 ],
-                ["doc_id", "piece", "start", "length", "ids"],
+                ["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids array<int>")
-
-
-def ids_crc32(pieces: DataFrame) -> DataFrame:
-    """The pieces with a CRC-32 of their ids in place of the ids."""
-    names = [c for c in pieces.columns if c != "ids"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(names).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            edges = ids.offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"]
-            )
-
-    return pieces.mapInArrow(run, schema + ", ids_crc32 long")
+    kind = "ids_crc32 long" if digest else "ids array<int>"
+    return rows.mapInArrow(run, f"doc_id long, piece int, start long, length long, {kind}")
 
 
 def _sum_of_smallest(count: np.ndarray, n: int) -> int | None:
@@ -328,7 +340,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its place, its ids given by their CRC-32."""
-    pieces = materialize(ids_crc32(token_pieces(docs, tokenizer_path, capacity)))
+    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, digest=True))
     return pack(pieces, capacity)
 
 
