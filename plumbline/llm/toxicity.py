@@ -10,7 +10,7 @@ segment has the probability that a clean text of that length holds one as good,
 significant ones are reported. A text's evidence, the sum of its significant segments' log
 probabilities, is turned to a probability by a logistic curve fitted to the labelled sample.
 
-Corpus counts come from all documents. Tokens are counted in a table of fixed size (hashed),
+Corpus counts come from all documents. Tokens are counted, once a document, in a table of fixed size (hashed),
 one row per task and token, added up by Spark; labels come from a bounded sample of
 labelled documents, which is small enough to be sent to every task.
 
@@ -61,6 +61,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def token_counts(docs: DataFrame) -> np.ndarray:
     """Tokens of all documents and of the toxic and clean labelled ones: 3 rows of the table.
 
+    A token counts once for each document, so one document that repeats a word proves little.
     ``docs`` has text and label (NULL: not labelled).
     """
 
@@ -68,8 +69,10 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         table = np.zeros((3, TABLE), np.int64)
         for part, texts in slices(batches, "text"):
             ids, counts = tokens(texts)
+            once = np.unique(np.repeat(np.arange(len(counts)), counts) * TABLE + ids)
+            ids, doc = once % TABLE, once // TABLE
             table[0] += np.bincount(ids, minlength=TABLE)
-            label = np.repeat(part.column("label").fill_null(-1).to_numpy(zero_copy_only=False), counts)
+            label = part.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[doc]
             for row, value in ((1, 1), (2, 0)):
                 if (chosen := ids[label == value]).size:
                     table[row] += np.bincount(chosen, minlength=TABLE)
