@@ -24,6 +24,9 @@ def _slots(name: str, dtype: T.DataType) -> tuple[Column, Column, Column]:
         whole = value
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
         real = F.when(~F.isnan(value), value)
+    elif isinstance(dtype, T.DecimalType):
+        # Ordered as a number, kept exact as text.
+        real, text = value, value
     else:
         text = value
     return whole.cast("bigint"), real.cast("double"), text.cast("string")
@@ -48,7 +51,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def value_text() -> Column:
     """The value of a frequency row as text."""
-    return F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text"))
+    return F.coalesce(F.col("whole").cast("string"), F.col("text"), F.col("real").cast("string"))
 
 
 def top_rows(frequencies: DataFrame, k: int) -> DataFrame:
@@ -101,7 +104,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
             result[name] = None
         else:
             result[name] = next(
-                (row[s] for s in ("whole", "real", "text") if row[s] is not None), None
+                (row[s] for s in ("whole", "text", "real") if row[s] is not None), None
             )
     return result
 

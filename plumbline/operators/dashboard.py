@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULTS, WIDE_AGG_COLUMNS, Thresholds
-from ..functions.columns import as_double, batches, numeric_columns, ref, types_of
+from ..functions.columns import as_double, batches, fresh, is_numeric, numeric_columns, ref, types_of
 from ..functions.counts import top_values, value_frequencies
+from .ordered import row_numbers
 from .profile import Profile, fences, null_mask, outside
 
 PAIRS_PER_PASS = 200
@@ -21,7 +23,7 @@ def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
     for group in batches(columns, WIDE_AGG_COLUMNS):
         row = df.agg(
             *[
-                F.struct(F.min(as_double(c)), F.max(as_double(c)), F.count(as_double(c))).alias(f"r{i}")
+                F.struct(F.min(_finite(c)), F.max(_finite(c)), F.count(_finite(c))).alias(f"r{i}")
                 for i, c in enumerate(group)
             ]
         ).first()
@@ -29,11 +31,16 @@ def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
     return found
 
 
+def _finite(column: str) -> Column:
+    x = as_double(column)
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, nbins: int = 20) -> DataFrame:
     """``(column, bin, low, high, count)`` of equal-width bins; the last one is closed.
 
     Rows are counted per bin before the shuffle, so it moves at most one row per bin
-    and task.
+    and task. Infinite values are in no bin.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     ranges = {c: r for c, r in _ranges(df, columns).items() if r[2]}
@@ -42,7 +49,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, nbins: int =
         return df.sparkSession.createDataFrame([], schema)
     arguments = [F.lit(len(ranges))]
     for c, (low, high, _) in ranges.items():
-        x, width = as_double(c), (high - low) / nbins
+        x, width = _finite(c), (high - low) / nbins
         if width > 0:
             step = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(nbins - 1))
         else:
@@ -130,23 +137,33 @@ def top_bars(
 
 
 def nullity_matrix(df: DataFrame, order_by: str, buckets: int = 50) -> DataFrame:
-    """``(bucket, column, null_share)`` along equal steps of a numeric or time key."""
+    """``(bucket, column, null_share)`` along equal steps of a numeric or time key.
+
+    Any other key that can be ordered is replaced by the row's number in its order. Rows
+    without a key are in bucket NULL.
+    """
     dtype = types_of(df)[order_by]
+    columns = df.columns
     if dtype.typeName().startswith(("timestamp", "date")):
         key = F.unix_micros(ref(order_by).cast("timestamp")).cast("double")
-    else:
+    elif is_numeric(dtype) or isinstance(dtype, T.BooleanType):
         key = as_double(order_by)
+    else:
+        position = fresh(df, "_position")
+        df = row_numbers(df, [order_by], name=position)
+        key = F.when(ref(order_by).isNotNull(), ref(position).cast("double"))
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return df.sparkSession.createDataFrame([], "bucket int, column string, null_share double")
     span = (high - low) / buckets or 1.0
-    bucket = F.least(F.floor((key - F.lit(low)) / F.lit(span)), F.lit(buckets - 1)).cast("int")
+    step = F.least(F.floor((key - F.lit(low)) / F.lit(span)), F.lit(buckets - 1)).cast("int")
+    bucket = F.when(key.isNotNull(), step)
     shares = df.groupBy(bucket.alias("bucket")).agg(
-        *[F.avg(null_mask(df, c).cast("int")).alias(f"s{i}") for i, c in enumerate(df.columns)]
+        *[F.avg(null_mask(df, c).cast("int")).alias(f"s{i}") for i, c in enumerate(columns)]
     )
-    pairs = [x for i, c in enumerate(df.columns) for x in (F.lit(c), F.col(f"s{i}"))]
+    pairs = [x for i, c in enumerate(columns) for x in (F.lit(c), F.col(f"s{i}"))]
     return shares.select(
-        "bucket", F.stack(F.lit(len(df.columns)), *pairs).alias("column", "null_share")
+        "bucket", F.stack(F.lit(len(columns)), *pairs).alias("column", "null_share")
     )
 
 

@@ -274,24 +274,34 @@ def neighbours(
     reach: int,
     partition_by: Sequence[str] = (),
     rows_per_range: int = ROWS_PER_RANGE,
+    ahead: int = 0,
     **options,
 ) -> DataFrame:
-    """Window expressions that look back at most ``reach`` rows (shift, diff, rolling).
+    """Window expressions that look at most ``reach`` rows back and ``ahead`` rows on.
 
     Rows are numbered once and cut into equal blocks; each block also receives the last
-    ``reach`` rows of the block before it, so every window is complete in its block.
+    ``reach`` rows of the block before it and the first ``ahead`` rows of the block behind
+    it, so every window is complete in its block.
     ``expressions`` maps a name to a function of the ordered window.
     """
+    if min(reach, ahead) < 0:
+        raise ValueError("reach and ahead count rows and are not negative")
     ranges = Ranges(df, order_by, partition_by, rows_per_range, **options)
     if ranges.single:
         added = {n: e(ranges.window()) for n, e in expressions.items()}
         return ranges.df.withColumns(added).select(*[ref(c) for c in [*df.columns, *added]])
-    size = max(rows_per_range, reach)
+    size = max(rows_per_range, reach, ahead)
     at = F.col("_at") - 1
     block = F.floor(at / size)
     numbered = _numbered(ranges, "_at").withColumn(
         "_blocks",
-        F.when(at % size >= size - reach, F.array(block, block + 1)).otherwise(F.array(block)),
+        F.array_compact(
+            F.array(
+                block,
+                F.when(at % size >= size - reach, block + 1),
+                F.when((at % size < ahead) & (block > 0), block - 1),
+            )
+        ),
     )
     spread = numbered.withColumn("_block", F.explode("_blocks"))
     window = W.partitionBy(*[ref(c) for c in ["_block", *partition_by]]).orderBy("_at")
@@ -312,10 +322,16 @@ def shift(
     name: str | None = None,
     **options,
 ) -> DataFrame:
-    """The value ``periods`` rows earlier."""
+    """The value ``periods`` rows earlier, or later if negative."""
     name = name or f"{column}_shift"
     return neighbours(
-        df, order_by, {name: lambda w: F.lag(ref(column), periods).over(w)}, periods, partition_by, **options
+        df,
+        order_by,
+        {name: lambda w: F.lag(ref(column), periods).over(w)},
+        max(periods, 0),
+        partition_by,
+        ahead=max(-periods, 0),
+        **options,
     )
 
 

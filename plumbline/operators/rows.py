@@ -43,10 +43,31 @@ def row_hash(df: DataFrame) -> Column:
         value = ref(name)
         if isinstance(dtype, (T.FloatType, T.DoubleType)):
             value = value + F.lit(0.0)  # -0.0 equals 0.0
+        elif isinstance(dtype, T.MapType):
+            value = _entries(value)
         parts.append(value)
     return F.xxhash64(*parts)
 
 
+def _entries(value: Column) -> Column:
+    """A map as its entries in order of their keys: comparable, and equal for equal maps."""
+    return F.array_sort(F.map_entries(value))
+
+
+def _row_keys(df: DataFrame) -> list[Column]:
+    """What the rows of ``df`` are compared by."""
+    types = types_of(df)
+    return [_entries(ref(c)) if isinstance(types[c], T.MapType) else ref(c) for c in df.columns]
+
+
+def _one_of_each(df: DataFrame) -> DataFrame:
+    if not any(isinstance(t, T.MapType) for t in types_of(df).values()):
+        return df.dropDuplicates()
+    keys = [k.alias(f"k{i}") for i, k in enumerate(_row_keys(df))]
+    rows = df.groupBy(*keys).agg(F.first(F.struct(*[ref(c) for c in df.columns])).alias("row"))
+    return rows.select("row.*")
+
+
 def repeated_hashes(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
     """The hashes that occur more than once, or None if there are more than ``limit``.
 
@@ -70,7 +91,8 @@ def count_duplicates(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
     else:
         known = F.broadcast(repeated)
         suspects = df.withColumn(HASH, row_hash(df)).join(known, HASH, "left_semi")
-    groups = suspects.groupBy(*[ref(c) for c in df.columns]).agg(F.count("*").alias(COPIES))
+    keys = [k.alias(f"k{i}") for i, k in enumerate(_row_keys(df))]
+    groups = suspects.groupBy(*keys).agg(F.count("*").alias(COPIES))
     return groups.agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0))).first()[0]
 
 
@@ -84,11 +106,11 @@ def drop_duplicates(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
         return df
     repeated = repeated_hashes(df, limit)
     if repeated is None:
-        return df.dropDuplicates()
+        return _one_of_each(df)
     if repeated.isEmpty():
         return df
     hashed = df.withColumn(HASH, row_hash(df))
     known = F.broadcast(repeated)
     single = hashed.join(known, HASH, "left_anti").drop(HASH)
     copied = hashed.join(known, HASH, "left_semi").drop(HASH)
-    return single.unionByName(copied.dropDuplicates())
+    return single.unionByName(_one_of_each(copied))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
 from ..operators.dashboard import dashboard
@@ -14,6 +15,7 @@ from ..operators.profile import Profile, profile
 from ..operators.rows import standard_names
 from ..operators.target import class_distribution, feature_correlations, target_summary
 from ..operators.types import detect_type_issues
+from ..session import materialize
 from .execute import apply_plan
 from .rules import build_plan, override_plan, validate_plan
 
@@ -67,7 +69,11 @@ def clean(
     through the renaming.
     """
     found, plan = propose(df, order_by, overrides, categorical, approx, limits)
+    # What orders the rows stays, however sparse it is.
+    plan = plan.filter(~(F.col("column").isin(list(order_by)) & (F.col("action") == "drop_column")))
     cleaned, log = apply_plan(df, plan, order_by, limits)
+    if analyse:
+        cleaned = materialize(cleaned)  # read by many passes
     result = Cleaning(found, plan, validate_plan(plan, df), cleaned, log)
     if not analyse:
         return result
