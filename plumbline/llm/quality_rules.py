@@ -210,8 +210,10 @@ def judge(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 def keep_good(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    The texts are measured in both passes: that costs less than moving them.
+    They are written once with their measures, so that texts are measured once and the
+    filter is planned over stored columns.
     """
-    model = _fit(_voted(_measured(docs.select("text"))), iterations)
-    rows = _voted(_measured(docs.select(packed(docs).alias("row"), docs[quoted("text")].alias("text"))))
-    return unpacked(rows.where(~_base_failed() & (posterior(model) >= 0.5)), "row", docs.columns)
+    rows = docs.select(packed(docs).alias("row"), docs[quoted("text")].alias("text"))
+    voted = _voted(materialize(_measured(rows)))
+    model = _fit(voted, iterations)
+    return unpacked(voted.where(~_base_failed() & (posterior(model) >= 0.5)), "row", docs.columns)
