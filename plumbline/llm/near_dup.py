@@ -8,14 +8,14 @@ its first point beyond the last point that any component still holds. Two signat
 in a component with a probability of exactly the weighted Jaccard similarity.
 
 Equal texts are one class first. Rows of the signature form bands; texts that share a band
-are candidates and only those whose bags really overlap by 0.8 are linked. With 32 bands
-of 5 rows, a pair at 0.8 is missed with a probability of 3 in a million.
+are candidates and only those whose bags really overlap by 0.8 are linked. With 40 bands
+of 6 rows, a pair at 0.8 is missed with a probability of 5 in a million. Bags whose sizes
+differ by more than the similarity allows are not compared.
 
-No bucket is expanded into all its pairs: first every member is checked against the
-bucket's smallest one. Linked texts then are one class, and only buckets that still hold
-several classes are looked at again: in rounds, the smallest member of each class is
-checked against that of the first class, until no round links anything; last, members of
-different classes that were not compared yet are.
+No bucket is expanded into all its pairs: first every member is checked against the one
+that meets the most texts in all its buckets, as the origin of many copies does. Linked texts
+then are one class, and only buckets that still hold several classes are looked at again:
+the first member of each class is checked against that of the first class, then members of different classes that were not compared yet are.
 
 Cases: documents with a NULL text are classes of their own; texts without a word are a
 class with those that are equal to them; a text with fewer than five words is one run of
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -39,8 +39,9 @@ from .words import bags, mix, shingles, slices, split_words, word_hashes
 
 RUN_WORDS = 5
 SIMILAR = 0.8
-BANDS = 32
-BAND_ROWS = 5
+BANDS = 40
+BAND_ROWS = 6
+SMALL_LINKS = 200_000  # links that one task can label without a shuffle
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -68,7 +69,7 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_tex
     step = 0
     while len(doc):
         step += 1
-        point = mix(seed + np.uint64(0x9E3779B97F4A7C15) * np.uint64(step))
+        point = mix(seed + np.uint64(0x9E3779B97F4A7C15 * step % 2**64))
         time = time - np.log(_unit(point)) / rate
         place = mix(point ^ np.uint64(0xA0761D6478BD642F))
         level = (mix(place) % levels.astype(np.uint64)).astype(np.int64)
@@ -85,7 +86,7 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_tex
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to (doc, digest, bands); texts without words have no bands."""
+    """(doc, text) to (doc, digest, size of the bag, bands); texts without words have no bands."""
     for part, texts in slices(batches, "text"):
         words, counts = split_words(texts)
         text, element, times = bags(*shingles(word_hashes(words), counts, RUN_WORDS))
@@ -99,8 +100,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             None if null else hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()
             for t, null in zip(texts, part.column("text").is_null().to_pylist())
         ]
+        sizes = np.bincount(text, times, len(texts)).astype(np.int64)
         bands = pa.array([k if n else [] for k, n in zip(key, counts)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(digests, pa.string()), bands], ["doc", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc"), pa.array(digests, pa.string()), pa.array(sizes), bands], ["doc", "digest", "size", "bands"]
+        )
 
 
 def _overlap(batches: Iterator[pa.RecordBatch], similar: float) -> Iterator[pa.RecordBatch]:
@@ -142,8 +146,12 @@ def classes(links: DataFrame) -> DataFrame:
     so a chain halves. Only a count of changes reaches the driver.
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    small = both.count() <= SMALL_LINKS
+    fit = lambda df: df.coalesce(1) if small else df
+    both = fit(both)
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
+        labels = fit(labels)
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
         near = near.agg(F.min("label").alias("around"))
         moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "around").alias("label"))
@@ -156,15 +164,17 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets with more than one class, with their class."""
-    named = members.join(classes(links), "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label")
-    )
+    named = members.join(labels, "node", "left").select("key", "node", "size", "rank", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     return materialize(named.join(mixed.select("key", "low"), "key"))
 
 
+def _near_in_size(a: str, b: str, similar: float) -> Column:
+    return F.least(a, b) * 10_000 >= round(similar * 10_000) * F.greatest(a, b)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -172,15 +182,18 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row per document: doc_id, digest of its text, class_id (the smallest doc_id of its class)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text"))
-    signed = materialize(own.mapInArrow(_signed, "doc long, digest string, bands array<long>"))
+    signed = materialize(own.mapInArrow(_signed, "doc long, digest string, size long, bands array<long>"))
     copies = signed.where("digest is not null").groupBy("digest").agg(
-        F.min("doc").alias("first_doc"), F.first("bands").alias("bands")
+        F.min("doc").alias("first_doc"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
     # The ids are fixed by writing them.
-    texts = materialize(copies.select(F.monotonically_increasing_id().alias("node"), "digest", "first_doc", "bands"))
-    bands = texts.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = materialize(bands.join(shared.select("key", "low"), "key"))
+    texts = materialize(copies.select(F.monotonically_increasing_id().alias("node"), "digest", "first_doc", "size", "bands"))
+    bands = texts.select("node", "size", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(bands.join(shared, "key"))
+    # How many others a text meets: the one that most copies come from meets the most.
+    met = members.groupBy("node").agg(F.struct(F.sum("n").alias("met"), (-F.col("node")).alias("order")).alias("rank"))
+    members = materialize(members.select("key", "node", "size").join(met, "node"))
     candidates = members.select("node").distinct().join(texts.select("node", "digest", "first_doc"), "node")
     wanted = own.select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), "text").join(
         candidates.select("node", "digest", F.col("first_doc").alias("doc"), F.lit(True).alias("has")),
@@ -194,27 +207,40 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         wanted.select("node", "text").unionByName(lost.select("node", "text")).groupBy("node").agg(F.first("text").alias("text"))
     )
 
-    checked = materialize(_ordered(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))))
+    centres = members.groupBy("key").agg(F.max(F.struct("rank", "node", "size")).alias("centre"))
+    star = members.join(centres, "key").where(
+        (F.col("node") != F.col("centre.node")) & _near_in_size("size", "centre.size", similar)
+    )
+    checked = materialize(_ordered(star.select(F.col("centre.node").alias("a"), F.col("node").alias("b"))))
     links = _links(checked, bodies, similar)
-    while True:
-        mixed = _labelled(members.select("key", "node"), links)
-        # Of each class in a bucket, the smallest member against that of the first class.
-        heads = mixed.groupBy("key", "label", "low").agg(F.min("node").alias("head"))
-        first = heads.where("label = low").select("key", F.col("head").alias("a"))
-        pairs = _ordered(heads.where("label <> low").join(first, "key").select("a", F.col("head").alias("b")))
-        pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"))
-        found = _links(pairs, bodies, similar)
-        checked = checked.unionByName(pairs)
+    labels = classes(links)
+    mixed = _mixed(members, labels)
+
+    # Of each class in a bucket, the first member against that of the first class.
+    heads = mixed.groupBy("key", "label").agg(F.max(F.struct("rank", "node", "size")).alias("head"))
+    first = heads.groupBy("key").agg(F.max("head").alias("first"))
+    pairs = heads.join(first, "key").where(
+        (F.col("head.node") != F.col("first.node")) & _near_in_size("head.size", "first.size", similar)
+    )
+    pairs = _ordered(pairs.select(F.col("first.node").alias("a"), F.col("head.node").alias("b")))
+    pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"))
+    found = _links(pairs, bodies, similar)
+    checked = checked.unionByName(pairs)
+    if not found.isEmpty():
         links = links.unionByName(found)
-        if found.isEmpty():
-            break
-    left = mixed.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "key").where("la < lb").select("a", "b")
-    pairs = materialize(_ordered(pairs).join(checked, ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(_links(pairs, bodies, similar)))
-
-    named = texts.join(classes(links), "node", "left").select(
+        labels = classes(links)
+        mixed = _mixed(members, labels)
+
+    # All that may still be near: members of different classes.
+    left = mixed.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
+    right = mixed.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("la") < F.col("lb")) & _near_in_size("sa", "sb", similar))
+    pairs = materialize(_ordered(pairs.select("a", "b")).join(checked, ["a", "b"], "left_anti"))
+    found = _links(pairs, bodies, similar)
+    if not found.isEmpty():
+        labels = classes(links.unionByName(found))
+
+    named = texts.join(labels, "node", "left").select(
         "digest", "first_doc", F.coalesce("label", "node").alias("label")
     )
     ids = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
