@@ -87,11 +87,11 @@ def test_partners_named_by_the_response_and_orphans(spark):
 
 def test_archives_of_others_are_read(tmp_path):
     record = b"WARC/1.0\r\nWARC-Type: response\r\nwarc-record-id: <a>\r\nWARC-Concurrent-To: <b>\r\nWARC-Concurrent-To: <c>\r\n"
-    record += b"Content-Type: application/http\r\nContent-Length: 25\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\nhi\r\n\r\n".replace(b"25", b"27")
+    record += b"Content-Type: application/http\r\nContent-Length: 27\r\n\r\nHTTP/1.1 200 OK\r\nA: b\r\n\r\nhi\r\n\r\n"
     members = b"".join(gzip.compress(record) for _ in range(3))
     for content in (record * 3, members):
         found = list(warc._parsed(content))
-        assert [r["payload"] for r in found] == [b"hi" + b"\r\n"[:1]] * 3 or [len(r["payload"]) for r in found] == [3] * 3
+        assert [r["payload"] for r in found] == [b"hi"] * 3
         assert found[0]["concurrent_to"] == ["<b>", "<c>"] and found[0]["head"].startswith("HTTP/1.1 200")
 
 
