@@ -75,6 +75,37 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_prefixes_lose_no_similar_pair(spark):
+    rows = [(i, i, sum(bag(t).values()), t) for i, t in enumerate(sorted({t for t in near_texts(2) if t and t.strip()}))]
+    for similar in (0.8, 0.5):
+        crowd = spark.createDataFrame(rows, "node long, label long, size long, text string")
+        got = {(min(r), max(r)) for r in map(tuple, near_dup._prefix_pairs(crowd, similar).collect())}
+        bags = [bag(t) for *_, t in rows]
+        near = {
+            (j, i)
+            for i in range(len(rows))
+            for j in range(i)
+            if sum((bags[i] & bags[j]).values()) >= similar * sum((bags[i] | bags[j]).values()) - 1e-9
+        }
+        assert near and near <= got and len(got) < len(rows) * len(rows) / 4
+
+
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL_BUCKET", 0)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    # Copies of a text that is not there: some are near each other, most are not.
+    copies = []
+    for k in range(60):
+        copy = list(base)
+        for i in rng.sample(range(60), rng.choice([1, 2, 2, 3])):
+            copy[i] = f"own{k}x{i}"
+        copies.append(" ".join(copy))
+    rows = list(enumerate(near_texts(3) + copies))
+    got = near_dup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = list(enumerate(near_texts(4), start=100))
     rows += [rows[5], rows[5]]  # repeated rows
