@@ -16,10 +16,10 @@ No bucket is expanded into all its pairs: first every member is checked against
 that meets the most texts in all its buckets, as the origin of many copies does. Linked texts
 then are one class, and only buckets that still hold several classes are looked at again:
 the first member of each class is checked against that of the first class. What is left in
-small buckets is compared pair by pair. Members of larger ones are compared where prefixes of
-their bags meet: with the runs of a bag in one order for all, rare ones first, two bags that
-overlap by 0.8 share one of the first 20 % of the larger and 11 % of the smaller. This loses no
-link, and copies that differ from each other in runs of their own do not meet.
+small buckets is compared pair by pair. Members of larger ones are compared where they differ
+in the same way from what most texts around them have in common: the size of the overlap follows
+from these differences, so two texts with many differences of their own never meet. This loses
+no class.
 
 Cases: documents with a NULL text are classes of their own; texts without a word are a
 class with those that are equal to them; a text with fewer than five words is one run of
@@ -45,7 +45,7 @@ RUN_WORDS = 5
 SIMILAR = 0.8
 BANDS = 40
 BAND_ROWS = 6
-SMALL_BUCKET = 32  # members that are compared pair by pair; larger buckets are searched by prefixes
+SMALL_BUCKET = 32  # members that are compared pair by pair; larger buckets are searched by differences
 SLOTS = 1 << 20  # counters of run frequencies, which only order the runs
 SMALL_LINKS = 200_000  # links that one task can label without a shuffle
 
@@ -145,58 +145,104 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return text[owner], mix(element[owner] + np.uint64(0x8BB84B93962EACC9) * again.astype(np.uint64))
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in slices(batches, "text"):
-        slot, n = np.unique(_tokens(texts)[1] % np.uint64(SLOTS), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], ["slot", "n"])
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], often: np.ndarray, similar: float) -> Iterator[pa.RecordBatch]:
-    """(node, label, size, text) to (token, node, label, size, short) of the first tokens, rare ones first.
-
-    ``short``: also among the first tokens that the smaller bag of a pair needs.
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pile, text) to (pile, token, number of the slice's texts with it)."""
+    for part, texts in slices(batches, "text"):
+        text, token = _tokens(texts)
+        pile = part.column("pile").to_numpy()[text]
+        order = np.lexsort((token, pile))
+        pile, token = pile[order], token[order]
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (pile[1:] != pile[:-1])
+        starts = np.flatnonzero(first)
+        columns = [pile[starts], token[starts].view(np.int64), np.diff(starts, append=len(token))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pile", "token", "n"])
+
+
+def _differences(batches: Iterator[pa.RecordBatch], often: np.ndarray, scaled: int) -> Iterator[pa.RecordBatch]:
+    """One row for each text, with a NULL token, and for its differences from what its pile has in common.
+
+    Differences stand in one order for all texts of a pile, rare ones first; ``left`` counts those from
+    here on, and those that come too late for any pair are left out. ``slack``: how much the differences
+    stay below half of what a pair of this size may have, times 10,000 + ``scaled``.
     """
-    scaled = round(similar * 10_000)
     for part, texts in slices(batches, "text"):
         text, token = _tokens(texts)
-        size = np.bincount(text, minlength=len(texts))
-        order = np.lexsort((token, often[(token % np.uint64(SLOTS)).astype(np.int64)], text))
-        text, token = text[order], token[order]
-        rank = np.arange(len(text)) - (np.cumsum(size) - size)[text]
-        # The least overlap with a bag that is not larger, and with one that is not smaller.
-        long = size + scaled * size // -10_000 + 1
-        short = size + 2 * scaled * size // -(10_000 + scaled) + 1
-        first = rank < long[text]
-        text, token, rank = text[first], token[first], rank[first]
-        columns = [part.column(c).take(pa.array(text)) for c in ("node", "label", "size")]
+        ends = np.cumsum(np.bincount(text, minlength=len(texts)))
+        of = part.column("common")
+        piles, sizes = part.column("texts").to_numpy(), part.column("size").to_numpy()
+        row, tokens, lefts, slacks = [], [], [], []
+        for i in range(len(texts)):
+            own = token[ends[i - 1] if i else 0 : ends[i]]
+            common = of[i].values.to_numpy().view(np.uint64) if of[i].is_valid else own[:0]
+            odd = np.setxor1d(own, common)
+            seen = often[(odd % np.uint64(SLOTS)).astype(np.int64)]
+            seen = np.where(np.isin(odd, common), np.maximum(piles[i] - seen, 0), seen)
+            odd = odd[np.lexsort((odd, seen))]
+            slack = int(sizes[i]) * (10_000 - scaled) - len(odd) * (10_000 + scaled)
+            most = int(sizes[i]) * 10_000 // scaled * (10_000 - scaled) + 10_000  # of any partner
+            left = len(odd) - np.arange(len(odd))
+            keep = 2 * left * (10_000 + scaled) >= -(slack + most)
+            row.append(np.full(1 + np.count_nonzero(keep), i))
+            tokens.append(np.concatenate([[np.uint64(0)], odd[keep]]).astype(np.uint64))
+            lefts.append(np.concatenate([[0], left[keep]]).astype(np.int64))
+            slacks.append(np.full(len(row[-1]), slack, np.int64))
+        at, lefts = np.concatenate(row), np.concatenate(lefts)
+        columns = [part.column(c).take(pa.array(at)) for c in ("pile", "node", "label", "size")]
+        tokens = pa.array(np.concatenate(tokens).view(np.int64), mask=lefts == 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(token.view(np.int64)), *columns, pa.array(rank < short[text])],
-            ["token", "node", "label", "size", "short"],
+            [*columns, tokens, pa.array(lefts), pa.array(np.concatenate(slacks))],
+            ["pile", "node", "label", "size", "token", "left", "slack"],
         )
 
 
-def _prefix_pairs(crowd: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) of different classes that may be near, from (node, label, size, text) of large buckets."""
-    counts = crowd.select("text").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    counts = counts.toArrow()  # at most SLOTS rows
+def _crowd_pairs(crowd: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) that connect all of a pile that is near, from (node, label, size, pile, text).
+
+    With x' and y' the differences of two bags from anything in common, |x| + |y| less twice the overlap
+    is |x'| + |y'| less twice |x' and y'|. Bags with enough slack are near without a shared difference,
+    then both are near the text with the most slack; all others share one early enough.
+    """
+    scaled = round(similar * 10_000)
+    counts = materialize(
+        crowd.select("pile", "text").mapInArrow(_token_counts, "pile long, token long, n long")
+        .groupBy("pile", "token").agg(F.sum("n").alias("n"))
+    )
+    # A token's remainder as unsigned number, as in _differences.
+    rest = F.pmod("token", F.lit(SLOTS)).cast("int")
+    slots = counts.groupBy(rest.alias("slot")).agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     often = np.zeros(SLOTS, np.int64)
-    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    prefixes = materialize(
-        crowd.select("node", "label", "size", "text").mapInArrow(
-            lambda it: _prefixes(it, often, similar), "token long, node long, label long, size long, short boolean"
+    often[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    piles = crowd.groupBy("pile").agg(F.count(F.lit(1)).alias("texts"))
+    common = counts.join(piles, "pile").where(F.col("n") * 2 > F.col("texts")).groupBy("pile")
+    common = piles.join(common.agg(F.collect_list("token").alias("common")), "pile", "left")
+    rows = materialize(
+        crowd.join(common, "pile").select("pile", "node", "label", "size", "texts", "common", "text").mapInArrow(
+            lambda it: _differences(it, often, scaled),
+            "pile long, node long, label long, size long, token long, left long, slack long",
         )
     )
-    # Tokens of one class only, which most are in a group of copies, are not joined.
-    mixed = prefixes.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("short").alias("any"))
-    mixed = mixed.where("low <> high and any").select("token")
-    prefixes = materialize(prefixes.join(mixed, "token"))
-    small = prefixes.where("short").select("token", *(F.col(c).alias(f"s_{c}") for c in ("node", "label", "size")))
-    pairs = prefixes.join(small, "token").where(
-        (F.col("label") != F.col("s_label"))
-        & (F.struct("s_size", "s_node") < F.struct("size", "node"))
-        & _near_in_size("s_size", "size", similar)
+    nodes = rows.where("token is null")
+    best = nodes.groupBy("pile").agg(F.max(F.struct("slack", "node", "label", "size")).alias("best"))
+    star = nodes.join(best, "pile").where(
+        (F.col("label") != F.col("best.label")) & (F.col("slack") + F.col("best.slack") >= 0)
+    )
+    star = star.select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+    enough = lambda left, slack: left * (2 * (10_000 + scaled)) >= -slack
+    rows = rows.where("token is not null").join(best, "pile")
+    rows = rows.where(enough(F.col("left"), F.col("slack") + F.col("best.slack"))).drop("best")
+    # Differences of one class only are not joined.
+    mixed = rows.groupBy("pile", "token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    rows = materialize(rows.join(mixed.where("low <> high").select("pile", "token"), ["pile", "token"]))
+    other = rows.select("pile", "token", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "size", "left", "slack")))
+    slack = F.col("slack") + F.col("o_slack")
+    pairs = rows.join(other, ["pile", "token"]).where(
+        (F.col("label") < F.col("o_label"))
+        & (slack < 0)
+        & enough(F.least("left", "o_left"), slack)
+        & _near_in_size("size", "o_size", similar)
     )
-    return pairs.select(F.col("node").alias("a"), F.col("s_node").alias("b"))
+    return star.unionByName(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -308,9 +354,14 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     right = few.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("la") < F.col("lb")) & _near_in_size("sa", "sb", similar))
     pairs = pairs.select("a", "b")
-    many = mixed.where(F.col("members") > SMALL_BUCKET).select("node", "label", "size").distinct()
+    many = mixed.where(F.col("members") > SMALL_BUCKET)
     if not many.isEmpty():
-        pairs = pairs.unionByName(_prefix_pairs(bodies.join(many, "node"), similar))
+        # Texts that meet in large buckets, directly or by others, are one pile.
+        hubs = many.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("hub"))
+        meet = many.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
+        piles = classes(meet.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
+        crowd = many.select("node", "label", "size").distinct().join(piles.select("node", F.col("label").alias("pile")), "node")
+        pairs = pairs.unionByName(_crowd_pairs(materialize(bodies.join(crowd, "node")), similar))
     pairs = materialize(_ordered(pairs).join(checked, ["a", "b"], "left_anti"))
     found = _links(pairs, bodies, similar)
     if not found.isEmpty():

@@ -75,19 +75,21 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
-def test_prefixes_lose_no_similar_pair(spark):
-    rows = [(i, i, sum(bag(t).values()), t) for i, t in enumerate(sorted({t for t in near_texts(2) if t and t.strip()}))]
+def test_differences_connect_all_similar_texts(spark):
+    texts = sorted({t for t in near_texts(2) if t and t.strip()})
+    bags = [bag(t) for t in texts]
+    rows = [(i, i, sum(b.values()), i % 2, t) for i, (b, t) in enumerate(zip(bags, texts))]
     for similar in (0.8, 0.5):
-        crowd = spark.createDataFrame(rows, "node long, label long, size long, text string")
-        got = {(min(r), max(r)) for r in map(tuple, near_dup._prefix_pairs(crowd, similar).collect())}
-        bags = [bag(t) for *_, t in rows]
-        near = {
-            (j, i)
-            for i in range(len(rows))
-            for j in range(i)
-            if sum((bags[i] & bags[j]).values()) >= similar * sum((bags[i] | bags[j]).values()) - 1e-9
-        }
-        assert near and near <= got and len(got) < len(rows) * len(rows) / 4
+        near = lambda i, j: sum((bags[i] & bags[j]).values()) >= similar * sum((bags[i] | bags[j]).values()) - 1e-9
+        crowd = spark.createDataFrame(rows, "node long, label long, size long, pile long, text string")
+        got = [(r["a"], r["b"]) for r in near_dup._crowd_pairs(crowd, similar).distinct().collect()]
+        group = list(range(len(rows)))
+        for a, b in got:
+            if near(a, b):
+                group = [group[a] if g == group[b] else g for g in group]
+        pairs = [(i, j) for i in range(len(rows)) for j in range(i) if i % 2 == j % 2 and near(i, j)]
+        assert pairs and all(group[i] == group[j] for i, j in pairs)
+        assert len(got) < len(rows) * len(rows) / 8
 
 
 def test_large_buckets_equal_brute_force(spark, monkeypatch):
