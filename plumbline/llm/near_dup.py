@@ -47,6 +47,7 @@ BANDS = 40
 BAND_ROWS = 6
 SMALL_BUCKET = 32  # members that are compared pair by pair; larger buckets are searched by differences
 SLOTS = 1 << 20  # counters of run frequencies, which only order the runs
+SALTS = 16  # parts of a pile, which may hold a third of all rows, when it is looked up
 SMALL_LINKS = 200_000  # links that one task can label without a shuffle
 
 
@@ -196,6 +197,13 @@ def _differences(batches: Iterator[pa.RecordBatch], often: np.ndarray, scaled: i
         )
 
 
+def _by_pile(rows: DataFrame, facts: DataFrame, spread: str) -> DataFrame:
+    """Rows with the facts of their pile; the rows of a pile are dealt over SALTS tasks by ``spread``."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["pile", "salt"]).drop("salt")
+
+
 def _crowd_pairs(crowd: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) that connect all of a pile that is near, from (node, label, size, pile, text).
 
@@ -214,22 +222,22 @@ def _crowd_pairs(crowd: DataFrame, similar: float) -> DataFrame:
     often = np.zeros(SLOTS, np.int64)
     often[slots["slot"].to_numpy()] = slots["n"].to_numpy()
     piles = crowd.groupBy("pile").agg(F.count(F.lit(1)).alias("texts"))
-    common = counts.join(piles, "pile").where(F.col("n") * 2 > F.col("texts")).groupBy("pile")
+    common = _by_pile(counts, piles, "token").where(F.col("n") * 2 > F.col("texts")).groupBy("pile")
     common = piles.join(common.agg(F.collect_list("token").alias("common")), "pile", "left")
     rows = materialize(
-        crowd.join(common, "pile").select("pile", "node", "label", "size", "texts", "common", "text").mapInArrow(
+        _by_pile(crowd, common, "node").select("pile", "node", "label", "size", "texts", "common", "text").mapInArrow(
             lambda it: _differences(it, often, scaled),
             "pile long, node long, label long, size long, token long, left long, slack long",
         )
     )
     nodes = rows.where("token is null")
     best = nodes.groupBy("pile").agg(F.max(F.struct("slack", "node", "label", "size")).alias("best"))
-    star = nodes.join(best, "pile").where(
+    star = _by_pile(nodes, best, "node").where(
         (F.col("label") != F.col("best.label")) & (F.col("slack") + F.col("best.slack") >= 0)
     )
     star = star.select(F.col("best.node").alias("a"), F.col("node").alias("b"))
     enough = lambda left, slack: left * (2 * (10_000 + scaled)) >= -slack
-    rows = rows.where("token is not null").join(best, "pile")
+    rows = _by_pile(rows.where("token is not null"), best, "node")
     rows = rows.where(enough(F.col("left"), F.col("slack") + F.col("best.slack"))).drop("best")
     # Differences of one class only are not joined.
     mixed = rows.groupBy("pile", "token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
