@@ -17,7 +17,12 @@ HOT_KEYS = 200
 
 
 def attach(
-    df: DataFrame, keys: str | Sequence[str], lookup: DataFrame, name: str, sizes: DataFrame
+    df: DataFrame,
+    keys: str | Sequence[str],
+    lookup: DataFrame,
+    name: str,
+    sizes: DataFrame,
+    limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left-join ``lookup(keys, name)``, which has one row per key, to ``df``.
 
@@ -31,8 +36,8 @@ def attach(
     right = lookup.select(*[ref(k).alias(m) for k, m in zip(keys, marks)], ref(name).alias(name))
     on = reduce(and_, [ref(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marks)])
     out = [ref(c) for c in [*df.columns, name]]
-    found = right.limit(BROADCAST_ROWS + 1).collect()
-    if len(found) <= BROADCAST_ROWS:
+    found = right.limit(limit + 1).collect()
+    if len(found) <= limit:
         # Computed once and of known size.
         return df.join(F.broadcast(spark.createDataFrame(found, right.schema)), on, "left").select(*out)
 

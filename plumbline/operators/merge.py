@@ -21,6 +21,9 @@ from ..functions.stats import skew_label
 from .profile import null_mask
 
 GRID = 1000  # steps at which a merged sketch is read
+TAILS = [10 ** (-e / 20) for e in range(200, 60, -1)]  # finer steps at either end, for outliers
+RANKS = [0.0, *TAILS, *(i / GRID for i in range(1, GRID)), *(1 - t for t in reversed(TAILS)), 1.0]
+SKETCH_SIZE = 4096  # ranks, and so outlier counts, are off by some 0.2 % of the rows at most
 
 
 def profile_states(
@@ -48,7 +51,7 @@ def profile_states(
                 m3.alias("m3"),
                 F.min(x).alias("min"),
                 F.max(x).alias("max"),
-                F.kll_sketch_agg_double(x).alias("quantiles"),
+                F.kll_sketch_agg_double(x, F.lit(SKETCH_SIZE)).alias("quantiles"),
                 F.hll_sketch_agg(ref(c).cast("string")).alias("distinct"),
             ).alias(f"s{i}")
         )
@@ -97,13 +100,18 @@ def merge_states(states: DataFrame, limits: Thresholds = DEFAULTS, digits: int =
         present & (F.col("n") >= 3),
         F.coalesce(g1 * F.sqrt(size * (size - 1)) / (size - 2), F.lit(0.0)),
     )
-    grid = F.lit([i / GRID for i in range(GRID + 1)])
+    grid = F.lit(RANKS)
     quantiles = F.when(present, F.kll_sketch_get_quantile_double("quantiles", grid))
     stats = merged.withColumns({"_q": quantiles, "skewness": skew})
-    q1, q3 = F.col("_q")[GRID // 4], F.col("_q")[3 * GRID // 4]
-    reach = limits.iqr_multiplier * (q3 - q1)
-    beyond = F.size(F.filter("_q", lambda v: (v < q1 - reach) | (v > q3 + reach)))
-    outliers = F.when(present, F.round(size * beyond / (GRID + 1)).cast("bigint"))
+    q1, q3 = F.col("_q")[RANKS.index(0.25)], F.col("_q")[RANKS.index(0.75)]
+    low, high = q1 - limits.iqr_multiplier * (q3 - q1), q3 + limits.iqr_multiplier * (q3 - q1)
+    # The extremes are exact: a side without values beyond its fence adds nothing, any other at least one.
+    # Ranks are symmetric, so the share above a fence is read as the share below one.
+    share = lambda steps: F.when(steps > 0, F.element_at(grid, F.greatest(steps, F.lit(1)))).otherwise(0.0)
+    below, above = F.size(F.filter("_q", lambda v: v < low)), F.size(F.filter("_q", lambda v: v > high))
+    under = F.when(F.col("min") < low, F.greatest(size * share(below), F.lit(1.0))).otherwise(0.0)
+    over = F.when(F.col("max") > high, F.greatest(size * share(above), F.lit(1.0))).otherwise(0.0)
+    outliers = F.when(present, F.round(under + over).cast("bigint"))
     total = F.col("n") + F.col("null_count")
     return stats.select(
         "column",
@@ -117,7 +125,7 @@ def merge_states(states: DataFrame, limits: Thresholds = DEFAULTS, digits: int =
         F.round("max", digits).alias("max"),
         F.round("skewness", digits).alias("skewness"),
         F.when(present, skew_label(F.round("skewness", digits), limits)).alias("skew_label"),
-        F.col("_q")[GRID // 2].alias("approx_median"),
+        F.col("_q")[RANKS.index(0.5)].alias("approx_median"),
         "approx_unique_count",
         outliers.alias("approx_outlier_count"),
     )

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_double, ref, require_columns
+from ..config import WIDE_AGG_COLUMNS
+from ..functions.columns import as_double, batches, numeric_columns, ref, require_columns
+from ..functions.quantiles import exact_quantiles
 from .dashboard import correlation_matrix
 from .profile import null_profile
 
+JAVA_CALLS = re.compile(r"\b(try_reflect|reflect|java_method)\b", re.IGNORECASE)
+
 COMPARISONS = {
     ">": lambda c, v: c > v,
     ">=": lambda c, v: c >= v,
@@ -41,12 +46,25 @@ AGGREGATES = {
 CHARTS = ("bar", "line", "histogram", "scatter", "none")
 
 
-def condition(tests: Sequence[tuple[str, str, object]]) -> Column:
-    """All of the ``(column, comparison, value)`` tests together."""
-    unknown = [op for _, op, _ in tests if op not in COMPARISONS]
-    if unknown:
-        raise ValueError(f"unknown comparisons: {', '.join(unknown)}")
-    return reduce(and_, [COMPARISONS[op](ref(c), v) for c, op, v in tests], F.lit(True))
+def condition(tests: Sequence[tuple]) -> Column:
+    """All of the tests together.
+
+    A test is ``(column, comparison, value)``, or ``("any", tests)``, ``("all", tests)`` or
+    ``("not", tests)`` (not all of them) over further tests.
+    """
+    return reduce(and_, [_test(t) for t in tests], F.lit(True))
+
+
+def _test(test: tuple) -> Column:
+    if len(test) == 2 and test[0] in ("any", "all", "not"):
+        kind, inner = test
+        if kind == "any":
+            return reduce(or_, [_test(t) for t in inner], F.lit(False))
+        return ~condition(inner) if kind == "not" else condition(inner)
+    if len(test) != 3 or test[1] not in COMPARISONS:
+        raise ValueError(f"unknown comparison: {test!r}")
+    column, comparison, value = test
+    return COMPARISONS[comparison](ref(column), value)
 
 
 def group_mean(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -144,12 +162,45 @@ def run_query(df: DataFrame, spec: dict) -> DataFrame:
     return df
 
 
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, count, mean, std, min, q1, median, q3, max)`` of the numeric columns.
+
+    Quartiles are exact and interpolated; NULL and NaN are left out. A column without
+    values has a count of 0 and NULL otherwise.
+    """
+    columns = numeric_columns(df) if columns is None else list(columns)
+    require_columns(df, columns)
+    values = {c: as_double(c) for c in columns}
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    found = {}
+    for group in batches(columns, WIDE_AGG_COLUMNS // len(parts)):
+        row = df.agg(*[f(values[c]) for c in group for f in parts.values()]).first()
+        found.update({c: row[i * len(parts) : (i + 1) * len(parts)] for i, c in enumerate(group)})
+    quartiles = exact_quantiles(df, values, [0.25, 0.5, 0.75], {c: found[c][0] for c in columns})
+    rows = [(c, *found[c][:4], *quartiles[c], found[c][4]) for c in columns]
+    numbers = ", ".join(f"{n} double" for n in ("mean", "std", "min", "q1", "median", "q3", "max"))
+    return df.sparkSession.createDataFrame(rows, f"column string, count bigint, {numbers}")
+
+
 def run_sql(df: DataFrame, text: str) -> DataFrame:
     """Run a SELECT that names the table as ``{df}``.
 
     The text is placed where only a query can stand, so statements that change or define
-    anything do not parse.
+    anything do not parse. Functions that call into Java are refused, and so is every table,
+    view or file other than the given one and what the text itself defines by WITH: Spark's
+    own explanation of the text lists them.
     """
     if "{df}" not in text:
         raise ValueError("name the table as {df}")
-    return df.sparkSession.sql(f"SELECT * FROM (\n{text}\n)", df=df)
+    if JAVA_CALLS.search(text):
+        raise ValueError("functions that call into Java are not allowed")
+    statement = f"SELECT * FROM (\n{text}\n)"
+    spark = df.sparkSession
+    plans = spark.sql(f"EXPLAIN EXTENDED {statement}", df=df).first()[0]
+    parsed = plans.partition("== Analyzed Logical Plan ==")[0]
+    own = {n.strip() for names in re.findall(r"CTE \[([^\]]*)\]", parsed) for n in names.split(",")}
+    named = set(re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed))
+    other = sorted(n for n in named - own if not re.fullmatch(r"_pyspark_\w+", n))
+    if other:
+        raise ValueError(f"only the given table can be read, not {', '.join(other)}")
+    return spark.sql(statement, df=df)

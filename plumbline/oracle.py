@@ -542,4 +542,14 @@ ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 10""")
 WHERE word <> '' GROUP BY word""")
     q("c_json", """SELECT event_type, count(try_cast(json_extract_string(props, '$.k') AS DOUBLE)) AS with_k,
   count(*) AS n FROM events GROUP BY event_type""")
+    q("c_describe", union([f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 4) AS mean,
+  round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q1,
+  round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3, round(max({c}), 4) AS max
+FROM lineitem""" for c in ("l_quantity", "l_extendedprice", "l_discount")]))
+
+    # Other plans, the same rows.
+    q("scale_lead", """SELECT event_id, ts, value, lead(value, 2) OVER (ORDER BY ts, event_id) AS value_shift FROM events""")
+    q("scale_drop_duplicates", sql["drop_duplicates"])
+    for name in ("quantiles", "self_join", "row_number", "lag", "cumsum", "rolling", "asof"):
+        q(f"scale_{name}", sql[f"c_{name}"])
     return sql

@@ -11,6 +11,7 @@ from .functions.columns import as_double
 from .functions.counts import distinct_counts, top_values, value_frequencies
 from .functions.leading import leading_values
 from .functions.parsing import parse_number
+from .functions.quantiles import exact_quantiles
 from .operators import dashboard, features, merge, nulls, ordered, outliers, query, retrieval, rows, target, types
 from .operators import profile as prof
 from .operators.joins import attach
@@ -138,7 +139,7 @@ def merged_profile(spark, sf):  # P16
 @register
 def merged_top_values(spark, sf):  # P16
     lines = load(spark, sf, "lineitem")
-    halves = F.col("l_shipdate") < F.lit("1998-07-01").cast("timestamp_ntz")
+    halves = F.coalesce(F.col("l_shipdate") < F.lit("1998-07-01").cast("timestamp_ntz"), F.lit(False))
     columns = ["l_returnflag", "l_linestatus"]
     states = merge.frequency_states(lines, columns, halves).unionByName(
         merge.frequency_states(lines, columns, ~halves)
@@ -864,18 +865,26 @@ def c_melt(spark, sf):
     return long.groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@register
-def c_quantiles(spark, sf):
-    from .functions.quantiles import exact_quantiles
-
+def _line_quantiles(spark, sf, **options):
     table = load(spark, sf, "lineitem")
     probs = [0.01, 0.1, 0.5, 0.9, 0.99]
     columns = ["l_extendedprice", "l_quantity"]
-    found = exact_quantiles(table, {c: as_double(c) for c in columns}, probs)
+    found = exact_quantiles(table, {c: as_double(c) for c in columns}, probs, **options)
     pairs = [(c, p, round(v, 4)) for c in columns for p, v in zip(probs, found[c])]
     return spark.createDataFrame(pairs, "column string, prob double, value double")
 
 
+@register
+def c_quantiles(spark, sf):
+    return _line_quantiles(spark, sf)
+
+
+@register
+def c_describe(spark, sf):
+    found = query.describe(load(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return rounded(found, "mean", "std", "min", "q1", "median", "q3", "max")
+
+
 @register
 def c_words(spark, sf):
     words = F.explode(F.split(F.lower("text"), " ")).alias("word")
@@ -897,3 +906,66 @@ def c_json(spark, sf):
         .groupBy("event_type")
         .agg(F.count("k").alias("with_k"), F.count("*").alias("n"))
     )
+
+
+# The same operators in the plans of large tables: small ranges, small limits, equal results
+
+RANGE = 2000
+
+
+@register
+def scale_quantiles(spark, sf):
+    return _line_quantiles(spark, sf, direct_rows=1000)
+
+
+@register
+def scale_drop_duplicates(spark, sf):
+    return rows.drop_duplicates(orders(spark, sf), 0)
+
+
+@register
+def scale_self_join(spark, sf):
+    table = load(spark, sf, "orders")
+    per_customer = table.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean_price"), F.count("*").alias("count"))
+    joined = attach(table, "o_custkey", per_customer, "mean_price", per_customer, limit=10)
+    return joined.select("o_orderkey", F.round(F.col("o_totalprice") - F.col("mean_price"), 6).alias("above_mean"))
+
+
+@register
+def scale_row_number(spark, sf):
+    lines = load(spark, sf, "lineitem").select(*LINE_ORDER, "l_returnflag")
+    return ordered.row_numbers(lines, LINE_ORDER, ["l_returnflag"], rows_per_range=RANGE)
+
+
+@register
+def scale_lag(spark, sf):
+    table = load(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    return ordered.shift(table, "value", EVENTS_ORDER, 1, ["user_id"], rows_per_range=RANGE)
+
+
+@register
+def scale_lead(spark, sf):
+    table = load(spark, sf, "events").select("event_id", "ts", "value")
+    return ordered.shift(table, "value", EVENTS_ORDER, -2, rows_per_range=RANGE)
+
+
+@register
+def scale_cumsum(spark, sf):
+    lines = load(spark, sf, "lineitem").select(*LINE_ORDER, "l_returnflag", "l_quantity")
+    summed = ordered.running_sum(lines, "l_quantity", LINE_ORDER, ["l_returnflag"], rows_per_range=RANGE)
+    return rounded(summed, "l_quantity_cumsum")
+
+
+@register
+def scale_rolling(spark, sf):
+    lines = load(spark, sf, "lineitem").select(*LINE_ORDER, "l_quantity")
+    means = ordered.rolling_mean(lines, "l_quantity", LINE_ORDER, 7, ["l_suppkey"], rows_per_range=RANGE)
+    return rounded(means, "l_quantity_rolling")
+
+
+@register
+def scale_asof(spark, sf):
+    table = load(spark, sf, "events")
+    views = table.filter(F.col("event_type") != "click").select("event_id", "ts", "user_id")
+    clicks = table.filter(F.col("event_type") == "click").select("ts", "user_id", F.col("value").alias("click_value"))
+    return ordered.asof_join(views, clicks, "ts", ["user_id"], ["click_value"], "event_id", rows_per_range=RANGE)

@@ -220,6 +220,40 @@ def test_sql_is_read_only(spark, riders):
     assert spark.catalog.tableExists("riders_view")
 
 
+def test_sql_reads_the_given_table_only(spark, riders):
+    riders.createOrReplaceTempView("other_view")
+    for text in (
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x FROM {df}",
+        "SELECT `java_method`('java.lang.System', 'getProperty', 'user.home') AS x FROM {df}",
+        "SELECT a.g FROM {df} AS a, other_view AS b",
+        "SELECT g, (SELECT max(age) FROM other_view) AS m FROM {df}",
+        "SELECT " + ", ".join(f"won + {i} AS w{i}" for i in range(40)) + ", (SELECT max(age) FROM other_view) AS m FROM {df}",
+        "SELECT g FROM {df} WHERE age IN (SELECT age FROM parquet.`/tmp/somewhere`)",
+    ):
+        with pytest.raises(ValueError):
+            query.run_sql(riders, text)
+    text = "WITH few AS (SELECT g, age FROM {df} WHERE won = 1) SELECT max(few.age) AS m FROM few JOIN {df} USING (g)"
+    assert query.run_sql(riders, text).columns == ["m"]
+
+
+def test_nested_conditions(riders):
+    either = ("any", [("age", ">", 65), ("all", [("g", "==", "b"), ("won", "is_null", True)])])
+    assert query.run_query(riders, {"where": [either]}).count() == 2
+    assert query.run_query(riders, {"where": [("not", [("g", "==", "a")]), ("age", "<", 61)]}).count() == 1
+    for bad in (("some", []), ("any", [("age", "like", 1)])):
+        with pytest.raises(ValueError):
+            query.condition([bad])
+
+
+def test_describe(spark, riders):
+    found = {r["column"]: r for r in query.describe(riders).collect()}
+    assert tuple(found["won"])[1:3] == (4, 0.5) and set(found) == {"age", "won"}
+    assert (found["age"]["min"], found["age"]["q1"], found["age"]["median"], found["age"]["max"]) == (20.0, 50.0, 60.5, 70.0)
+    empty = query.describe(spark.createDataFrame([], "x double, s string")).first()
+    assert tuple(empty) == ("x", 0, None, None, None, None, None, None, None)
+    assert query.describe(riders.select("g")).isEmpty()
+
+
 def test_log_target_round_trip(spark):
     df = spark.createDataFrame([(0.0,), (9.0,)], "y double")
     back = target.unlog_target(target.log_target(df, "y"), "y_log", "b")

@@ -12,7 +12,9 @@ SAMPLE = """
 table_profile profile_numeric column_profile infer_types top_values_by_column merged_profile
 drop_duplicates to_datetime to_categorical fill_median fill_forward_by_user planned_outliers
 cleaning_plan clean_orders feature_correlations feature_suggestions feat_onehot histogram kde box_stats
-text_chunks vector_topk q_structured c_rank c_cumsum c_rolling c_asof
+text_chunks vector_topk q_structured c_rank c_cumsum c_rolling c_asof c_describe
+scale_quantiles scale_drop_duplicates scale_self_join scale_row_number scale_lag scale_lead scale_cumsum
+scale_rolling scale_asof
 """.split()
 
 

@@ -205,6 +205,13 @@ def test_merged_states_equal_the_whole(spark):
     assert merged["x"]["approx_outlier_count"] == 0
 
 
+def test_few_outliers_of_merged_states(spark):
+    value = F.when(F.col("id") % 2000 == 7, 1e9 + F.col("id")).otherwise(F.col("id") % 1000).cast("double")
+    df = spark.range(20_000).select(value.alias("x"), (F.col("id") % 4).alias("chunk"))
+    exact = numeric_profile(df, ["x"]).first()["outlier_count"]
+    found = merge.merge_states(merge.profile_states(df, ["x"], F.col("chunk"))).first()["approx_outlier_count"]
+    assert exact == 10 and 1 <= found and abs(found - exact) <= 0.001 * 20_000
+
 def test_date_range_of_the_sample(spark):
     df = spark.range(300).select("id", F.expr("DATE '2024-01-01' + CAST(id AS INT)").cast("string").alias("day"))
     whole = profile(df, ["id"], duplicates=False).columns["day"]
