@@ -126,6 +126,22 @@ def test_scale_solves_its_equation():
     assert abs((share * np.exp(x * scores)).sum() - 1) < 1e-6
 
 
+def test_place_counts_clean_texts_without_a_segment():
+    # Best scores drawn from the law itself, cut off below the least score of a segment.
+    rng = np.random.default_rng(3)
+    scale, log_k, least = 2.0, -4.0, 1.5
+    n = rng.integers(20, 400, 40_000).astype(float)
+    best = (log_k + np.log(n) - np.log(-np.log(rng.random(len(n))))) / scale
+    best[best < least] = 0.0
+    assert 0.5 < np.mean(best == 0) < 0.99
+    assert abs(toxicity.place_of(best, n, scale, least) - log_k) < 0.05
+    # A text without a segment is evidence of its own, and no text at all is none.
+    few = best > 0
+    assert toxicity.place_of(best[few], n[few], scale, least) > log_k + 0.5
+    assert toxicity.place_of(np.zeros(3), np.array([5.0, 0.0, 9.0]), scale, least) < 2.0
+    assert toxicity.place_of(np.zeros(0), np.zeros(0), scale, least) == 0.0
+
+
 def test_toxic_passages_are_found(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("lmn") + rng.choice(["", "er", "a"])
@@ -167,6 +183,16 @@ def test_toxicity_held_out(spark):
     assert np.mean(found) > 0.85 and np.mean(clean) < 0.005
 
 
+def test_toxicity_held_out_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    rows = queries.op10_toxicity(spark, sf).where("held_out").join(labels, "doc_id").join(docs, "doc_id").toPandas()
+    found = rows[rows.toxic == 1].groupby("lang").predicted.mean()
+    assert found["en"] > 0.85 and found["fr"] > 0.8 and found["de"] > 0.8 and found["es"] > 0.25
+    assert rows[rows.toxic == 0].predicted.mean() < 0.01
+
+
 # Site quality
 
 
