@@ -11,9 +11,11 @@ segment has the probability that a clean text of that length holds one as good,
 significant ones are reported. A text's evidence, the sum of its significant segments' log
 probabilities, is turned to a probability by a logistic curve fitted to the labelled sample.
 
-Corpus counts come from all documents. Tokens are counted, once a document, in a table of fixed size (hashed),
-one row per task and token, added up by Spark; labels come from a bounded sample of
-labelled documents, which is small enough to be sent to every task.
+Corpus counts come from all documents. Tokens are known by their 64-bit hash and counted, once a
+document, one row per slice of text and token, added up by Spark before and after the shuffle. Only
+tokens of toxic documents can score, so only their counts reach the driver and only those with
+a positive score are sent to the tasks. Labels come from a bounded sample of labelled documents, which
+bounds both, and which is small enough to be sent to every task.
 
 Cases: a NULL or empty text has no tokens and no segment, and gets the score of no evidence.
 Documents with one id share a label (1 if any row says so). Without labels of both kinds
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,6 @@ from .site_quality import fit_logistic, labelled_sample
 from .words import mix, slices, split_words, word_hashes
 
 SAMPLE = 20_000  # labelled documents that teach, at most in expectation
-BITS = 18
-TABLE = 1 << BITS
 PRIOR_TOKENS = 0.1  # tokens of the prior, as a share of the labelled tokens
 # SURE and SIGNIFICANT: fewest errors in cross-validation (4 and 10 folds) over the teaching rows of sf0.1.
 SURE = 1.75  # deviations that a token's log-odds must exceed
@@ -47,7 +48,9 @@ THRESHOLD = 0.7
 
 @dataclass(frozen=True)
 class Model:
-    scores: np.ndarray  # of every token number
+    tokens: np.ndarray  # hashes of the tokens with a positive score, in order
+    scores: np.ndarray  # theirs
+    cost: float  # what any other token takes
     scale: float  # of the extreme-value law
     log_k: float  # its place
     slope: float
@@ -55,58 +58,64 @@ class Model:
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all texts, and how many each has."""
+    """Token hashes of all texts, and how many each has."""
     words, counts = split_words(texts, letters=True)
-    return (mix(word_hashes(words)) >> np.uint64(64 - BITS)).astype(np.int64), counts
+    return mix(word_hashes(words)).view(np.int64), counts
 
 
-def token_counts(docs: DataFrame) -> np.ndarray:
-    """Tokens of all documents and of the toxic and clean labelled ones: 3 rows of the table.
+def token_counts(docs: DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Documents with each token (token, n, toxic, clean), for tokens of toxic ones, and the sums over all tokens.
 
     A token counts once for each document, so one document that repeats a word proves little.
     ``docs`` has text and label (NULL: not labelled).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((3, TABLE), np.int64)
         for part, texts in slices(batches, "text"):
             ids, counts = tokens(texts)
-            once = np.unique(np.repeat(np.arange(len(counts)), counts) * TABLE + ids)
-            ids, doc = once % TABLE, once // TABLE
-            table[0] += np.bincount(ids, minlength=TABLE)
+            codes, found = pd.factorize(ids)
+            if not len(found):
+                continue
+            once = np.unique(np.repeat(np.arange(len(counts)), counts) * len(found) + codes)
+            codes, doc = once % len(found), once // len(found)
             label = part.column("label").fill_null(-1).to_numpy(zero_copy_only=False)[doc]
-            for row, value in ((1, 1), (2, 0)):
-                if (chosen := ids[label == value]).size:
-                    table[row] += np.bincount(chosen, minlength=TABLE)
-        used = np.flatnonzero(table[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), *(pa.array(row[used]) for row in table)], ["token", "n", "toxic", "clean"]
-        )
+            rows = [np.bincount(x, minlength=len(found)) for x in (codes, codes[label == 1], codes[label == 0])]
+            # The row without a token holds the sums.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *found.tolist()], pa.int64()), *(pa.array(np.append(r.sum(), r)) for r in rows)],
+                ["token", "n", "toxic", "clean"],
+            )
 
+    names = ["n", "toxic", "clean"]
     parts = docs.select("text", "label").mapInArrow(run, "token long, n long, toxic long, clean long")
-    rows = parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "clean")))
-    found = rows.toPandas()  # at most the table's size
-    table = np.zeros((3, TABLE))
-    for row, name in enumerate(("n", "toxic", "clean")):
-        table[row, found["token"].to_numpy(np.int64)] = found[name].to_numpy()
-    return table
-
-
-def token_scores(counts: np.ndarray) -> np.ndarray:
-    """Log-odds beyond their uncertainty, or a small cost."""
-    total, toxic, clean = counts
-    n1, n0 = toxic.sum(), clean.sum()
-    prior = PRIOR_TOKENS * (n1 + n0) * total / max(total.sum(), 1.0)
-    prior = np.maximum(prior, 1e-3)
-    weight = prior.sum()
+    rows = parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in names))
+    # As many rows as the bounded sample's toxic documents have tokens. pandas would turn a NULL's column to floats.
+    found = rows.where("token is null or toxic > 0").selectExpr("token is null as whole", "coalesce(token, 0) as token", *names)
+    found = found.toPandas()
+    return found[~found["whole"]], found.loc[found["whole"], names].sum().to_numpy(float)
+
+
+def token_scores(counts: pd.DataFrame, sums: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log-odds beyond their uncertainty, 0 where nothing is left, and the cost of a token without evidence."""
+    total, toxic, clean = (counts[c].to_numpy(float) for c in ("n", "toxic", "clean"))
+    n, n1, n0 = sums
+    share = total / max(n, 1.0)
+    weight = PRIOR_TOKENS * (n1 + n0)
+    prior = np.maximum(weight * share, 1e-3)
     odds = lambda y, n: np.log(y + prior) - np.log(n + weight - y - prior)
     delta = odds(toxic, n1) - odds(clean, n0)
     sure = delta - SURE * np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
     scores = np.where(sure > 0, sure, 0.0)
     # The mean score of a clean text must be negative, or segments would grow without end.
-    share = total / max(total.sum(), 1.0)
-    cost = max(COST, 2 * float((share * scores).sum()))
-    return np.where(scores > 0, scores, -cost)
+    return scores, max(COST, 2 * float((share * scores).sum()))
+
+
+def values_of(ids: np.ndarray, known: np.ndarray, scores: np.ndarray, cost: float) -> np.ndarray:
+    """The score of every token; ``known`` holds the tokens with a positive one, in order."""
+    if not len(known):
+        return np.full(len(ids), -cost)
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    return np.where(known[at] == ids, scores[at], -cost)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -171,8 +180,7 @@ def log_p(score: float, n: int, scale: float, log_k: float) -> float:
     return math.log(-math.expm1(-expected)) if expected > 1e-12 else log_k + math.log(max(n, 1)) - scale * score
 
 
-def _scan(ids: np.ndarray, counts: np.ndarray, scores: np.ndarray) -> list[list[tuple[int, int, float]]]:
-    values = scores[ids]
+def _scan(values: np.ndarray, counts: np.ndarray) -> list[list[tuple[int, int, float]]]:
     ends = np.cumsum(counts)
     some = np.add.reduceat(np.append(values > 0, False), np.append(ends - counts, len(values)))[:-1] if len(counts) else []
     return [
@@ -194,16 +202,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from ``labels`` (doc_id, toxic), whatever rows it is given, and the texts of all ``docs``."""
     chosen = labelled_sample(docs, labels, "toxic", sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = token_counts(rows.join(F.broadcast(chosen), "doc_id", "left"))
-    if not counts[1].sum() or not counts[2].sum():
-        return Model(np.full(TABLE, -COST), 1.0, 0.0, 0.0, -50.0)
-    scores = token_scores(counts)
-    scale = scale_of(scores, counts[2] / counts[2].sum())
+    counts, sums = token_counts(rows.join(F.broadcast(chosen), "doc_id", "left"))
+    if not sums[1] or not sums[2]:
+        return Model(np.zeros(0, np.int64), np.zeros(0), COST, 1.0, 0.0, 0.0, -50.0)
+    scores, cost = token_scores(counts, sums)
+    positive = scores > 0
+    known, share = counts["token"].to_numpy(np.int64)[positive], counts["clean"].to_numpy(float)[positive] / sums[2]
+    order = np.argsort(known)
+    known, scores, share = known[order], scores[positive][order], share[order]
+    scale = scale_of(np.append(scores, -cost), np.append(share, 1 - share.sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             ids, sizes = tokens(texts)
-            found = _scan(ids, sizes, shared.value)
+            found = _scan(values_of(ids, *shared.value), sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("label"), pa.array(sizes),
@@ -212,18 +224,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 ["label", "n", "scores"],
             )
 
-    shared = docs.sparkSession.sparkContext.broadcast(scores)
+    shared = docs.sparkSession.sparkContext.broadcast((known, scores, cost))
     learn = rows.join(F.broadcast(chosen), "doc_id").select("label", "text")
     learn = learn.mapInArrow(run, "label int, n long, scores array<double>").toPandas()  # the bounded sample
     best = np.array([max(x, default=0.0) for x in learn["scores"]])
     n, y = learn["n"].to_numpy(), (learn["label"].to_numpy() > 0).astype(float)
-    clean, least = y == 0, min(scores[scores > 0], default=0.0)
-    log_k = place_of(best[clean], n[clean], scale, least)
+    log_k = place_of(best[y == 0], n[y == 0], scale, min(scores, default=0.0))
     evidence = np.array(
         [_sum_of_logs(_evidence([(0, 0, s) for s in x], m, scale, log_k)) for x, m in zip(learn["scores"], n)]
     )
     slope, intercept = fit_logistic(evidence[:, None], y, ridge=1e-3)
-    return Model(scores, scale, log_k, max(float(slope), 0.0), float(intercept))
+    return Model(known, scores, cost, scale, log_k, max(float(slope), 0.0), float(intercept))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -237,9 +248,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for part, texts in slices(batches, "text"):
             ids, sizes = tokens(texts)
-            rated = [
-                _evidence(x, int(n), m.scale, m.log_k) if x else [] for x, n in zip(_scan(ids, sizes, m.scores), sizes)
-            ]
+            found = _scan(values_of(ids, m.tokens, m.scores, m.cost), sizes)
+            rated = [_evidence(x, int(n), m.scale, m.log_k) if x else [] for x, n in zip(found, sizes)]
             score = [1 / (1 + math.exp(-(m.intercept + m.slope * _sum_of_logs(x)))) for x in rated]
             passages = [
                 [{"start": a, "length": b - a, "score": s, "p": math.exp(p)} for a, b, s, p in x] for x in rated

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import crf, queries, site_quality, toxicity
+from plumbline.llm.words import mix, word_hashes
 
 SF = "/root/testdata/sf0.01"
 ODD = [None, "", "   ", "123 !!", "a", "x" * 100_000, "word " * 20_000]
@@ -142,6 +143,36 @@ def test_place_counts_clean_texts_without_a_segment():
     assert toxicity.place_of(np.zeros(0), np.zeros(0), scale, least) == 0.0
 
 
+def test_tokens_are_counted_exactly(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(800)) for _ in range(60)]
+    labels = [i % 3 if i % 3 < 2 else None for i in range(60)]
+    rows = [*zip(texts, labels), (None, 1), ("", 0)]
+    counts, sums = toxicity.token_counts(spark.createDataFrame(rows, "text string, label int").repartition(7))
+    bags = [set(t.split()) for t in texts]
+    words = sorted(set().union(*bags))
+    named = dict(zip(toxicity.tokens([" ".join(words)])[0].tolist(), words))
+    assert len(named) == len(words)
+    got = {named[int(r.token)]: (r.n, r.toxic, r.clean) for r in counts.itertuples()}
+    of = lambda w, value: sum(w in b and (value < 0 or x == value) for b, x in zip(bags, labels))
+    assert set(got) == set().union(*(b for b, x in zip(bags, labels) if x == 1))
+    assert all(got[w] == (of(w, -1), of(w, 1), of(w, 0)) for w in rng.sample(sorted(got), 300))
+    assert list(sums) == [sum(len(b) for b, x in zip(bags, labels) if v is None or x == v) for v in (None, 1, 0)]
+
+
+def test_words_that_share_hash_bits_stay_apart(spark):
+    # Clean texts hold words whose hashes begin with the same 18 bits as that of the toxic word.
+    many = [f"w{i}" for i in range(1_500_000)]
+    bits = mix(word_hashes(["vile", *many])) >> np.uint64(46)
+    alike = [many[i] for i in np.flatnonzero(bits[1:] == bits[0])]
+    assert alike
+    texts = [f"plain text number{i} " + ("vile" if i % 5 == 0 else alike[i % len(alike)]) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300) if i % 2], "doc_id long, toxic int")
+    docs = docs_of(spark, texts)
+    rows = toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()
+    assert {r["doc_id"] for r in rows if r["predicted"]} == {i for i in range(300) if i % 5 == 0}
+
+
 def test_toxic_passages_are_found(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("lmn") + rng.choice(["", "er", "a"])
@@ -189,7 +220,7 @@ def test_toxicity_held_out_in_every_language(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = queries.op10_toxicity(spark, sf).where("held_out").join(labels, "doc_id").join(docs, "doc_id").toPandas()
     found = rows[rows.toxic == 1].groupby("lang").predicted.mean()
-    assert found["en"] > 0.85 and found["fr"] > 0.8 and found["de"] > 0.8 and found["es"] > 0.25
+    assert found["en"] > 0.85 and found["fr"] > 0.8 and found["de"] > 0.8 and found["es"] > 0.6
     assert rows[rows.toxic == 0].predicted.mean() < 0.01
 
 
