@@ -161,6 +161,17 @@ def test_lines_that_only_begin_alike_are_kept(spark):
     assert got == dict(enumerate(texts))
 
 
+def test_short_lines_that_begin_alike_are_kept(spark):
+    texts = [
+        "he went home early\nthe red door was open\nthe old clock on wall struck twelve",
+        "he went home late\nthe red door was shut\nthe old clock on wall stopped again",
+    ]
+    # Recurring short lines still go, with or without a number in them.
+    texts = [f"{t}\nsee all our offers\nyou are visitor {i}" for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "\n".join(texts[1].split("\n")[:3])}
+
+
 def test_line_dedup_keeps_rows_and_columns(spark):
     frame = docs_of(spark, ["a\nb", "a\nb", "a\nb", "a\nc", "a\nd"], [7, 7, None, None, 9]).withColumn("doc", F.lit(1)).withColumn("drop", F.lit(2))
     out = line_dedup.without_recurring_lines(frame)
