@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import line_dedup as lines
 from . import quality_rules as rules
+from . import variants
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -145,10 +146,105 @@ FROM page
 """
 
 
+def _checksum(strings: str) -> str:
+    """Steps of a recursive query that end in ``checksum`` (s, h): the CRC-32 of every s of ``strings``."""
+    return f"""
+bits(b, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS of FROM bits WHERE k = 8),
+string AS MATERIALIZED (SELECT DISTINCT s, hex(encode(s)) AS bytes FROM ({strings})),
+state(s, bytes, i, c) AS (
+  SELECT s, bytes, 0, 4294967295 FROM string
+  UNION ALL
+  SELECT s, bytes, i + 1, xor(c >> 8, of[(xor(c, ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT) & 255) + 1])
+  FROM state, crc WHERE 2 * i < length(bytes)),
+checksum AS MATERIALIZED (SELECT s, xor(c, 4294967295) AS h FROM state WHERE 2 * i = length(bytes))"""
+
+
+def _spelling_variants() -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE run AS MATERIALIZED (
+  SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w
+    FROM documents) GROUP BY doc_id, w),
+{_checksum("SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS s FROM run")},
+altered AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word
+  FROM run JOIN checksum ON s = coalesce(doc_id::VARCHAR, '') || ':' || w),
+vocabulary AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM altered WHERE length(word) >= {variants.LEAST_LETTERS}
+  GROUP BY word HAVING sum(n) >= {variants.LEAST_TIMES}),
+less AS MATERIALIZED (
+  SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS k FROM vocabulary)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN vocabulary b ON a.rest = b.word),
+best AS MATERIALIZED (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT v.word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= {variants.MORE} * n THEN other END AS form,
+         CASE WHEN other_n >= {variants.MORE} * n THEN other_n END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON v.word = b.word),
+chain(word, top) AS (
+  SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.top = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.top AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.top WHERE e.form IS NULL
+"""
+
+
+def _periodic_runs() -> str:
+    return rf"""
+WITH RECURSIVE {_checksum("SELECT doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL")},
+word AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+sized AS (
+  SELECT doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS changed, h // 10 AS g
+  FROM word LEFT JOIN checksum ON s = doc_id::VARCHAR),
+placed AS (
+  SELECT *, CASE WHEN changed THEN g % n ELSE n END AS a, CASE WHEN changed THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM sized),
+pos AS MATERIALIZED (
+  SELECT doc_id, n, i, words[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1] AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM placed)),
+match AS (
+  SELECT y.doc_id, y.i, y.i - x.i AS lag
+  FROM pos x JOIN pos y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i AND 4 * (y.i - x.i) <= y.n),
+stretch AS (
+  SELECT doc_id, lag, min(i) - lag AS start, count(*) + lag AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS part FROM match)
+  GROUP BY doc_id, lag, part HAVING count(*) + lag >= greatest(6, 4 * lag)),
+run AS MATERIALIZED (
+  SELECT doc_id, start, length, lag AS period FROM stretch a WHERE NOT EXISTS (
+    SELECT 1 FROM stretch b WHERE b.doc_id = a.doc_id AND b.lag < a.lag
+       AND b.start <= a.start AND b.start + b.length >= a.start + a.length)),
+dropped AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM run)),
+kept AS (
+  SELECT p.doc_id, string_agg(w, ' ' ORDER BY p.i) AS collapsed
+  FROM pos p LEFT JOIN dropped d ON p.doc_id = d.doc_id AND p.i = d.i WHERE d.i IS NULL GROUP BY p.doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY doc_id),
+best AS (
+  SELECT a.* FROM run a WHERE NOT EXISTS (
+    SELECT 1 FROM run b WHERE b.doc_id = a.doc_id
+       AND (b.length * a.period > a.length * b.period
+         OR b.length * a.period = a.length * b.period AND (b.start < a.start OR b.start = a.start AND b.period < a.period))))
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": _line_dedup(),
         "op4_chat_format": _chat_format(),
         "op5_quality_rules": _quality_rules(),
         "op8_warc": _warc(),
+        "op11_spelling_variants": _spelling_variants(),
+        "op13_periodic_runs": _periodic_runs(),
     }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, line_dedup, near_dup, packing, quality_rules, site_quality, tiling, toxicity, warc
+from . import chat, crf, line_dedup, near_dup, packing, periodic, pieces, quality_rules, site_quality, tiling, toxicity, variants, warc
+from .columns import words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -75,6 +82,53 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    counted = variants.count_words(table(spark, sf, "documents"), variants.thinned)
+    return variants.group_variants(counted).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    model = piece_model_path()
+    both = pieces.decode_ids(pieces.encode_texts(table(spark, sf, "documents"), model), model)
+    return both.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where the tail of every tenth document by checksum repeats its first words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = docs.select("doc_id", "text", h.alias("h"))
+    cut = own.select("doc_id", "text", "h", F.when(F.col("h") % 10 == 0, words(F.col("text"))).alias("w"))
+    n, g = F.nullif(F.size("w"), F.lit(0)), F.floor(F.col("h") / 10)
+    placed = cut.select("doc_id", "text", "w", n.alias("n"), g.alias("g"), (g % n).cast("int").alias("a"))
+    period = (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int")
+    placed = placed.withColumn("p", period)
+    left = F.col("n") - F.col("a")
+    unit = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.periodic_runs(with_repeats(table(spark, sf, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +140,7 @@ def all_queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_line_dedup, op2_site_quality, op3_near_duplicates, op4_chat_format, op5_quality_rules,
-            op6_best_fit_packing, op7_decontamination, op8_warc, op9_language, op10_toxicity, pipeline,
+            op6_best_fit_packing, op7_decontamination, op8_warc, op9_language, op10_toxicity,
+            op11_spelling_variants, op12_sentencepiece, op13_periodic_runs, pipeline,
         )
     }

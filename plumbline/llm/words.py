@@ -49,6 +49,15 @@ def split_words(texts: list[str], letters: bool = False, lower: bool = True) ->
     return words, counts
 
 
+def numbered(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The number of each word in order of first occurrence, and the distinct words.
+
+    Unlike with pandas, words may hold NUL characters.
+    """
+    found = pa.array(words, pa.string()).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
