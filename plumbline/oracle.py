@@ -549,6 +549,10 @@ FROM lineitem""" for c in ("l_quantity", "l_extendedprice", "l_discount")]))
 
     # Other plans, the same rows.
     q("scale_lead", """SELECT event_id, ts, value, lead(value, 2) OVER (ORDER BY ts, event_id) AS value_shift FROM events""")
+    q("scale_first_values", ev + "SELECT * FROM (" + union([
+        f"""SELECT * FROM (SELECT '{c}' AS "column", event_type, event_id, CAST({c} AS DOUBLE) AS value
+  FROM events_dirty WHERE {c} IS NOT NULL ORDER BY event_type, event_id LIMIT {n})"""
+        for c, n in (("value", 40), ("user_id", 3))]) + ")")
     q("scale_drop_duplicates", sql["drop_duplicates"])
     for name in ("quantiles", "self_join", "row_number", "lag", "cumsum", "rolling", "asof"):
         q(f"scale_{name}", sql[f"c_{name}"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import as_double
 from .functions.counts import distinct_counts, top_values, value_frequencies
-from .functions.leading import leading_values
+from .functions.leading import first_values, leading_values
 from .functions.parsing import parse_number
 from .functions.quantiles import exact_quantiles
 from .operators import dashboard, features, merge, nulls, ordered, outliers, query, retrieval, rows, target, types
@@ -918,6 +918,13 @@ def scale_quantiles(spark, sf):
     return _line_quantiles(spark, sf, direct_rows=1000)
 
 
+@register
+def scale_first_values(spark, sf):
+    events = load(spark, sf, "events_dirty").repartition(5)
+    found = first_values(events, ["event_type", "event_id"], {"value": 40, "user_id": 3})
+    return found.select("column", F.col("order.k0").alias("event_type"), F.col("order.k1").alias("event_id"), F.col("text").cast("double").alias("value"))
+
+
 @register
 def scale_drop_duplicates(spark, sf):
     return rows.drop_duplicates(orders(spark, sf), 0)

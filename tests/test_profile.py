@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from plumbline.config import DEFAULTS
 from plumbline.functions.columns import as_double
 from plumbline.functions.counts import bounded_distinct, distinct_counts, modes, top_values, value_frequencies
-from plumbline.functions.leading import leading_values
+from plumbline.functions.leading import first_values, leading_values
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.functions.stats import adjusted_skew, correlation_p_value
 from plumbline.operators import merge
@@ -224,3 +224,37 @@ def test_merged_categories(spark):
     df = spark.sql("SELECT 1 AS n, 'a' AS s, true AS b, DATE '2024-01-01' AS d")
     found = {r["column"]: r["type_category"] for r in merge.merge_states(merge.profile_states(df)).collect()}
     assert found == {"n": "numeric", "s": "categorical", "b": "categorical", "d": "other"}
+
+
+def test_first_values_of_many_sparse_columns_take_one_pass(spark):
+    """Keys of several kinds, with NULL and NaN, against a sort; jobs do not grow with the columns."""
+    n, width = 3_000, 40
+    cells = [F.when(F.hash("id", F.lit(c)) % 100 == 0, F.concat(F.lit(f"v{c}-"), "id")).alias(f"c{c}") for c in range(width)]
+    keys = [
+        F.when(F.col("id") % 5 > 0, (F.col("id") * 7919 % 11).cast("double")).alias("d"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("é"), (F.col("id") % 13).cast("string"))).alias("t"),
+        F.col("id"),
+    ]
+    df = spark.range(n).select(*keys, *cells).withColumn("d", F.when(F.col("d") == 3, float("nan")).otherwise(F.col("d")))
+    df = df.repartition(9)
+    order = ["d", "t", "id"]
+    found = leading_values(df, order, [f"c{c}" for c in range(width)], limit=7, keep=7)
+    rows = df.orderBy(*order).collect()
+    for c in range(width):
+        want = [r[f"c{c}"] for r in rows if r[f"c{c}"] is not None][:7]
+        assert found[f"c{c}"].samples == want
+
+    def jobs(columns, group):
+        spark.sparkContext.setJobGroup(group, group)
+        leading_values(df, order, columns, limit=7, keep=7)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few = jobs(["c0", "c1"], "few columns")
+    assert jobs([f"c{c}" for c in range(width)], "many columns") == few
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_first_values_by_nested_keys(spark):
+    df = spark.range(500).select(F.array(F.col("id") % 7, "id").alias("a"), F.when(F.col("id") % 9 == 0, F.col("id")).alias("x"))
+    got = first_values(df.repartition(6), ["a"], {"x": 4}).orderBy("order").collect()
+    assert [int(r["text"]) for r in got] == sorted(range(0, 500, 9), key=lambda i: (i % 7, i))[:4]
