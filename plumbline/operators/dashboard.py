@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULTS, WIDE_AGG_COLUMNS, Thresholds
 from ..functions.columns import as_double, batches, fresh, is_numeric, numeric_columns, ref, types_of
-from ..functions.counts import top_values, value_frequencies
+from ..functions.counts import most_frequent
 from .ordered import row_numbers
 from .profile import Profile, fences, null_mask, outside
 
@@ -133,7 +133,7 @@ def top_bars(
     df: DataFrame, columns: Sequence[str], limits: Thresholds = DEFAULTS
 ) -> DataFrame:
     """``(column, position, value, count)`` of the most frequent values."""
-    return top_values(value_frequencies(df, columns), limits.bars)
+    return most_frequent(df, columns, limits.bars)
 
 
 def nullity_matrix(df: DataFrame, order_by: str, buckets: int = 50) -> DataFrame:

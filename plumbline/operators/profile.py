@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULTS, WIDE_AGG_COLUMNS, Thresholds
 from ..functions.columns import as_double, batches, is_datetime, is_numeric, is_string, ref, types_of
-from ..functions.counts import distinct_counts, top_rows, value_frequencies, value_text
+from ..functions.counts import common_values, distinct_counts
 from ..functions.leading import Leading, leading_values
 from ..functions.parsing import parse_number, parse_timestamp
 from ..functions.quantiles import exact_quantiles
@@ -314,27 +314,9 @@ def _values(
     top: dict[str, list[tuple[str, int]]] = {}
     if approx:
         unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, approx=True).collect()}
-    if counted:
-        # One query, and both branches read the same shuffled (column, value) counts:
-        # the sum keeps the counts in the first one, and the condition on the counts
-        # keeps the column filter of the second one behind the shuffle.
-        frequencies = value_frequencies(df, counted)
-        sizes = frequencies.groupBy("column").agg(
-            F.count("*").alias("count"), F.sum("count").alias("values")
-        )
-        sizes = sizes.select(
-            "column", F.lit(0).alias("position"), F.lit(None).cast("string").alias("value"), "count", "values"
-        )
-        least = F.when(F.col("column").isin(plain), 1).otherwise(2**63 - 1)
-        ranked = frequencies.filter(F.col("count") >= least)
-        best = top_rows(ranked, limits.top_values).select(
-            "column", "position", value_text().alias("value"), "count", F.lit(None).cast("bigint").alias("values")
-        )
-        for r in sizes.unionByName(best).orderBy("column", "position").collect():
-            if r["position"] == 0:
-                unique.setdefault(r["column"], r["count"])
-            else:
-                top.setdefault(r["column"], []).append((r["value"], r["count"]))
+    for c, common in common_values(df, counted, limits.top_values, plain).items():
+        unique.setdefault(c, common.unique)
+        top[c] = [(text, n) for _, text, n in common.top]
     return {c: unique.get(c, 0) for c in categories}, top
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import as_double
-from .functions.counts import distinct_counts, top_values, value_frequencies
+from .functions.counts import distinct_counts, most_frequent
 from .functions.leading import first_values, leading_values
 from .functions.parsing import parse_number
 from .functions.quantiles import exact_quantiles
@@ -110,7 +110,7 @@ def profile_converted(spark, sf):  # P12
 
 @register
 def top_values_by_column(spark, sf):  # P14
-    found = top_values(value_frequencies(orders(spark, sf), ["o_orderpriority", "custkey_str", "date_str"]), 5)
+    found = most_frequent(orders(spark, sf), ["o_orderpriority", "custkey_str", "date_str"], 5)
     return found.withColumn("position", F.col("position").cast("bigint"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.config import DEFAULTS
+from plumbline.functions import counts
 from plumbline.functions.columns import as_double
 from plumbline.functions.counts import bounded_distinct, distinct_counts, modes, top_values, value_frequencies
 from plumbline.functions.leading import first_values, leading_values
@@ -258,3 +259,42 @@ def test_first_values_by_nested_keys(spark):
     df = spark.range(500).select(F.array(F.col("id") % 7, "id").alias("a"), F.when(F.col("id") % 9 == 0, F.col("id")).alias("x"))
     got = first_values(df.repartition(6), ["a"], {"x": 4}).orderBy("order").collect()
     assert [int(r["text"]) for r in got] == sorted(range(0, 500, 9), key=lambda i: (i % 7, i))[:4]
+
+
+@pytest.fixture(scope="module")
+def values(spark):
+    def text(i):
+        return None if i % 10 == 0 else "é" * (i % 3) if i % 10 < 5 else f"value {i * 7919 % 1_009}"
+
+    rows = [(text(i), f"key {i:05d}", f"pair {i // 2 * 7919 % 10_007}", i % 2 == 0, i % 7, float(i % 5), None) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "t string, unique string, pairs string, b boolean, n int, x double, none string")
+    day = F.date_add(F.lit("1969-12-30").cast("date"), F.col("n"))
+    return df.withColumns({"d": day, "m": F.col("n").cast("decimal(20,2)"), "a": F.array("n")}).repartition(7)
+
+
+@pytest.mark.parametrize("ties", [1, 3, 200])
+def test_common_values_equal_whole_values(values, monkeypatch, ties):
+    monkeypatch.setattr(counts, "TIES", ties)
+    found = counts.common_values(values, values.columns, 3)
+    for name in values.columns:
+        whole = values.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("count"))
+        rows = whole.select(name, F.col(name).cast("string").alias("text"), "count").collect()
+        typed = (lambda r: r["text"]) if name == "a" else lambda r: r[name]
+        best = sorted(rows, key=lambda r: (-r["count"], typed(r)))[:3]
+        assert found[name].unique == len(rows)
+        assert [(text, n) for _, text, n in found[name].top] == [(r["text"], r["count"]) for r in best]
+
+
+def test_texts_that_share_a_hash_are_counted_apart(values, monkeypatch):
+    hashes = counts._hashes
+    monkeypatch.setattr(counts, "_hashes", lambda name: (hashes(name)[0] % 5, hashes(name)[1]))
+    found = counts.common_values(values, ["t", "unique", "b"], 2)
+    monkeypatch.undo()
+    assert found == counts.common_values(values, ["t", "unique", "b"], 2)
+
+
+def test_the_shuffle_of_counts_holds_no_text(values):
+    plan = counts._hashed_frequencies(values, ["t", "unique", "pairs"])._jdf.queryExecution().optimizedPlan().toString()
+    assert [f.name for f in counts._hashed_frequencies(values, ["t"]).schema.fields if f.dataType == T.StringType()] == ["text"]
+    assert "xxhash64" in plan
+    assert counts._hashed_frequencies(values, ["t", "unique"]).filter("text is not null").isEmpty()
