@@ -549,6 +549,23 @@ FROM lineitem""" for c in ("l_quantity", "l_extendedprice", "l_discount")]))
 
     # Other plans, the same rows.
     q("scale_lead", """SELECT event_id, ts, value, lead(value, 2) OVER (ORDER BY ts, event_id) AS value_shift FROM events""")
+    q("c_resample", """WITH few AS (
+  SELECT o_orderstatus, date_trunc('month', o_orderdate)::TIMESTAMP AS period, o_totalprice FROM orders WHERE o_orderkey % 83 = 5),
+spine AS (SELECT o_orderstatus, unnest(generate_series(min(period), max(period), INTERVAL 1 MONTH)) AS period FROM few GROUP BY 1)
+SELECT s.o_orderstatus, s.period, count(o_totalprice) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total, max(o_totalprice) AS largest
+FROM spine s LEFT JOIN few f ON s.o_orderstatus = f.o_orderstatus AND s.period = f.period GROUP BY 1, 2""")
+    by_line = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+    q("c_group_quantiles", f"""WITH often AS (
+  SELECT l_returnflag, l_linestatus, first(l_quantity ORDER BY n DESC, l_quantity) AS common_quantity
+  FROM (SELECT l_returnflag, l_linestatus, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, count(*) AS n, round(median(l_extendedprice), 4) AS median_price,
+  round(quantile_cont(l_extendedprice, 0.99), 4) AS high_price, round(median(l_tax), 4) AS median_tax,
+  any_value(common_quantity) AS common_quantity,
+  first(l_partkey ORDER BY {by_line}) AS first_part, last(l_partkey ORDER BY {by_line}) AS last_part
+FROM lineitem JOIN often USING (l_returnflag, l_linestatus) GROUP BY 1, 2""")
+    q("scale_group_quantiles", """SELECT CASE WHEN o_orderkey % 10 > 0 THEN 'hot' ELSE o_orderpriority END AS g,
+  round(quantile_cont(o_totalprice, 0.01), 4) AS q0, round(median(o_totalprice), 4) AS q1,
+  round(quantile_cont(o_totalprice, 0.9), 4) AS q2 FROM orders GROUP BY 1""")
     q("scale_first_values", ev + "SELECT * FROM (" + union([
         f"""SELECT * FROM (SELECT '{c}' AS "column", event_type, event_id, CAST({c} AS DOUBLE) AS value
   FROM events_dirty WHERE {c} IS NOT NULL ORDER BY event_type, event_id LIMIT {n})"""

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.columns import as_double
 from .functions.counts import distinct_counts, most_frequent
+from .functions.group_quantiles import group_quantiles
 from .functions.leading import first_values, leading_values
-from .functions.parsing import parse_number
 from .functions.quantiles import exact_quantiles
 from .operators import dashboard, features, merge, nulls, ordered, outliers, query, retrieval, rows, target, types
 from .operators import profile as prof
@@ -646,21 +646,29 @@ def q_sql(spark, sf):  # Q9 Q10
     return query.run_sql(load(spark, sf, "orders"), text)
 
 
-# Expressions a question may use
+# Questions as specifications
+
+
+def col(name: str) -> tuple:
+    return ("col", name)
+
+
+def keyed(name: str) -> dict:
+    """A specification of one column, as key."""
+    return {"compute": {"key": col(name)}, "select": ["key"]}
 
 
 @register
 def c_project(spark, sf):
-    lines = load(spark, sf, "lineitem")
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return lines.select("l_orderkey", "l_linenumber", F.round(net, 4).alias("net_price"))
+    net = ("mul", col("l_extendedprice"), ("sub", 1, col("l_discount")))
+    spec = {"compute": {"net_price": ("round", net, 4)}, "select": ["l_orderkey", "l_linenumber", "net_price"]}
+    return query.run_query(load(spark, sf, "lineitem"), spec)
 
 
 @register
 def c_predicates(spark, sf):
-    part = load(spark, sf, "part")
-    keep = F.col("p_size").between(5, 15) & ~F.col("p_brand").isin("Brand#11", "Brand#12")
-    return part.filter(keep | F.col("p_type").contains("PROMO"))
+    both = [("p_size", "between", (5, 15)), ("not", [("p_brand", "in", ["Brand#11", "Brand#12"])])]
+    return query.run_query(load(spark, sf, "part"), {"where": [("any", [("all", both), ("p_type", "contains", "PROMO")])]})
 
 
 @register
@@ -680,7 +688,8 @@ def c_group_agg(spark, sf):
 
 @register
 def c_distinct(spark, sf):
-    return load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
+    spec = {"select": ["l_returnflag", "l_linestatus", "l_linenumber"], "distinct": True}
+    return query.run_query(load(spark, sf, "lineitem"), spec)
 
 
 @register
@@ -732,32 +741,35 @@ def c_rolling(spark, sf):
 
 @register
 def c_cube(spark, sf):
-    return (
-        load(spark, sf, "orders")
-        .cube("o_orderstatus", "o_orderpriority")
-        .agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
-    )
+    spec = {
+        "group_by": ["o_orderstatus", "o_orderpriority"],
+        "grouping": "cube",
+        "aggs": {"n": ("count", "*"), "mean_price": ("mean", "o_totalprice")},
+        "compute_after": {"mean_price": ("round", col("mean_price"), 4)},
+    }
+    return query.run_query(load(spark, sf, "orders"), spec)
 
 
 @register
 def c_rollup(spark, sf):
-    return (
-        load(spark, sf, "lineitem")
-        .rollup("l_returnflag", "l_linestatus")
-        .agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
-    )
+    spec = {
+        "compute": {"whole": ("cast", col("l_quantity"), "bigint")},
+        "group_by": ["l_returnflag", "l_linestatus"],
+        "grouping": "rollup",
+        "aggs": {"n": ("count", "*"), "quantity": ("sum", "whole")},
+    }
+    return query.run_query(load(spark, sf, "lineitem"), spec)
 
 
 @register
 def c_pivot(spark, sf):
-    return (
-        load(spark, sf, "orders")
-        .groupBy("o_orderpriority")
-        .pivot("o_orderstatus", ["F", "O", "P"])
-        .agg(F.count(F.lit(1)))
-        .toDF("o_orderpriority", "f", "o", "p")
-        .na.fill(0)
-    )
+    spec = {
+        "group_by": ["o_orderpriority"],
+        "pivot": ("o_orderstatus", ["F", "O", "P"]),
+        "aggs": {"n": ("count", "*")},
+        "compute_after": {c.lower(): ("coalesce", col(c), 0) for c in "FOP"},
+    }
+    return query.run_query(load(spark, sf, "orders"), spec)
 
 
 @register
@@ -770,20 +782,16 @@ def c_self_join(spark, sf):
 
 @register
 def c_semi_join(spark, sf):
-    table = load(spark, sf, "orders")
-    large = table.groupBy("o_custkey").agg(F.max("o_totalprice").alias("m")).filter(F.col("m") > 400000)
-    return table.join(large, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    large = {"group_by": ["o_custkey"], "aggs": {"m": ("max", "o_totalprice")}, "having": [("m", ">", 400000)]}
+    spec = {"semi": (large, {"o_custkey": "o_custkey"}), "select": ["o_orderkey", "o_custkey"]}
+    return query.run_query(load(spark, sf, "orders"), spec)
 
 
 @register
 def c_anti_join(spark, sf):
-    large = load(spark, sf, "orders").filter(F.col("o_totalprice") > 450000)
-    buyers = large.select("o_custkey").distinct()  # a hot key is one row
-    return (
-        load(spark, sf, "customer")
-        .join(buyers, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-        .select("c_custkey", "c_name")
-    )
+    large = {"from": "orders", "where": [("o_totalprice", ">", 450000)]}
+    spec = {"anti": (large, {"c_custkey": "o_custkey"}), "select": ["c_custkey", "c_name"]}
+    return query.run_query(load(spark, sf, "customer"), spec, {"orders": load(spark, sf, "orders")})
 
 
 @register
@@ -796,23 +804,31 @@ def c_asof(spark, sf):
 
 @register
 def c_union(spark, sf):
-    customers = load(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
-    suppliers = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
-    both = customers.unionByName(suppliers)
-    return both.groupBy("nation").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 4).alias("balance"))
+    def balances(start, letter):
+        columns = {"nation": col(f"{letter}_nationkey"), "balance": col(f"{letter}_acctbal")}
+        return start | {"compute": columns, "select": list(columns)}
+
+    spec = {
+        "from": balances({}, "c"),
+        "union": balances({"from": "supplier"}, "s"),
+        "group_by": ["nation"],
+        "aggs": {"n": ("count", "*"), "balance": ("sum", "balance")},
+        "compute_after": {"balance": ("round", col("balance"), 4)},
+    }
+    return query.run_query(load(spark, sf, "customer"), spec, {"supplier": load(spark, sf, "supplier")})
 
 
 @register
 def c_intersect(spark, sf):
-    ordered_parts = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("key"))
-    return ordered_parts.intersect(load(spark, sf, "part").select(F.col("p_partkey").alias("key")))
+    spec = {"from": keyed("l_partkey"), "intersect": {"from": "part"} | keyed("p_partkey")}
+    return query.run_query(load(spark, sf, "lineitem"), spec, {"part": load(spark, sf, "part")})
 
 
 @register
 def c_except(spark, sf):
-    large = load(spark, sf, "orders").filter(F.col("o_totalprice") > 450000)
-    buyers = large.select(F.col("o_custkey").alias("key"))
-    return load(spark, sf, "customer").select(F.col("c_custkey").alias("key")).exceptAll(buyers.distinct())
+    large = {"from": "orders", "where": [("o_totalprice", ">", 450000)]}
+    spec = {"from": keyed("c_custkey"), "except": large | keyed("o_custkey")}
+    return query.run_query(load(spark, sf, "customer"), spec, {"orders": load(spark, sf, "orders")})
 
 
 @register
@@ -829,40 +845,70 @@ def c_nsmallest(spark, sf):
 
 @register
 def c_month_resample(spark, sf):
-    return (
-        load(spark, sf, "orders")
-        .groupBy(F.year("o_orderdate").cast("bigint").alias("year"), F.month("o_orderdate").cast("bigint").alias("month"))
-        .agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    )
+    spec = {
+        "compute": {"year": ("year", col("o_orderdate")), "month": ("month", col("o_orderdate"))},
+        "group_by": ["year", "month"],
+        "aggs": {"n": ("count", "*"), "total": ("sum", "o_totalprice")},
+        "compute_after": {"total": ("round", col("total"), 2)},
+    }
+    return query.run_query(load(spark, sf, "orders"), spec)
+
+
+@register
+def c_resample(spark, sf):  # months without orders are rows too
+    part = {"compute": {"r": ("mod", col("o_orderkey"), 83)}}
+    few = query.run_query(load(spark, sf, "orders"), {"from": part, "where": [("r", "==", 5)]})
+    aggs = {"n": ("count", "*"), "total": ("sum", "o_totalprice"), "largest": ("max", "o_totalprice")}
+    return rounded(query.resample(few, "o_orderdate", "month", aggs, ["o_orderstatus"]), "total", digits=2)
+
+
+@register
+def c_group_quantiles(spark, sf):
+    spec = {
+        "group_by": ["l_returnflag", "l_linestatus"],
+        "aggs": {
+            "n": ("count", "*"),
+            "median_price": ("median", "l_extendedprice"),
+            "high_price": ("quantile", "l_extendedprice", 0.99),
+            "median_tax": ("median", "l_tax"),
+            "common_quantity": ("mode", "l_quantity"),
+            "first_part": ("first", "l_partkey", LINE_ORDER),
+            "last_part": ("last", "l_partkey", LINE_ORDER),
+        },
+    }
+    return rounded(query.run_query(load(spark, sf, "lineitem"), spec), "median_price", "high_price", "median_tax")
 
 
 @register
 def c_string(spark, sf):
-    return load(spark, sf, "part").select(
-        "p_partkey",
-        F.upper(F.trim("p_name")).alias("name"),
-        F.regexp_replace("p_brand", "#", " ").alias("brand"),
-        F.split("p_type", " ")[0].alias("first_word"),
-        F.length("p_type").cast("bigint").alias("size"),
-    )
+    columns = {
+        "name": ("upper", ("trim", col("p_name"))),
+        "brand": ("replace", col("p_brand"), "#", " "),
+        "first_word": ("part", col("p_type"), " ", 0),
+        "size": ("length", col("p_type")),
+    }
+    return query.run_query(load(spark, sf, "part"), {"compute": columns, "select": ["p_partkey", *columns]})
 
 
 @register
 def c_case(spark, sf):
-    size = F.col("p_size")
-    return load(spark, sf, "part").select(
-        "p_partkey",
-        F.when(size < 10, "small").when(size < 30, "medium").otherwise("large").alias("size_class"),
-        F.round(F.abs(F.log1p("p_retailprice")), 4).alias("log_price"),
-    )
+    size = col("p_size")
+    columns = {
+        "size_class": ("case", (("lt", size, 10), "small"), (("lt", size, 30), "medium"), "large"),
+        "log_price": ("round", ("abs", ("log1p", col("p_retailprice"))), 4),
+    }
+    return query.run_query(load(spark, sf, "part"), {"compute": columns, "select": ["p_partkey", *columns]})
 
 
 @register
 def c_melt(spark, sf):
-    long = load(spark, sf, "lineitem").unpivot(
-        ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "variable", "value"
-    )
-    return long.groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    spec = {
+        "melt": {"keep": ["l_orderkey", "l_linenumber"], "values": ["l_quantity", "l_discount", "l_tax"]},
+        "group_by": ["variable"],
+        "aggs": {"n": ("count", "*"), "total": ("sum", "value")},
+        "compute_after": {"total": ("round", col("total"), 4)},
+    }
+    return query.run_query(load(spark, sf, "lineitem"), spec)
 
 
 def _line_quantiles(spark, sf, **options):
@@ -887,25 +933,22 @@ def c_describe(spark, sf):
 
 @register
 def c_words(spark, sf):
-    words = F.explode(F.split(F.lower("text"), " ")).alias("word")
-    return (
-        load(spark, sf, "documents")
-        .select(words)
-        .filter(F.col("word") != "")
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
+    spec = {
+        "explode": ("word", ("words", ("lower", col("text")), " ")),
+        "group_by": ["word"],
+        "aggs": {"n": ("count", "*")},
+    }
+    return query.run_query(load(spark, sf, "documents"), spec)
 
 
 @register
 def c_json(spark, sf):
-    kinds = parse_number(F.get_json_object("props", "$.k"))
-    return (
-        load(spark, sf, "events")
-        .select("event_type", kinds.alias("k"))
-        .groupBy("event_type")
-        .agg(F.count("k").alias("with_k"), F.count("*").alias("n"))
-    )
+    spec = {
+        "compute": {"k": ("cast", ("json", col("props"), "$.k"), "double")},
+        "group_by": ["event_type"],
+        "aggs": {"with_k": ("count", "k"), "n": ("count", "*")},
+    }
+    return query.run_query(load(spark, sf, "events"), spec)
 
 
 # The same operators in the plans of large tables: small ranges, small limits, equal results
@@ -925,6 +968,13 @@ def scale_first_values(spark, sf):
     return found.select("column", F.col("order.k0").alias("event_type"), F.col("order.k1").alias("event_id"), F.col("text").cast("double").alias("value"))
 
 
+@register
+def scale_group_quantiles(spark, sf):  # one group holds nine tenths of the rows
+    table = load(spark, sf, "orders").withColumn("g", F.when(F.col("o_orderkey") % 10 > 0, "hot").otherwise(F.col("o_orderpriority")))
+    found = group_quantiles(table, ["g"], F.col("o_totalprice"), [0.01, 0.5, 0.9], 100)
+    return rounded(found, "q0", "q1", "q2")
+
+
 @register
 def scale_drop_duplicates(spark, sf):
     return rows.drop_duplicates(orders(spark, sf), 0)

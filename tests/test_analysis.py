@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.group_quantiles import group_quantiles
 from plumbline.operators import dashboard, features, query, retrieval, target
 from plumbline.operators.profile import profile
 from tests.conftest import column, same_rows
@@ -222,6 +223,7 @@ def test_sql_is_read_only(spark, riders):
 
 def test_sql_reads_the_given_table_only(spark, riders):
     riders.createOrReplaceTempView("other_view")
+    spark.udf.register("shout", lambda x: x)
     for text in (
         "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x FROM {df}",
         "SELECT `java_method`('java.lang.System', 'getProperty', 'user.home') AS x FROM {df}",
@@ -229,11 +231,101 @@ def test_sql_reads_the_given_table_only(spark, riders):
         "SELECT g, (SELECT max(age) FROM other_view) AS m FROM {df}",
         "SELECT " + ", ".join(f"won + {i} AS w{i}" for i in range(40)) + ", (SELECT max(age) FROM other_view) AS m FROM {df}",
         "SELECT g FROM {df} WHERE age IN (SELECT age FROM parquet.`/tmp/somewhere`)",
+        "SELECT s.age, 'CTE [other_view]' AS a FROM other_view s CROSS JOIN {df} d",
+        "WITH x AS (SELECT * FROM csv.`/tmp/somewhere`) SELECT x.* FROM x CROSS JOIN {df}",
+        "WITH x AS (SELECT * FROM other_view) SELECT x.age FROM x CROSS JOIN {df}",
+        "SELECT g FROM {df} WHERE EXISTS (SELECT 1 FROM spark_catalog.default.t)",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') AS x FROM {df}",
+        "SELECT shout(g) AS g FROM {df}",
+        "SELECT g, t.age FROM {df}, LATERAL (SELECT age FROM other_view) t",
     ):
         with pytest.raises(ValueError):
             query.run_sql(riders, text)
     text = "WITH few AS (SELECT g, age FROM {df} WHERE won = 1) SELECT max(few.age) AS m FROM few JOIN {df} USING (g)"
     assert query.run_sql(riders, text).columns == ["m"]
+    for text in (
+        "SELECT 'reflect' AS word, 'parquet.`x`' AS path, upper(g) AS g FROM {df}",
+        "SELECT g, (SELECT max(age) FROM {df}) AS m, rank() OVER (PARTITION BY g ORDER BY age) AS r FROM {df} d",
+        "SELECT v.x, d.g FROM {df} d JOIN VALUES (1), (2) AS v(x) ON d.won = v.x CROSS JOIN range(2)",
+        "SELECT explode(split(g, '')) AS letter, transform(array(age), a -> a + 1) AS more FROM {df}",
+        "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY age) AS m, json_object_keys('{}') AS k FROM {df}",
+    ):
+        query.run_sql(riders, text).collect()
+    assert not any(t.name.startswith("given_") for t in spark.catalog.listTables())
+
+
+def test_computed_columns(spark):
+    df = spark.createDataFrame(
+        [(1, 7.5, " Ab,c ", "2024-02-28", '{"k": "4"}'), (2, None, None, None, None), (3, -1.0, "x", "bad", "{")],
+        "id bigint, v double, s string, d string, j string",
+    )
+    col = lambda n: ("col", n)
+    day = ("cast", col("d"), "date")
+    trees = {
+        "net": ("round", ("mul", col("v"), ("sub", 1, 0.1)), 2),
+        "none": ("div", col("v"), 0),
+        "sign": ("case", (("gt", col("v"), 0), "plus"), (("is_null", col("v")), "none"), "minus"),
+        "word": ("upper", ("part", ("trim", col("s")), ",", 0)),
+        "year": ("year", day),
+        "next": ("cast", ("add_days", day, 2), "string"),
+        "k": ("cast", ("json", col("j"), "$.k"), "bigint"),
+        "differs": ("ne", col("s"), "x"),
+    }
+    got = [tuple(r) for r in query.run_query(df, {"compute": trees, "select": list(trees), "order_by": []}).collect()]
+    assert got == [
+        (6.75, None, "plus", "AB", 2024, "2024-03-01", 4, True),
+        (None, None, "none", None, None, None, None, True),
+        (-0.9, None, "minus", "X", None, None, None, False),
+    ]
+    for bad in (("run", 1), ("cast", col("v"), "binary"), ("truncate", day, "eon"), ("upper",), (), ("case", 1), (["col"], "v")):
+        with pytest.raises(ValueError):
+            query.run_query(df, {"compute": {"x": bad}})
+
+
+def test_groups_pivots_and_sets(spark, riders):
+    spec = {"group_by": ["g"], "aggs": {"m": ("median", "age"), "q": ("quantile", "age", 0.25), "n": ("count", "*"), "w": ("mode", "won")}}
+    spec["aggs"] |= {"young": ("first", "won", ["age"]), "old": ("last", "won", ["age"])}
+    table = riders.toPandas()
+    found = {r["g"]: r for r in query.run_query(riders, spec).collect()}
+    for g, part in table.groupby("g", dropna=False):
+        row = found[None if g != g else g]
+        assert row["n"] == len(part) and row["m"] == part["age"].median() and row["q"] == part["age"].quantile(0.25)
+        modes = part["won"].mode()
+        assert row["w"] == (modes[0] if len(modes) else None)
+        known = part.dropna(subset=["won"]).sort_values("age")["won"]
+        assert (row["young"], row["old"]) == ((known.iloc[0], known.iloc[-1]) if len(known) else (None, None))
+    total = query.run_query(riders, {"aggs": {"m": ("median", "age"), "n": ("count", "*"), "w": ("mode", "won")}}).collect()
+    assert len(total) == 1 and total[0]["m"] == table["age"].median()
+    wide = query.run_query(riders, {"group_by": ["g"], "pivot": ("won", [0, 1]), "aggs": {"n": ("count", "*")}})
+    assert wide.columns == ["g", "0", "1"]
+    both = {"where": [("won", "==", 1)]}
+    assert query.run_query(riders, {"semi": (both, {"g": "g"})}).count() + query.run_query(
+        riders, {"anti": (both, {"g": "g"})}
+    ).count() == riders.count()
+    assert query.run_query(riders, {"union": {}}).count() == 2 * riders.count()
+    assert query.run_query(riders, {"except": {"where": [("age", "<", 61)]}}).count() == riders.filter("not coalesce(age < 61, false)").distinct().count()
+    for bad in ({"group_by": ["g"], "grouping": "sets", "aggs": {}}, {"from": "other"}, {"group_by": ["g"], "pivot": ("won", [1]), "aggs": {}}):
+        with pytest.raises(ValueError):
+            query.run_query(riders, bad)
+
+
+@pytest.mark.parametrize("limit", [10, 100, 10_000])
+def test_group_quantiles_equal_whole_groups(spark, limit):
+    """One group holds most rows, one hot value a third of it; keys and values may be missing."""
+    g = F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.concat(F.lit("g"), (F.col("id") % 7).cast("string")))
+    v = F.when(F.col("id") % 3 == 0, 5.0).when(F.col("id") % 11 > 0, F.hash("id") % 1_009 / 7)
+    df = spark.range(6_000).select(g.alias("g"), F.when(F.col("id") % 70 != 8, v).alias("v"))
+    probs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    found = {r[0]: r[1:] for r in group_quantiles(df, ["g"], F.col("v"), probs, limit).collect()}
+    table = df.toPandas()
+    for key, part in table.groupby("g", dropna=False):
+        want = part["v"].dropna()
+        got = found.pop(None if key != key else key)
+        assert np.allclose(got, np.quantile(want, probs)) if len(want) else got == (None,) * 5
+    assert not found
+    whole = group_quantiles(df, [], F.col("v"), [0.5], limit).collect()
+    assert len(whole) == 1 and whole[0][0] == table["v"].median()
+    assert group_quantiles(df.filter("1 = 0"), ["g"], F.col("v"), [0.5], limit).collect() == []
 
 
 def test_nested_conditions(riders):
@@ -263,3 +355,17 @@ def test_log_target_round_trip(spark):
 
 def test_rows_keep_order_free_equality(spark, riders):
     assert same_rows(riders, riders.repartition(3))
+
+
+def test_resample_fills_empty_periods(spark):
+    rows = [("a", "2024-01-31"), ("a", "2024-03-01"), ("a", "2024-03-02"), (None, "2023-12-30"), (None, None), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, d string").withColumn("t", F.to_date("d")).withColumn("v", F.lit(2))
+    aggs = {"n": ("count", "*"), "s": ("sum", "v"), "m": ("mean", "v")}
+    got = query.resample(df, "t", "month", aggs, ["g"]).orderBy("g", "period").collect()
+    assert [(r["g"], f"{r['period']:%y-%m}", r["n"], r["s"], r["m"]) for r in got] == [
+        (None, "23-12", 1, 2, 2.0), ("a", "24-01", 1, 2, 2.0), ("a", "24-02", 0, 0, None), ("a", "24-03", 2, 4, 2.0),
+    ]
+    assert query.resample(df, "t", "week", {"n": ("count", "*")}).count() == 10
+    assert query.resample(df.filter("1 = 0"), "t", "day", aggs).collect() == []
+    with pytest.raises(ValueError):
+        query.resample(df, "t", "eon", aggs)
