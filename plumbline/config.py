@@ -95,4 +95,5 @@ FINE_SKETCH_ROWS = 50_000_000
 ROWS_PER_RANGE = 250_000  # target rows of one range of an ordered operator
 MAX_RANGES = 16_384  # ranges of an ordered operator; bounds every carry table
 BROADCAST_ROWS = 100_000  # largest lookup that is broadcast, checked by a count
-QUERY_BLOCK = 1024  # query vectors scored in one scan of the corpus
+QUERY_BLOCK = 1024  # query vectors that are handed to all tasks, or scored at once in one
+VECTOR_CELL = 8192  # vectors of either side that one task scores against each other

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import COLUMN_QUERY, DEFAULTS, QUERY_BLOCK, Thresholds
+from ..config import COLUMN_QUERY, DEFAULTS, QUERY_BLOCK, VECTOR_CELL, Thresholds
 from ..functions.columns import ref, types_of
+from ..session import materialize
 
 
 def chunks(
@@ -46,48 +46,94 @@ def chunks(
     )
 
 
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
+
+
+def _feature(word: str, features: int) -> int:
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % features
+
+
 class TextVectors:
     """Hashed, document-frequency weighted, L2-normalised word vectors.
 
-    Learns one weight per feature from the corpus in one aggregation; every text is then
-    turned into its vector where it is, without a shuffle.
+    A word is the feature that the first digits of its MD5 name. One weight per feature is learned
+    from the corpus in one aggregation; every text is then turned into its vector where it is,
+    without a shuffle. Texts are cut into words once if they come from ``featured``.
     """
 
     def __init__(self, features: int = 256):
-        self.stages = [
-            RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features),
-            IDF(inputCol="_counts", outputCol="_weights"),
-            Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
-        ]
-        self.model = None
+        self.features = features
+        self.weights: np.ndarray | None = None
+
+    def featured(self, rows: DataFrame) -> DataFrame:
+        """Add ``_features``, the feature of every word; rows with blank text are left out."""
+        features, schema = self.features, T.StructType([*rows.schema.fields]).add("_features", T.ArrayType(T.IntegerType()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = batch.column(batch.num_columns - 1)
+                # The words of these rows only, each distinct one hashed once.
+                named = words.flatten().dictionary_encode()
+                code = np.array([_feature(w, features) for w in named.dictionary.to_pylist()], np.int32)
+                found = code[named.indices.to_numpy()] if len(code) else np.zeros(0, np.int32)
+                sizes = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(found, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "_features"])
+
+        words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
+        cut = rows.filter(F.trim("text") != "").select(*[ref(c) for c in rows.columns], words.alias("_features"))
+        return cut.mapInArrow(run, schema)
 
     def fit(self, corpus: DataFrame) -> TextVectors:
-        self.model = Pipeline(stages=self.stages).fit(_with_text(corpus))
+        return self.fit_featured(self.featured(corpus))
+
+    def fit_featured(self, rows: DataFrame) -> TextVectors:
+        """Learn the weights; one count per feature reaches the driver."""
+        marked = F.explode(F.array_append(F.array_distinct("_features"), F.lit(-1)))  # -1 stands for the text itself
+        counts = {r["f"]: r["n"] for r in rows.select(marked.alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()}
+        texts = counts.get(-1, 0)
+        self.weights = np.array([math.log((texts + 1) / (counts.get(f, 0) + 1)) for f in range(self.features)])
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``vector``; rows with blank text are left out."""
-        made = self.model.transform(_with_text(rows))
-        unit = vector_to_array("_unit", "float32").alias("vector")
-        return made.select(*[ref(c) for c in rows.columns], unit)
+        return self.transform_featured(self.featured(rows))
+
+    def transform_featured(self, rows: DataFrame) -> DataFrame:
+        weights, width = self.weights, self.features
+        kept = [f for f in rows.schema.fields if f.name != "_features"]
+        schema = T.StructType([*kept]).add("vector", T.ArrayType(T.FloatType()))
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("_features")
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                at = row * width + lists.flatten().to_numpy()
+                matrix = np.bincount(at, minlength=batch.num_rows * width).reshape(-1, width) * weights
+                flat = pa.array(_unit(matrix).astype(np.float32).ravel())
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * width, pa.int32()), flat)
+                names = [f.name for f in kept]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), vectors], [*names, "vector"])
 
-def _with_text(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.trim("text") != "")
+        return rows.select(*[ref(f.name) for f in kept], "_features").mapInArrow(run, schema)
 
 
 def embed_chunks(corpus: DataFrame, features: int = 256) -> DataFrame:
-    """Chunks with their vectors."""
-    return TextVectors(features).fit(corpus).transform(corpus)
+    """Chunks with their vectors; the chunks are cut into words once."""
+    vectors = TextVectors(features)
+    rows = materialize(vectors.featured(corpus))
+    return vectors.fit_featured(rows).transform_featured(rows)
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _unit_rows(vectors) -> np.ndarray:
+    return _unit(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
+
+
 def _best(candidates: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
     order = candidates.sort_values(
         ["query_id", "score", *ids], ascending=[True, False, *[True] * len(ids)], kind="stable"
@@ -95,6 +141,29 @@ def _best(candidates: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
     return order.groupby("query_id", sort=False).head(k)
 
 
+def _nearest(part: pd.DataFrame, names: Sequence, units: np.ndarray, kept: list[str], ids: list[str], k: int) -> pd.DataFrame:
+    """At most ``k`` rows of ``part`` for each query; equal scores take the smaller ids."""
+    part = part.sort_values(ids, kind="stable", ignore_index=True)
+    corpus, rows, columns, scores = _unit_rows(part["vector"]), [], [], []
+    for at in range(0, len(names), QUERY_BLOCK):
+        block = np.round(corpus @ units[at : at + QUERY_BLOCK].T, 10)  # equal vectors score alike
+        if len(part) > k:
+            floors = np.partition(block, len(part) - k, axis=0)[len(part) - k]
+        for j in range(block.shape[1]):
+            column = block[:, j]
+            picks = np.arange(len(part))
+            if len(part) > k:
+                above = np.flatnonzero(column > floors[j])
+                picks = np.concatenate([above, np.flatnonzero(column == floors[j])[: k - len(above)]])
+            rows.append(picks)
+            columns.append(np.full(len(picks), at + j))
+            scores.append(column[picks])
+    found = part[kept].iloc[np.concatenate(rows)].reset_index(drop=True)
+    found.insert(0, "score", np.concatenate(scores))
+    found.insert(0, "query_id", pd.Series(names, dtype=object).iloc[np.concatenate(columns)].to_numpy())
+    return found
+
+
 def top_matches(
     corpus: DataFrame,
     queries: DataFrame,
@@ -103,13 +172,16 @@ def top_matches(
     min_score: float | None = DEFAULTS.min_score,
     payload: Sequence[str] = (),
     block: int = QUERY_BLOCK,
+    cell: int = VECTOR_CELL,
 ) -> DataFrame:
     """``(query_id, rank, ids..., payload..., score)``: the k nearest rows by cosine.
 
-    Every corpus row is scored against a block of query vectors where it lies, and a
-    task emits at most k rows per query, so neither pairs nor vectors are shuffled.
-    ``queries(query_id, vector)`` is read in blocks of bounded size, one corpus scan
-    each. The score floor applies after the top k, as part of the result.
+    Up to ``block`` queries, by a count, are handed to all tasks: every corpus row is scored where it
+    lies, and no vector is shuffled. More queries meet the corpus on a grid: both sides are
+    dealt into parts of about ``cell`` vectors, and each part of the queries is scored against each part
+    of the corpus in a task of its own, which keeps k rows a query. Either way only those are merged.
+    The score floor applies after the top k, as part of the result. Scores are compared to ten digits; of
+    equal ones the smaller ids are nearer.
     """
     ids, payload = list(ids), list(payload)
     types = types_of(corpus)
@@ -119,56 +191,67 @@ def top_matches(
         f"`{c}` {types[c].simpleString()}" for c in kept
     )
     rows = corpus.filter(F.col("vector").isNotNull()).select(*[ref(c) for c in kept], "vector")
-
-    def scored(names: list, units: np.ndarray) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast((names, units))  # at most ``block`` vectors
-
-        def best_of_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, units = shared.value
-            best = None
-            for part in parts:
-                if part.empty:
-                    continue
-                scores = _unit_rows(part["vector"]) @ units.T
-                found = [] if best is None else [best]
-                for j, name in enumerate(names):
-                    column = scores[:, j]
-                    picks = np.arange(len(column))
-                    if len(column) > k:
-                        floor = np.partition(column, len(column) - k)[len(column) - k]
-                        picks = np.nonzero(column >= floor)[0]
-                    hit = part.iloc[picks][kept].copy()
-                    hit.insert(0, "score", column[picks])
-                    hit.insert(0, "query_id", name)
-                    found.append(hit)
-                best = _best(pd.concat(found, ignore_index=True), ids, k)
-            if best is not None:
-                yield best[["query_id", "score", *kept]]
-
-        return rows.mapInPandas(best_of_task, schema)
-
-    blocks, names, vectors = [], [], []
-    for r in queries.filter(F.col("vector").isNotNull()).toLocalIterator():
-        names.append(r["query_id"])
-        vectors.append(r["vector"])
-        if len(names) == block:
-            blocks.append(scored(names, _unit_rows(vectors)))
-            names, vectors = [], []
-    if names:
-        blocks.append(scored(names, _unit_rows(vectors)))
-    if not blocks:
-        return rows.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0)).select(
-            "query_id", "rank", *kept, "score"
-        )
-    # At most k rows per query and task arrive here.
+    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
+    few = asked.limit(block + 1).collect()
+    if len(few) <= block:
+        found = _scored_in_place(rows, few, kept, ids, k, schema)
+    else:
+        found = _scored_on_grid(rows, asked, kept, ids, k, cell, schema)
+    # At most k rows per query and task, or part of the corpus, arrive here.
     order = W.partitionBy("query_id").orderBy(F.desc("score"), *[ref(c) for c in ids])
-    ranked = reduce(DataFrame.unionByName, blocks).withColumn("rank", F.row_number().over(order))
+    ranked = found.withColumn("rank", F.row_number().over(order))
     wanted = F.col("rank") <= k
     if min_score is not None:
         wanted = wanted & (F.col("score") > min_score)
     return ranked.filter(wanted).select("query_id", "rank", *[ref(c) for c in kept], "score")
 
 
+def _scored_in_place(rows: DataFrame, few: list, kept: list[str], ids: list[str], k: int, schema: str) -> DataFrame:
+    spark = rows.sparkSession
+    if not few:
+        return spark.createDataFrame([], schema)
+    names, units = [r["query_id"] for r in few], _unit_rows([r["vector"] for r in few])
+    shared = spark.sparkContext.broadcast((names, units))  # at most one block of vectors
+
+    def best_of_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, units = shared.value
+        best = None
+        for part in parts:
+            if part.empty:
+                continue
+            found = _nearest(part, names, units, kept, ids, k)
+            best = found if best is None else _best(pd.concat([best, found], ignore_index=True), ids, k)
+        if best is not None:
+            yield best[["query_id", "score", *kept]]
+
+    return rows.mapInPandas(best_of_task, schema)
+
+
+def _scored_on_grid(
+    rows: DataFrame, asked: DataFrame, kept: list[str], ids: list[str], k: int, cell: int, schema: str
+) -> DataFrame:
+    """Each part of the corpus against each part of the queries, in a task that holds one of both."""
+    rows, asked = materialize(rows), materialize(asked)
+    across, down = (max(1, math.ceil(side.count() / cell)) for side in (rows, asked))
+
+    def dealt(side: DataFrame, parts: int, others: int, mine: str, other: str) -> DataFrame:
+        # Repeated rows are dealt apart too.
+        own = F.pmod(F.xxhash64(*[ref(c) for c in side.columns if c != "vector"], F.monotonically_increasing_id()), F.lit(parts))
+        spread = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return side.withColumn(mine, own.cast("int")).withColumn(other, spread)
+
+    corpus = dealt(rows, across, down, "_column", "_row").groupBy("_column", "_row")
+    queries = dealt(asked, down, across, "_row", "_column").groupBy("_column", "_row")
+
+    def best_of_cell(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or block.empty:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "score", *kept)})
+        found = _nearest(part, block["query_id"].tolist(), _unit_rows(block["vector"]), kept, ids, k)
+        return found[["query_id", "score", *kept]]
+
+    return corpus.cogroup(queries).applyInPandas(best_of_cell, schema)
+
+
 def join_context(matches: DataFrame) -> DataFrame:
     """``(query_id, context)``: matched texts in rank order, a blank line between them."""
     texts = F.array_sort(F.collect_list(F.struct("rank", "text")))["text"]
@@ -185,12 +268,17 @@ def context_for_columns(
     template: str = COLUMN_QUERY,
 ) -> DataFrame:
     """Context per column name from a corpus of chunks; columns without a match are absent."""
-    vectors = vectors or TextVectors().fit(corpus)
+    if vectors is None:
+        vectors = TextVectors()
+        featured = materialize(vectors.featured(corpus))
+        found = vectors.fit_featured(featured).transform_featured(featured)
+    else:
+        found = vectors.transform(corpus)
     asked = spark.createDataFrame(
         [(c, template.format(column=c)) for c in columns], "query_id string, text string"
     )
     matches = top_matches(
-        vectors.transform(corpus),
+        found,
         vectors.transform(asked).select("query_id", "vector"),
         ids,
         limits.top_k,

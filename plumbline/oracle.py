@@ -456,6 +456,51 @@ ranked AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOU
     ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id) AS rank FROM queries, embeddings)
 SELECT query_id, rank, vec_id, round(score, 4) AS score FROM ranked WHERE rank <= 3 AND score > 0.3""")
 
+    q("vector_self_topk", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ranked AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS score,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 10) DESC, b.vec_id) AS rank FROM v a, v b)
+SELECT query_id, rank, vec_id, round(score, 4) AS score FROM ranked WHERE rank <= 3 AND score > 0.3""")
+    word_vectors = r"""chunk AS (
+  SELECT doc_id, start // 450 AS chunk_id, start, substr(text, CAST(start AS INTEGER) + 1, 500) AS text
+  FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS start FROM documents)),
+asked AS ({asked}),
+entry AS (
+  SELECT '' AS query_id, doc_id, chunk_id, start, text FROM chunk WHERE trim(text) <> ''
+  UNION ALL SELECT query_id, NULL, NULL, NULL, text FROM asked),
+word AS (
+  SELECT query_id, doc_id, chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')) AS w FROM entry),
+tf AS MATERIALIZED (
+  SELECT query_id, doc_id, chunk_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS f, count(*) AS n FROM word GROUP BY ALL),
+idf AS (
+  SELECT f, ln(((SELECT count(*) FROM entry WHERE query_id = '') + 1) / (count(*) + 1)) AS idf FROM tf WHERE query_id = '' GROUP BY f),
+all_idf AS (
+  SELECT f.range AS f, coalesce(idf, ln((SELECT count(*) FROM entry WHERE query_id = '') + 1)) AS idf FROM range(256) f LEFT JOIN idf ON idf.f = f.range),
+raw AS (SELECT *, n * idf AS w FROM tf JOIN all_idf USING (f)),
+weight AS MATERIALIZED (
+  SELECT query_id, doc_id, chunk_id, f,
+    CAST(CAST(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY query_id, doc_id, chunk_id)), 0) AS FLOAT) AS DOUBLE) AS v FROM raw)"""
+    q("hashed_embeddings", "WITH " + word_vectors.format(asked="SELECT '' AS query_id, '' AS text WHERE false") + """
+SELECT c.doc_id, c.chunk_id, c.start, coalesce(string_agg(f || ':' || CAST(round(v * 10000) AS BIGINT), ' ' ORDER BY f)
+  FILTER (WHERE round(v * 10000) <> 0), '') AS weights
+FROM (SELECT * FROM entry WHERE query_id = '') c
+LEFT JOIN weight w ON w.doc_id = c.doc_id AND w.chunk_id = c.chunk_id GROUP BY 1, 2, 3""")
+    columns = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+    asked = " UNION ALL ".join(
+        f"SELECT '{c}' AS query_id, 'column {c} description valid range constraints meaning' AS text" for c in columns
+    )
+    q("context_by_query", "WITH " + word_vectors.format(asked=asked) + """,
+norm AS (SELECT query_id, doc_id, chunk_id, sqrt(sum(v * v)) AS norm FROM weight GROUP BY 1, 2, 3),
+scored AS (
+  SELECT a.query_id, b.doc_id, b.chunk_id, sum(a.v * b.v) AS dot FROM weight a JOIN weight b ON a.f = b.f
+  WHERE a.query_id <> '' AND b.query_id = '' GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT s.query_id, s.doc_id, s.chunk_id, dot / (p.norm * n.norm) AS score,
+    row_number() OVER (PARTITION BY s.query_id ORDER BY round(dot / (p.norm * n.norm), 10) DESC, s.doc_id, s.chunk_id) AS rank
+  FROM scored s JOIN norm p ON p.query_id = s.query_id
+  JOIN norm n ON n.query_id = '' AND n.doc_id = s.doc_id AND n.chunk_id = s.chunk_id)
+SELECT r.query_id, string_agg(c.text, chr(10) || chr(10) ORDER BY rank) AS context
+FROM ranked r JOIN chunk c ON c.doc_id = r.doc_id AND c.chunk_id = r.chunk_id WHERE rank <= 3 AND score > 0.3 GROUP BY 1""")
+
     q("q_group_mean", """SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean_o_totalprice FROM orders
 WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority""")
     q("q_filter", "SELECT * FROM customer WHERE c_acctbal > 9000")

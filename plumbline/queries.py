@@ -563,8 +563,22 @@ def vector_topk(spark, sf):  # R3
 
 
 @register
-def hashed_embeddings(spark, sf):  # R2
-    return retrieval.embed_chunks(retrieval.chunks(load(spark, sf, "documents"))).drop("text")
+def vector_self_topk(spark, sf):  # R3, every vector is a query
+    vectors = load(spark, sf, "embeddings").withColumnRenamed("embedding", "vector")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "vector")
+    found = retrieval.top_matches(vectors, asked, ["vec_id"], block=256, cell=512)
+    return rounded(found, "score").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register
+def hashed_embeddings(spark, sf):  # R2; weights in ten thousandths, as feature:weight
+    found = retrieval.embed_chunks(retrieval.chunks(load(spark, sf, "documents")))
+    weights = F.transform("vector", lambda v, i: F.struct(i.alias("f"), F.round(v.cast("double") * 10_000).cast("bigint").alias("w")))
+    pairs = F.transform(F.filter(weights, lambda x: x["w"] != 0), lambda x: F.concat_ws(":", x["f"], x["w"]))
+    return found.select(
+        "doc_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("start").cast("bigint").alias("start"),
+        F.array_join(pairs, " ").alias("weights"),
+    )
 
 
 @register

@@ -369,3 +369,37 @@ def test_resample_fills_empty_periods(spark):
     assert query.resample(df.filter("1 = 0"), "t", "day", aggs).collect() == []
     with pytest.raises(ValueError):
         query.resample(df, "t", "eon", aggs)
+
+
+@pytest.mark.parametrize("block, cell", [(1_000, 64), (3, 7), (3, 500)])
+def test_every_vector_as_query_on_the_grid(spark, block, cell):
+    """Copies of one vector are a third of the corpus; ties go to the smaller ids."""
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=6).tolist() for _ in range(60)] + [[1.0, 0.5, 0.0, 0.0, 0.0, 0.0]] * 30 + [[0.0] * 6]
+    rows = [(i % 40, f"t{i}", v) for i, v in enumerate(vectors)] + [(99, "none", None)]
+    corpus = spark.createDataFrame(rows, "id int, t string, vector array<double>").repartition(4)
+    queries = corpus.select(F.concat("t", F.lit("?")).alias("query_id"), "vector")
+    got = retrieval.top_matches(corpus, queries, ["id", "t"], 4, None, block=block, cell=cell).collect()
+    unit = np.array(vectors) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit @ unit.T, 10)
+    want = {}
+    for q in range(len(vectors)):
+        order = sorted(range(len(vectors)), key=lambda j: (-scores[q, j], rows[j][0], rows[j][1]))[:4]
+        want |= {(f"t{q}?", rank + 1): rows[j][1] for rank, j in enumerate(order)}
+    assert {(r["query_id"], r["rank"]): r["t"] for r in got} == want
+    assert retrieval.top_matches(corpus, queries.limit(0), ["id"], 4, block=block, cell=cell).collect() == []
+    assert retrieval.top_matches(corpus.limit(0), queries, ["id"], 4, block=block, cell=cell).collect() == []
+
+
+def test_word_vectors_equal_plain_weights(spark):
+    texts = ["Alpha beta, beta!", "alpha  ", " ", "...", "été beta_1 alpha"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    vectors = retrieval.TextVectors(16).fit(df)
+    got = {r["id"]: r["vector"] for r in vectors.transform(df).collect()}
+    assert set(got) == {0, 1, 3, 4} and got[3] == [0.0] * 16
+    words = {0: ["alpha", "beta", "beta"], 1: ["alpha"], 3: [], 4: ["été", "beta_1", "alpha"]}
+    codes = {i: [retrieval._feature(w, 16) for w in ws] for i, ws in words.items()}
+    raw = {i: [c.count(f) * math.log(5 / (sum(f in x for x in codes.values()) + 1)) for f in range(16)] for i, c in codes.items()}
+    for i, values in raw.items():
+        size = math.sqrt(sum(v * v for v in values)) or 1.0
+        assert np.allclose(got[i], [v / size for v in values], atol=1e-6)
