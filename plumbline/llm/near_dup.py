@@ -18,8 +18,9 @@ then are one class, and only buckets that still hold several classes are looked
 the first member of each class is checked against that of the first class. What is left in
 small buckets is compared pair by pair. Members of larger ones are compared where they differ
 in the same way from what most texts around them have in common: the size of the overlap follows
-from these differences, so two texts with many differences of their own never meet. This loses
-no class.
+from these differences, so two texts with many differences of their own never meet. Texts that share a
+difference are checked against one of them first, and only what is still in several classes
+is paired. This loses no class.
 
 Cases: documents with a NULL text are classes of their own; texts without a word are a
 class with those that are equal to them; a text with fewer than five words is one run of
@@ -47,7 +48,7 @@ BANDS = 40
 BAND_ROWS = 6
 SMALL_BUCKET = 32  # members that are compared pair by pair; larger buckets are searched by differences
 SLOTS = 1 << 20  # counters of run frequencies, which only order the runs
-SALTS = 16  # parts of a pile, which may hold a third of all rows, when it is looked up
+PART_TEXTS = 1000  # texts of a pile, which may hold a third of all rows, that one task looks up
 SMALL_LINKS = 200_000  # links that one task can label without a shuffle
 
 
@@ -147,24 +148,24 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pile, text) to (pile, token, number of the slice's texts with it)."""
+    """(pile, texts, text) to (pile, texts, token, number of the slice's texts with it)."""
     for part, texts in slices(batches, "text"):
         text, token = _tokens(texts)
-        pile = part.column("pile").to_numpy()[text]
+        pile, whole = part.column("pile").to_numpy()[text], part.column("texts").to_numpy()[text]
         order = np.lexsort((token, pile))
-        pile, token = pile[order], token[order]
+        pile, whole, token = pile[order], whole[order], token[order]
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (pile[1:] != pile[:-1])
         starts = np.flatnonzero(first)
-        columns = [pile[starts], token[starts].view(np.int64), np.diff(starts, append=len(token))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pile", "token", "n"])
+        columns = [pile[starts], whole[starts], token[starts].view(np.int64), np.diff(starts, append=len(token))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pile", "texts", "token", "n"])
 
 
 def _differences(batches: Iterator[pa.RecordBatch], often: np.ndarray, scaled: int) -> Iterator[pa.RecordBatch]:
-    """One row for each text, with a NULL token, and for its differences from what its pile has in common.
+    """Texts with their differences from what their pile has in common, in ``tokens``.
 
     Differences stand in one order for all texts of a pile, rare ones first; ``left`` counts those from
-    here on, and those that come too late for any pair are left out. ``slack``: how much the differences
+    each one on, and those that come too late for any pair are left out. ``slack``: how much the differences
     stay below half of what a pair of this size may have, times 10,000 + ``scaled``.
     """
     for part, texts in slices(batches, "text"):
@@ -172,7 +173,7 @@ def _differences(batches: Iterator[pa.RecordBatch], often: np.ndarray, scaled: i
         ends = np.cumsum(np.bincount(text, minlength=len(texts)))
         of = part.column("common")
         piles, sizes = part.column("texts").to_numpy(), part.column("size").to_numpy()
-        row, tokens, lefts, slacks = [], [], [], []
+        tokens, lefts, slacks = [], [], np.zeros(len(texts), np.int64)
         for i in range(len(texts)):
             own = token[ends[i - 1] if i else 0 : ends[i]]
             common = of[i].values.to_numpy().view(np.uint64) if of[i].is_valid else own[:0]
@@ -184,73 +185,103 @@ def _differences(batches: Iterator[pa.RecordBatch], often: np.ndarray, scaled: i
             most = int(sizes[i]) * 10_000 // scaled * (10_000 - scaled) + 10_000  # of any partner
             left = len(odd) - np.arange(len(odd))
             keep = 2 * left * (10_000 + scaled) >= -(slack + most)
-            row.append(np.full(1 + np.count_nonzero(keep), i))
-            tokens.append(np.concatenate([[np.uint64(0)], odd[keep]]).astype(np.uint64))
-            lefts.append(np.concatenate([[0], left[keep]]).astype(np.int64))
-            slacks.append(np.full(len(row[-1]), slack, np.int64))
-        at, lefts = np.concatenate(row), np.concatenate(lefts)
-        columns = [part.column(c).take(pa.array(at)) for c in ("pile", "node", "label", "size")]
-        tokens = pa.array(np.concatenate(tokens).view(np.int64), mask=lefts == 0)
+            tokens.append(odd[keep].view(np.int64))
+            lefts.append(left[keep].astype(np.int64))
+            slacks[i] = slack
+        names = ["pile", "texts", "node", "label", "size"]
+        edges = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate(x))) for x in (tokens, lefts)]
         yield pa.RecordBatch.from_arrays(
-            [*columns, tokens, pa.array(lefts), pa.array(np.concatenate(slacks))],
-            ["pile", "node", "label", "size", "token", "left", "slack"],
+            [*(part.column(c) for c in names), *lists, pa.array(slacks)], [*names, "tokens", "left", "slack"]
         )
 
 
 def _by_pile(rows: DataFrame, facts: DataFrame, spread: str) -> DataFrame:
-    """Rows with the facts of their pile; the rows of a pile are dealt over SALTS tasks by ``spread``."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Rows (with the texts of their pile counted) with the facts of their pile, dealt over tasks by ``spread``."""
+    salts = F.ceil(F.col("texts") / PART_TEXTS).cast("int")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("texts")
     return salted.join(copies, ["pile", "salt"]).drop("salt")
 
 
-def _crowd_pairs(crowd: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) that connect all of a pile that is near, from (node, label, size, pile, text).
-
-    With x' and y' the differences of two bags from anything in common, |x| + |y| less twice the overlap
-    is |x'| + |y'| less twice |x' and y'|. Bags with enough slack are near without a shared difference,
-    then both are near the text with the most slack; all others share one early enough.
-    """
-    scaled = round(similar * 10_000)
+def _crowd_rows(crowd: DataFrame, scaled: int) -> DataFrame:
+    """The texts of piles with their differences, from (pile, texts, node, label, size, text)."""
     counts = materialize(
-        crowd.select("pile", "text").mapInArrow(_token_counts, "pile long, token long, n long")
-        .groupBy("pile", "token").agg(F.sum("n").alias("n"))
+        crowd.select("pile", "texts", "text").mapInArrow(_token_counts, "pile long, texts long, token long, n long")
+        .groupBy("pile", "texts", "token").agg(F.sum("n").alias("n"))
     )
     # A token's remainder as unsigned number, as in _differences.
     rest = F.pmod("token", F.lit(SLOTS)).cast("int")
     slots = counts.groupBy(rest.alias("slot")).agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     often = np.zeros(SLOTS, np.int64)
     often[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    piles = crowd.groupBy("pile").agg(F.count(F.lit(1)).alias("texts"))
-    common = _by_pile(counts, piles, "token").where(F.col("n") * 2 > F.col("texts")).groupBy("pile")
-    common = piles.join(common.agg(F.collect_list("token").alias("common")), "pile", "left")
-    rows = materialize(
-        _by_pile(crowd, common, "node").select("pile", "node", "label", "size", "texts", "common", "text").mapInArrow(
+    # Tokens of most texts of a pile: no more than twice the words of a text.
+    common = counts.where(F.col("n") * 2 > F.col("texts")).groupBy("pile", "texts")
+    piles = crowd.select("pile", "texts").distinct()
+    common = piles.join(common.agg(F.collect_list("token").alias("common")), ["pile", "texts"], "left")
+    return materialize(
+        _by_pile(crowd, common, "node").select("pile", "texts", "node", "label", "size", "common", "text").mapInArrow(
             lambda it: _differences(it, often, scaled),
-            "pile long, node long, label long, size long, token long, left long, slack long",
+            "pile long, texts long, node long, label long, size long, tokens array<long>, left array<long>, slack long",
         )
     )
-    nodes = rows.where("token is null")
-    best = nodes.groupBy("pile").agg(F.max(F.struct("slack", "node", "label", "size")).alias("best"))
-    star = _by_pile(nodes, best, "node").where(
-        (F.col("label") != F.col("best.label")) & (F.col("slack") + F.col("best.slack") >= 0)
-    )
-    star = star.select(F.col("best.node").alias("a"), F.col("node").alias("b"))
-    enough = lambda left, slack: left * (2 * (10_000 + scaled)) >= -slack
-    rows = _by_pile(rows.where("token is not null"), best, "node")
-    rows = rows.where(enough(F.col("left"), F.col("slack") + F.col("best.slack"))).drop("best")
-    # Differences of one class only are not joined.
-    mixed = rows.groupBy("pile", "token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    rows = materialize(rows.join(mixed.where("low <> high").select("pile", "token"), ["pile", "token"]))
-    other = rows.select("pile", "token", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "size", "left", "slack")))
-    slack = F.col("slack") + F.col("o_slack")
-    pairs = rows.join(other, ["pile", "token"]).where(
-        (F.col("label") < F.col("o_label"))
-        & (slack < 0)
-        & enough(F.least("left", "o_left"), slack)
-        & _near_in_size("size", "o_size", similar)
+
+
+def _shared_differences(rows: DataFrame, labels: DataFrame, scaled: int) -> DataFrame:
+    """(pile, token, node, label, size, left, slack) for differences that several classes of a pile share.
+
+    ``rows`` hold the most slack of their pile, in ``best``.
+    """
+    late = 2 * (10_000 + scaled)
+    named = rows.join(labels.withColumnRenamed("label", "now"), "node", "left").withColumn("label", F.coalesce("now", "label"))
+    early = F.filter(
+        F.arrays_zip("tokens", "left"), lambda x: x["left"] * F.lit(late) >= -(F.col("slack") + F.col("best"))
     )
-    return star.unionByName(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
+    single = named.select("pile", "node", "label", "size", "slack", F.explode(early).alias("x"))
+    single = materialize(single.select("pile", "node", "label", "size", "slack", F.col("x.tokens").alias("token"), F.col("x.left").alias("left")))
+    mixed = single.groupBy("pile", "token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return materialize(single.join(mixed.where("low <> high").select("pile", "token"), ["pile", "token"]))
+
+
+def _may_be_near(scaled: int, similar: float, other: str) -> Column:
+    """Whether two texts that share a difference of both can be near and are of different classes."""
+    slack = F.col("slack") + F.col(f"{other}slack")
+    early = F.least("left", f"{other}left") * F.lit(2 * (10_000 + scaled)) >= -slack
+    return (F.col("label") != F.col(f"{other}label")) & (slack < 0) & early & _near_in_size("size", f"{other}size", similar)
+
+
+def _crowd_links(crowd: DataFrame, bodies: DataFrame, links: DataFrame, checked: DataFrame, similar: float) -> DataFrame:
+    """``links`` with those that connect all of a pile that is near, from (pile, texts, node, label, size, text).
+
+    With x' and y' the differences of two bags from anything in common, |x| + |y| less twice the overlap
+    is |x'| + |y'| less twice |x' and y'|. Bags with enough slack are near without a shared difference,
+    then both are near the text with the most slack; all others share one early enough.
+    """
+    scaled = round(similar * 10_000)
+    rows = _crowd_rows(crowd, scaled)
+    best = rows.groupBy("pile", "texts").agg(F.max(F.struct("slack", "node", "label")).alias("top"))
+    rows = materialize(_by_pile(rows, best, "node"))
+    star = rows.where((F.col("label") != F.col("top.label")) & (F.col("slack") + F.col("top.slack") >= 0))
+    star = star.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    rows = rows.withColumn("best", F.col("top.slack"))
+
+    def more(pairs: DataFrame, links: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = materialize(_ordered(pairs).join(checked, ["a", "b"], "left_anti"))
+        return links.unionByName(_links(new, bodies, similar)), checked.unionByName(new)
+
+    links, checked = more(star, links, checked)
+    # Of the texts that share a difference, all against the one with the most slack.
+    shared = _shared_differences(rows, classes(links), scaled)
+    heads = shared.groupBy("pile", "token").agg(F.max(F.struct("slack", "node", "label", "size", "left")).alias("h"))
+    met = shared.join(heads, ["pile", "token"]).withColumns({f"h_{c}": F.col(f"h.{c}") for c in ("slack", "node", "label", "size", "left")})
+    met = met.where(_may_be_near(scaled, similar, "h_")).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
+    links, checked = more(met, links, checked)
+    # What is in several classes still.
+    shared = _shared_differences(rows, classes(links), scaled)
+    other = shared.select("pile", "token", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "size", "left", "slack")))
+    pairs = shared.join(other, ["pile", "token"]).where((F.col("label") < F.col("o_label")) & _may_be_near(scaled, similar, "o_"))
+    links, _ = more(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")), links, checked)
+    return links
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -305,7 +336,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, digest of its text, class_id (the smallest doc_id of its class)."""
+    """One row per document: doc_id, digest of its text, class_id (the smallest doc_id of its class) and the
+    digest of that document's text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text"))
     signed = materialize(own.mapInArrow(_signed, "doc long, digest string, size long, bands array<long>"))
     copies = signed.where("digest is not null").groupBy("digest").agg(
@@ -361,7 +393,11 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     left = few.select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
     right = few.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("la") < F.col("lb")) & _near_in_size("sa", "sb", similar))
-    pairs = pairs.select("a", "b")
+    pairs = materialize(_ordered(pairs.select("a", "b")).join(checked, ["a", "b"], "left_anti"))
+    found = _links(pairs, bodies, similar)
+    checked = checked.unionByName(pairs)
+    grown = not found.isEmpty()
+    links = links.unionByName(found)
     many = mixed.where(F.col("members") > SMALL_BUCKET)
     if not many.isEmpty():
         # Texts that meet in large buckets, directly or by others, are one pile.
@@ -369,34 +405,41 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         meet = many.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
         piles = classes(meet.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
         crowd = many.select("node", "label", "size").distinct().join(piles.select("node", F.col("label").alias("pile")), "node")
-        pairs = pairs.unionByName(_crowd_pairs(materialize(bodies.join(crowd, "node")), similar))
-    pairs = materialize(_ordered(pairs).join(checked, ["a", "b"], "left_anti"))
-    found = _links(pairs, bodies, similar)
-    if not found.isEmpty():
-        labels = classes(links.unionByName(found))
+        sizes = piles.groupBy(F.col("label").alias("pile")).agg(F.count(F.lit(1)).alias("texts"))
+        crowd = materialize(crowd.join(sizes, "pile").join(bodies, "node"))
+        links, grown = _crowd_links(crowd, bodies, links, checked, similar), True
+    if grown:
+        labels = classes(links)
 
     named = texts.join(labels, "node", "left").select(
         "digest", "first_doc", F.coalesce("label", "node").alias("label")
     )
-    ids = named.groupBy("label").agg(F.min("first_doc").alias("class_id"))
-    named = named.join(ids, "label").select("digest", "class_id")
+    # The smallest (doc_id, digest) of a class stands for it; a text with a doc_id before any without.
+    first = F.min(F.struct(F.col("first_doc").isNull().alias("lost"), "first_doc", "digest"))
+    ids = named.groupBy("label").agg(first.alias("first"))
+    named = named.join(ids, "label").select(
+        "digest", F.col("first.first_doc").alias("class_id"), F.col("first.digest").alias("class_digest")
+    )
     return (
         signed.select(F.col("doc").alias("doc_id"), "digest")
         .join(named, "digest", "left")
-        .select("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
-    )
+        .select(
+            "doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            "class_digest",
+        )
+    )
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One document of each class, with all its columns: the one with the smallest doc_id.
+    """One document of each class, with all its columns: the one with the smallest doc_id and, of
+    several texts under it, the smallest digest.
 
-    Of rows repeated with that id and text, one stays; a class without any doc_id keeps one
-    row of each text. Documents with a NULL text all stay.
+    Of rows repeated with that id and text, one stays. Documents with a NULL text all stay.
     """
     verdict = near_classes(docs.select("doc_id", "text"), similar)
     key = lambda doc, digest: F.coalesce(doc, F.xxhash64(digest))
     stay = (
-        verdict.where("digest is not null and doc_id <=> class_id")
+        verdict.where("digest = class_digest and doc_id <=> class_id")
         .select("digest", key(F.col("doc_id"), F.col("digest")).alias("key"))
         .distinct()
     )

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import near_dup
@@ -75,21 +76,52 @@ def test_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
-def test_differences_connect_all_similar_texts(spark):
-    texts = sorted({t for t in near_texts(2) if t and t.strip()})
+def crowd_classes(spark, texts, piles, similar, monkeypatch):
+    """The classes that the search by differences finds, the pairs it checked, and those from all pairs."""
     bags = [bag(t) for t in texts]
-    rows = [(i, i, sum(b.values()), i % 2, t) for i, (b, t) in enumerate(zip(bags, texts))]
-    for similar in (0.8, 0.5):
-        near = lambda i, j: sum((bags[i] & bags[j]).values()) >= similar * sum((bags[i] | bags[j]).values()) - 1e-9
-        crowd = spark.createDataFrame(rows, "node long, label long, size long, pile long, text string")
-        got = [(r["a"], r["b"]) for r in near_dup._crowd_pairs(crowd, similar).distinct().collect()]
-        group = list(range(len(rows)))
-        for a, b in got:
-            if near(a, b):
-                group = [group[a] if g == group[b] else g for g in group]
-        pairs = [(i, j) for i in range(len(rows)) for j in range(i) if i % 2 == j % 2 and near(i, j)]
-        assert pairs and all(group[i] == group[j] for i, j in pairs)
-        assert len(got) < len(rows) * len(rows) / 8
+    rows = [(i, i, sum(b.values()), pile, piles.count(pile), t) for i, (b, t, pile) in enumerate(zip(bags, texts, piles))]
+    crowd = spark.createDataFrame(rows, "node long, label long, size long, pile long, texts long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    asked = []
+    links = near_dup._links
+    monkeypatch.setattr(near_dup, "_links", lambda pairs, *rest: asked.append(pairs) or links(pairs, *rest))
+    found = near_dup._crowd_links(crowd, crowd.select("node", "text"), none, none, similar)
+    got = {r["node"]: r["label"] for r in near_dup.classes(found).collect()}
+    checked = [(r["a"], r["b"]) for p in asked for r in p.collect()]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared, whole = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
+            if piles[i] == piles[j] and shared >= similar * whole - 1e-9:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    monkeypatch.undo()
+    return [got.get(i, i) for i in range(len(texts))], checked, group
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.5])
+def test_differences_connect_all_similar_texts(spark, monkeypatch, similar):
+    texts = sorted({t for t in near_texts(2) if t and t.strip()})
+    got, checked, want = crowd_classes(spark, texts, [i % 2 for i in range(len(texts))], similar, monkeypatch)
+    assert got == want and len(set(want)) < len(want)
+    assert len(checked) == len(set(checked)) < len(texts) ** 2 / 8
+
+
+def test_texts_that_share_a_difference_are_not_paired(spark, monkeypatch):
+    """Half of a pile shares a passage that the other half does not have; each half is a class of near texts."""
+    monkeypatch.setattr(near_dup, "PART_TEXTS", 7)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(150):
+        copy = list(base)
+        if k % 2:
+            copy[40:70] = [f"p{i}" for i in range(30)]
+        copy[rng.randrange(120)] = f"own{k}"
+        texts.append(" ".join(copy))
+    got, checked, want = crowd_classes(spark, texts, [0] * 150, 0.8, monkeypatch)
+    assert got == want and len(set(want)) < 60
+    assert len(checked) < 20 * len(texts)
 
 
 def test_large_buckets_equal_brute_force(spark, monkeypatch):
@@ -119,6 +151,17 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(d for d, c in classes.items() if d == c)
 
 
+def test_near_texts_under_one_id_leave_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(3, " ".join(words)), (3, " ".join([*words[:-1], "z"])), (5, " ".join(["y", *words[1:]])), (7, None), (7, None)]
+    rows += [(None, "no id here at all " * 9), (None, "no id here at all " * 9 + "end")]
+    out = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"] is None) for r in out if r["doc_id"] is not None) == [
+        (False, 3, False), (False, 7, True), (False, 7, True),
+    ]
+    assert len([r for r in out if r["doc_id"] is None]) == 1
+
+
 def test_rows_without_id_keep_their_text(spark):
     rows = [(None, "a text that only a row without id has"), (None, "a text that only a row without id has"), (4, "other words altogether in here")]
     out = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
