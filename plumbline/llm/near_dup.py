@@ -250,8 +250,8 @@ def _may_be_near(scaled: int, similar: float, other: str) -> Column:
     return (F.col("label") != F.col(f"{other}label")) & (slack < 0) & early & _near_in_size("size", f"{other}size", similar)
 
 
-def _crowd_links(crowd: DataFrame, bodies: DataFrame, links: DataFrame, checked: DataFrame, similar: float) -> DataFrame:
-    """``links`` with those that connect all of a pile that is near, from (pile, texts, node, label, size, text).
+def _crowd_labels(crowd: DataFrame, bodies: DataFrame, labels: DataFrame, checked: DataFrame, similar: float) -> DataFrame:
+    """``labels`` where all of a pile that is near is connected, from (pile, texts, node, label, size, text).
 
     With x' and y' the differences of two bags from anything in common, |x| + |y| less twice the overlap
     is |x'| + |y'| less twice |x' and y'|. Bags with enough slack are near without a shared difference,
@@ -265,23 +265,22 @@ def _crowd_links(crowd: DataFrame, bodies: DataFrame, links: DataFrame, checked:
     star = star.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
     rows = rows.withColumn("best", F.col("top.slack"))
 
-    def more(pairs: DataFrame, links: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def more(pairs: DataFrame, labels: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = materialize(_ordered(pairs).join(checked, ["a", "b"], "left_anti"))
-        return links.unionByName(_links(new, bodies, similar)), checked.unionByName(new)
+        return _extended(labels, _links(new, bodies, similar)), checked.unionByName(new)
 
-    links, checked = more(star, links, checked)
+    labels, checked = more(star, labels, checked)
     # Of the texts that share a difference, all against the one with the most slack.
-    shared = _shared_differences(rows, classes(links), scaled)
+    shared = _shared_differences(rows, labels, scaled)
     heads = shared.groupBy("pile", "token").agg(F.max(F.struct("slack", "node", "label", "size", "left")).alias("h"))
     met = shared.join(heads, ["pile", "token"]).withColumns({f"h_{c}": F.col(f"h.{c}") for c in ("slack", "node", "label", "size", "left")})
     met = met.where(_may_be_near(scaled, similar, "h_")).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
-    links, checked = more(met, links, checked)
+    labels, checked = more(met, labels, checked)
     # What is in several classes still.
-    shared = _shared_differences(rows, classes(links), scaled)
+    shared = _shared_differences(rows, labels, scaled)
     other = shared.select("pile", "token", *(F.col(c).alias(f"o_{c}") for c in ("node", "label", "size", "left", "slack")))
     pairs = shared.join(other, ["pile", "token"]).where((F.col("label") < F.col("o_label")) & _may_be_near(scaled, similar, "o_"))
-    links, _ = more(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")), links, checked)
-    return links
+    return more(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")), labels, checked)[0]
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -318,6 +317,21 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _extended(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels with more links: only classes that these connect are labelled anew."""
+    named = found
+    for c in ("a", "b"):
+        known = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        named = named.join(known, c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    edges = materialize(named.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    if edges.isEmpty():
+        return labels
+    moved = classes(edges)
+    kept = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    return materialize(kept.select("node", F.coalesce("to", "label").alias("label")).unionByName(new))
+
+
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets with more than one class, with their class."""
     named = members.join(labels, "node", "left").select("key", "node", "size", "rank", F.coalesce("label", "node").alias("label"))
@@ -384,8 +398,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     found = _links(pairs, bodies, similar)
     checked = checked.unionByName(pairs)
     if not found.isEmpty():
-        links = links.unionByName(found)
-        labels = classes(links)
+        labels = _extended(labels, found)
         mixed = _mixed(members, labels)
 
     # All that may still be near: members of different classes.
@@ -394,22 +407,21 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     right = few.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("la") < F.col("lb")) & _near_in_size("sa", "sb", similar))
     pairs = materialize(_ordered(pairs.select("a", "b")).join(checked, ["a", "b"], "left_anti"))
-    found = _links(pairs, bodies, similar)
-    checked = checked.unionByName(pairs)
-    grown = not found.isEmpty()
-    links = links.unionByName(found)
+    labels = _extended(labels, _links(pairs, bodies, similar))
     many = mixed.where(F.col("members") > SMALL_BUCKET)
     if not many.isEmpty():
-        # Texts that meet in large buckets, directly or by others, are one pile.
+        # Texts that meet in large buckets, directly or by others, are one pile. A text holds to one of
+        # the hubs it meets, and that one to the others.
         hubs = many.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("hub"))
-        meet = many.join(hubs, "key").where(F.col("node") != F.col("hub.node"))
-        piles = classes(meet.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
+        meet = many.join(hubs, "key").select("node", F.col("hub.node").alias("hub")).distinct()
+        own = meet.groupBy("node").agg(F.max("hub").alias("b"))
+        ties = meet.join(own, "node").select(F.col("hub").alias("a"), "b")
+        ties = ties.unionByName(own.select(F.col("node").alias("a"), "b")).where("a <> b").distinct()
+        piles = classes(ties)
         crowd = many.select("node", "label", "size").distinct().join(piles.select("node", F.col("label").alias("pile")), "node")
         sizes = piles.groupBy(F.col("label").alias("pile")).agg(F.count(F.lit(1)).alias("texts"))
         crowd = materialize(crowd.join(sizes, "pile").join(bodies, "node"))
-        links, grown = _crowd_links(crowd, bodies, links, checked, similar), True
-    if grown:
-        labels = classes(links)
+        labels = _crowd_labels(crowd, bodies, labels, checked.unionByName(pairs), similar)
 
     named = texts.join(labels, "node", "left").select(
         "digest", "first_doc", F.coalesce("label", "node").alias("label")

@@ -81,12 +81,12 @@ def crowd_classes(spark, texts, piles, similar, monkeypatch):
     bags = [bag(t) for t in texts]
     rows = [(i, i, sum(b.values()), pile, piles.count(pile), t) for i, (b, t, pile) in enumerate(zip(bags, texts, piles))]
     crowd = spark.createDataFrame(rows, "node long, label long, size long, pile long, texts long, text string")
-    none = spark.createDataFrame([], "a long, b long")
+    none, unknown = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, label long")
     asked = []
     links = near_dup._links
     monkeypatch.setattr(near_dup, "_links", lambda pairs, *rest: asked.append(pairs) or links(pairs, *rest))
-    found = near_dup._crowd_links(crowd, crowd.select("node", "text"), none, none, similar)
-    got = {r["node"]: r["label"] for r in near_dup.classes(found).collect()}
+    found = near_dup._crowd_labels(crowd, crowd.select("node", "text"), unknown, none, similar)
+    got = {r["node"]: r["label"] for r in found.collect()}
     checked = [(r["a"], r["b"]) for p in asked for r in p.collect()]
     group = list(range(len(texts)))
     for i in range(len(texts)):
@@ -198,3 +198,14 @@ def test_signature_does_not_depend_on_other_texts():
 def test_long_chains_are_one_class(spark):
     links = spark.range(1, 300).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"))
     assert {r["label"] for r in near_dup.classes(links).collect()} == {0}
+
+
+def test_more_links_extend_the_labels(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
+    edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = near_dup.classes(frame(edges[:40]))
+    for part in (edges[40:41], edges[41:90], [], edges[90:]):
+        labels = near_dup._extended(labels, frame(part))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, near_dup.classes(frame(edges)).collect()))
