@@ -20,6 +20,7 @@ interchangeable; repeated rows are packed each. An empty table gives an empty re
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .words import slices
+from .words import numbered, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -48,14 +49,16 @@ class WordTokenizer:
     """Token ids of texts, each distinct word tokenized once.
 
     Right for tokenizers that split at white space first, drop it, lower ASCII letters, and
-    treat letters and the punctuation behind them alone.
+    treat letters and the punctuation behind them alone. Added tokens are looked for before that: a
+    text that may hold one is tokenized whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.lower() for t in self.inner.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.ends = dict(zip(".,", self._encoded([".", ","])))
 
@@ -84,14 +87,16 @@ class WordTokenizer:
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
+            if self.added and self.added.search(text.lower()):
+                words.append(text)
+                counts[i] = 1
+                continue
             if text.isascii() or "\u03a3" not in text and is_normalized("NFC", text):
                 text = text.lower()  # as the tokenizer will, but for the final sigma
             found = text.replace("\n", " ").replace("\t", " ").split(" ")
             words += found
             counts[i] = len(found)
-        values = np.empty(len(words), dtype=object)
-        values[:] = words
-        codes, distinct = pd.factorize(values)
+        codes, distinct = numbered(words)
         parts = list(map(self.known.get, distinct))
         if None in parts:
             at = [k for k, p in enumerate(parts) if p is None]

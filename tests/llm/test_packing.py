@@ -105,6 +105,8 @@ TEXTS = [
     "Hello, world! it's 42 o'clock\r\nfin.",
     "naïve CAFÉ ﬁ ΑΣ Σ́ x́ \xa0a b\x85c",
     "<|endoftext|> <|startoftext|>x",
+    "x <|endoftext|> y. <|ENDOFTEXT|> <|endof text|>",
+    "a\x00b a\x00c \x00",
     "word " * 5000,
     "".join(chr(97 + i % 26) for i in range(9000)),
     "日本語のテキスト 😀😀 \x1c\x1d",
@@ -122,7 +124,6 @@ def docs(spark):
 
 def expected_pieces():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     for i, text in enumerate(TEXTS):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         doc = None if i == 3 else min(i, len(TEXTS) - 2)
@@ -137,6 +138,11 @@ def test_pieces_hold_the_tokenizers_ids(spark, docs):
     assert all(r["length"] == len(r["ids"]) for r in got)
 
 
+def test_added_tokens_are_one_id():
+    flat, counts = packing.WordTokenizer(PATH).encode(["x <|endoftext|> y", "x y"])
+    assert flat[:3].tolist() == [343, 49407, 344] and counts.tolist() == [3, 2]
+
+
 def test_documents_are_packed_whole(spark, docs):
     rows = packing.packed_documents(docs, PATH).collect()
     want = sorted(zlib.crc32(np.array(ids, "<u4").tobytes()) for *_, ids in expected_pieces())
