@@ -12,7 +12,10 @@ The benchmark is cut into blocks of a bounded number of words; each block is one
 the documents. Documents never move.
 
 Cases: words are runs of letters and digits, in lower case. NULL and empty texts and items
-hold no words; items of fewer than five words cannot be found. Items repeated in the
+hold no words; an item of fewer than five words is one seed of all its words, and covered where
+they stand in a row. Of equally long matches the one at the smaller place in the document, then in
+the item, is marked first. A very long text is searched alone in one task. Other columns are
+kept or not read, whatever their names. Items repeated in the
 benchmark are reported each. Repeated document rows are reported each. Empty tables on
 either side give no hits and drop nothing.
 """
@@ -52,11 +55,38 @@ class Seeds:
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+        # Items too short for a seed: by their number of words, the hash of all their words and the items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SEED_WORDS):
+            few = np.flatnonzero(counts == n)
+            if len(few):
+                values = rolled(self.hashes, n)[self.starts[few]]
+                order = np.argsort(values, kind="stable")
+                self.short[n] = values[order], few[order]
+
+    def whole(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text number, item, place, words) of the first place of each short item that a text holds."""
+        for n, (values, items) in self.short.items():
+            total, text = runs(hashes, counts, n)
+            low, high = (np.searchsorted(values, total, side) for side in ("left", "right"))
+            at = np.flatnonzero(high > low)
+            shift = np.cumsum(np.minimum(counts, n - 1)) - np.minimum(counts, n - 1)
+            starts = np.cumsum(counts) - counts
+            seen = set()
+            for k in at:
+                number = int(text[k])
+                for item in items[low[k] : high[k]].tolist():
+                    if (number, item) not in seen:
+                        seen.add((number, item))
+                        yield number, item, int(k - starts[number] + shift[number]), n
+
     def words_of(self, item: int) -> np.ndarray:
         return self.hashes[self.starts[item] : self.ends[item]]
 
     def candidates(self, total: np.ndarray) -> np.ndarray:
         """Places in ``total`` whose value is a seed."""
+        if not len(self.seeds):
+            return np.zeros(0, np.int64)
         maybe = np.flatnonzero(self.table[(total >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(maybe):
             return maybe
@@ -99,7 +129,7 @@ def matches(doc: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.n
 
 
 def tile(found: list[tuple[int, int, int]], item_words: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the document, place in the item, length), longest first."""
+    """Greedy tiles (place in the document, place in the item, length), longest first, then by place."""
     heap = [(-n, d, i) for n, d, i in found]
     heapq.heapify(heap)
     doc_marked: set[int] = set()
@@ -135,6 +165,8 @@ def _tiled(seeds: Seeds, texts: list[str], coverage: float) -> Iterator[tuple[in
     """(text number, item number, tiles, coverage) of all pairs that reach ``coverage``."""
     words, counts = split_words(texts, letters=True)
     hashes = word_hashes(words)
+    for number, item, place, n in seeds.whole(hashes, counts):
+        yield number, item, [(place, 0, n)], 1.0
     total, text = runs(hashes, counts, SEED_WORDS)
     hits = seeds.candidates(total)
     owner = text[hits]
