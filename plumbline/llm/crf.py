@@ -8,7 +8,9 @@ score that sum's share. So a text that switches language is labelled word by wor
 
 The model is fitted on the driver to a bounded sample: windows of at most ``window`` words
 of about ``per_language`` labelled documents per language. Windows of different languages
-are joined to training sequences, which teaches the transitions what switching looks like.
+are joined to training sequences, which teaches the transitions what switching looks like. The
+gradient is exact, with pair probabilities from the forward and backward messages, and steps end
+when it is small or after a fixed number of them.
 Feature weights are a table of fixed size (hashed), so the model that tasks get is bounded.
 
 Texts of any length are labelled whole: they are cut into stretches whose transfer matrices are
@@ -30,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .words import mix, slices, word_hashes
 
@@ -40,7 +43,8 @@ JOINED = 4  # windows in one training sequence
 FEATURE_BITS = 18
 RUN_SIZES = (1, 2, 3, 4)
 STRETCH = 64
-ROUNDS = 40
+ROUNDS = 200  # at most
+SMALL = 1e-3  # largest entry of a gradient per word at which training ends
 RATE = 0.15
 RIDGE = 1e-5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,6 +64,8 @@ def letter_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         found = _WORD.findall(text.lower())
+        if not all(map(str.isalpha, found)):  # other numerals than digits
+            found = "".join(c if c.isalpha() else " " for w in found for c in [*w, " "]).split()
         words += found
         counts[i] = len(found)
     return words, counts
@@ -177,10 +183,12 @@ def fit(windows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     for r in range(1, rounds + 1):
         table = np.stack([np.bincount(owners, weights[ids, j], len(distinct)) for j in range(k)], axis=1)
         scores = table[codes]
-        p = marginals(scores, joined, transitions)
+        p, pairs = expectations(scores, joined, transitions)
         error = np.stack([np.bincount(codes, (target - p)[:, j], len(distinct)) for j in range(k)], axis=1)
         by_feature = np.stack([np.bincount(ids, error[owners, j], len(weights)) for j in range(k)], axis=1)
-        gradients = [by_feature / len(words) - RIDGE * weights, (seen - _expected(scores, p, same, transitions)) / len(words)]
+        gradients = [by_feature / len(words) - RIDGE * weights, (seen - pairs) / len(words)]
+        if max(np.abs(g).max() for g in gradients) < SMALL:
+            break
         for x, g, (m1, m2) in zip((weights, transitions), gradients, state):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
@@ -188,17 +196,37 @@ def fit(windows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     return Model(languages, weights, transitions)
 
 
-def _expected(scores: np.ndarray, p: np.ndarray, same: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Expected transitions, each pair of neighbours weighed by its words' probabilities.
+def expectations(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's probabilities, and the expected number of transitions from language to language.
 
-    Pair probabilities are made from the marginals and the potentials and brought back to
-    the marginals by one scaling of each side.
+    For training sequences, which are of bounded length: one step for each place, all sequences at once.
     """
-    a, b = p[:-1][same], p[1:][same]
-    pair = a[:, :, None] * np.exp(transitions)[None] * b[:, None, :]
-    pair *= (a / np.maximum(pair.sum(axis=2), 1e-300))[:, :, None]
-    pair *= (b / np.maximum(pair.sum(axis=1), 1e-300))[:, None, :]
-    return pair.sum(axis=0)
+    n, k = scores.shape
+    expected = np.zeros((k, k))
+    if n == 0:
+        return scores, expected
+    potential = np.exp(scores - scores.max(axis=1, keepdims=True))
+    move = np.exp(transitions - transitions.max())
+    sizes = np.sort(counts[counts > 0])[::-1]
+    starts = (np.cumsum(counts) - counts)[np.argsort(-counts, kind="stable")][: len(sizes)]
+    active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(int(sizes[0]) + 1)]  # sequences of more than t words
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x / x.sum(axis=1, keepdims=True)
+
+    forward = np.empty((n, k))
+    forward[starts] = scaled(potential[starts])
+    for t in range(1, len(active) - 1):
+        here = starts[: active[t]] + t
+        forward[here] = scaled((forward[here - 1] @ move) * potential[here])
+    backward = np.ones((n, k))
+    for t in range(len(active) - 2, 0, -1):
+        here = starts[: active[t]] + t
+        ahead = potential[here] * backward[here]
+        pair = forward[here - 1][:, :, None] * move[None] * ahead[:, None, :]
+        expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        backward[here - 1] = scaled(ahead @ move.T)
+    return scaled(forward * backward), expected
 
 
 def bucket(doc_id: Column, parts: int) -> Column:
@@ -209,18 +237,23 @@ def bucket(doc_id: Column, parts: int) -> Column:
 def training_windows(
     docs: DataFrame, per_language: int = PER_LANGUAGE, window: int = WINDOW
 ) -> list[tuple[str, str]]:
-    """(language, text) of a bounded sample of the labelled ``docs``, chosen by a hash of the id."""
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    """(language, text) of a bounded sample of the labelled ``docs``, chosen by a hash of id and text.
+
+    At most twice ``per_language`` rows of a language, those of the smallest hashes, so that repeated rows
+    of one language never push out another.
+    """
+    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(1e6 * min(1.0, per_language / n)))))
     words = F.split("text", r"\s+")
-    sampled = labelled.where(chosen < share[F.col("lang")]).select("lang", "doc_id", words.alias("words"))
+    sampled = labelled.where(chosen < share[F.col("lang")]).select("lang", "doc_id", chosen.alias("h"), words.alias("words"))
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.size("words") - window + 1, F.lit(1))).cast("int")
-    rows = sampled.select("lang", "doc_id", F.array_join(F.slice("words", start, window), " ").alias("text"))
-    rows = rows.limit(2 * per_language * len(counts)).collect()
+    rows = sampled.select("lang", "doc_id", "h", F.array_join(F.slice("words", start, window), " ").alias("text"))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    rows = rows.withColumn("turn", turn).where(F.col("turn") <= 2 * per_language).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -50,6 +51,45 @@ def test_forward_backward_equals_all_paths(monkeypatch):
             end += n
 
 
+def test_pair_probabilities_equal_all_paths():
+    rng = np.random.default_rng(2)
+    counts = np.array([3, 0, 1, 6, 3])
+    scores = rng.normal(size=(counts.sum(), 3)) * 3
+    transitions = rng.normal(size=(3, 3)) * 2
+    p, pairs = crf.expectations(scores, counts, transitions)
+    want, end = np.zeros((3, 3)), 0
+    for n in counts:
+        if not n:
+            continue
+        own = scores[end : end + n]
+        assert np.allclose(p[end : end + n], brute_marginals(own, transitions))
+        sums, total = np.zeros((3, 3)), 0.0
+        for path in itertools.product(range(3), repeat=int(n)):
+            moves = list(zip(path, path[1:]))
+            weight = np.exp(sum(own[i, y] for i, y in enumerate(path)) + sum(transitions[m] for m in moves))
+            total += weight
+            for m in moves:
+                sums[m] += weight
+        want += sums / total
+        end += n
+    assert np.allclose(pairs, want)
+    assert crf.expectations(scores[:0], counts[:0], transitions)[1].sum() == 0
+
+
+def test_words_are_letters_only():
+    words, counts = crf.letter_words(["½ ² Ⅷ", "a½b x²", "Grün1und_2", ""])
+    assert words == ["a", "b", "x", "grün", "und"] and counts.tolist() == [0, 3, 2, 0]
+
+
+def test_training_rows_of_one_language_leave_the_others(spark):
+    rows = [(1, f"mass {i} " * 20, "en") for i in range(3_000)] + [(2, "same text " * 30, "fr")] * 500 + [(i, f"klein {i}", "de") for i in range(5, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows = crf.training_windows(docs, per_language=50)
+    counts = Counter(lang for lang, _ in windows)
+    assert counts["de"] == 4 and counts["en"] <= 100 and counts["fr"] <= 100 and counts["en"] >= 25
+    assert sorted(windows) == sorted(crf.training_windows(docs.repartition(7), per_language=50))
+
+
 def test_features_mark_word_ends_and_whole_words():
     def named(word):
         ids, owner = crf.features([word, "other"])
