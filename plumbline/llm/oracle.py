@@ -11,10 +11,17 @@ _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w:
 
 def _line_dedup() -> str:
     fields = range(lines.FIELDS)
-    cut = lambda i: f"CAST(floor(greatest(n - {lines.DEPTH}, 0) * {i} / {lines.FIELDS}) AS INTEGER)"
+    tail = f"greatest(n - {lines.DEPTH}, 0)"
+    cut = lambda i: f"CAST(floor({tail} * {i} / {lines.FIELDS}) AS INTEGER)"
+    size = lambda i: f"({cut(i + 1)} - {cut(i)})"
     field = lambda i: f"array_to_string(tokens[{lines.DEPTH + 1} + {cut(i)}:{lines.DEPTH} + {cut(i + 1)}], ' ')"
-    constant = " + ".join(
-        f"CASE WHEN min(f{i}) = max(f{i}) THEN max({cut(i + 1)}) - max({cut(i)}) ELSE 0 END" for i in fields
+    bit = lambda i: f"mask & {1 << i} <> 0"
+    agreed = " + ".join(f"CASE WHEN {bit(i)} THEN {size(i)} ELSE 0 END" for i in fields)
+    enough = f"least(n, {lines.DEPTH}) + agreed >= {lines.SIMILAR} * n AND 2 * agreed > {tail}"
+    values = ", ".join(f"CASE WHEN {bit(i)} THEN f{i} END AS k{i}" for i in fields)
+    keys = ", ".join(f"k{i}" for i in fields)
+    shared = " UNION ALL ".join(
+        f"SELECT leaf, masked, doc, line_no, n, tokens, {i} AS i, f{i} AS f FROM line WHERE {size(i)} > 1" for i in fields
     )
     return rf"""
 WITH cut AS (
@@ -26,23 +33,37 @@ token AS (
          list_transform({_WORDS.format("line")},
            lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{lines.VARIABLE}' ELSE t END) AS tokens
   FROM cut),
-parsed AS (
-  SELECT *, len(tokens) AS n FROM token),
-keyed AS (
-  SELECT doc_id, line_no, n, n || ' ' || array_to_string(tokens[1:{lines.DEPTH}], ' ') AS leaf,
-         array_to_string(tokens, ' ') AS masked, {", ".join(f"{field(i)} AS f{i}" for i in fields)}
-  FROM parsed WHERE n > 0),
-leaves AS (
-  SELECT leaf FROM keyed GROUP BY leaf
-  HAVING min(masked) <> max(masked)
-     AND max(least(n, {lines.DEPTH})) + {constant} >= {lines.SIMILAR} * max(n)),
-template AS (
-  SELECT doc_id, line_no, CASE WHEN l.leaf IS NULL THEN k.leaf || chr(10) || masked ELSE k.leaf END AS template
-  FROM keyed k LEFT JOIN leaves l ON k.leaf = l.leaf),
-recurring AS (
-  SELECT template, min(doc_id) AS first_doc FROM template GROUP BY template HAVING min(doc_id) <> max(doc_id)),
+keyed AS MATERIALIZED (
+  SELECT doc_id, line_no, len(tokens) AS n, len(tokens) || ' ' || array_to_string(tokens[1:{lines.DEPTH}], ' ') AS leaf,
+         array_to_string(tokens, ' ') AS masked, tokens
+  FROM token WHERE len(tokens) > 0),
+several AS (SELECT leaf FROM keyed GROUP BY leaf HAVING min(masked) <> max(masked)),
+line AS MATERIALIZED (
+  SELECT *, {", ".join(f"{field(i)} AS f{i}" for i in fields)} FROM (
+    SELECT leaf, masked, first(doc_id ORDER BY doc_id, line_no) AS doc, first(line_no ORDER BY doc_id, line_no) AS line_no,
+           any_value(n) AS n, any_value(tokens) AS tokens
+    FROM keyed JOIN several USING (leaf) GROUP BY leaf, masked)),
+sets AS MATERIALIZED (
+  SELECT n, mask FROM (SELECT n, mask, {agreed} AS agreed FROM (SELECT DISTINCT n FROM line), (SELECT range AS mask FROM range({2**lines.FIELDS})))
+  WHERE {enough}),
+grouped AS (SELECT leaf, masked, doc, mask, {values} FROM line JOIN sets USING (n)),
+by_fields AS (
+  SELECT leaf, masked, doc, min(doc) OVER (PARTITION BY leaf, mask, {keys}) AS target FROM grouped),
+held AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY leaf, i, f ORDER BY doc, line_no, masked) AS turn FROM ({shared})),
+by_tokens AS (
+  SELECT leaf, masked, target FROM (
+    SELECT x.leaf, x.masked, h.doc AS target, x.n,
+           len(list_filter(list_zip(x.tokens, h.tokens), lambda p: p[1] = p[2])) - least(x.n, {lines.DEPTH}) AS agreed
+    FROM held x JOIN held h ON x.leaf = h.leaf AND x.i = h.i AND x.f = h.f AND h.turn <= {lines.EARLIEST} AND h.doc < x.doc)
+  WHERE {enough}),
+near AS (
+  SELECT leaf, masked, min(target) AS target FROM (
+    SELECT leaf, masked, target FROM by_fields WHERE target < doc UNION ALL SELECT * FROM by_tokens) GROUP BY leaf, masked),
+exact AS (SELECT leaf, masked, min(doc_id) AS target FROM keyed GROUP BY leaf, masked),
 dropped AS (
-  SELECT DISTINCT doc_id, line_no FROM template JOIN recurring USING (template) WHERE doc_id <> first_doc)
+  SELECT DISTINCT doc_id, line_no FROM keyed JOIN exact e USING (leaf, masked) LEFT JOIN near r USING (leaf, masked)
+  WHERE doc_id <> coalesce(r.target, e.target))
 SELECT c.doc_id, coalesce(string_agg(c.line, chr(10) ORDER BY c.line_no) FILTER (WHERE d.doc_id IS NULL), '') AS text,
        count(*) AS n_lines, count(d.doc_id) AS n_dropped
 FROM cut c LEFT JOIN dropped d ON c.doc_id = d.doc_id AND c.line_no = d.line_no

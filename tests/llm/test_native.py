@@ -161,6 +161,55 @@ def test_lines_that_only_begin_alike_are_kept(spark):
     assert got == dict(enumerate(texts))
 
 
+def test_a_foreign_line_does_not_undo_a_template(spark):
+    texts = [f"user alice logged in from host {name} after the nightly restart ended" for name in ("alpha", "beta", "gamma")]
+    foreign = "user alice logged no other thing than what she ever wanted to say"
+    for place in range(4):
+        mixed = [*texts[:place], foreign, *texts[place:]]
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs_of(spark, mixed)).collect()}
+        assert sum(got.values()) == 2 and got[place if place else 0] == 0 and got[mixed.index(foreign)] == 0
+
+
+def similar_lines(a, b):
+    n, tail = len(a), max(len(a) - 3, 0)
+    equal = sum(x == y for x, y in zip(a[3:], b[3:]))
+    return len(b) == n and a[:3] == b[:3] and min(n, 3) + equal >= 0.7 * n and 2 * equal > tail
+
+
+def test_lines_of_a_template_equal_all_pairs(spark):
+    """Up to eight tokens behind the leading ones each token is a field, so that every pair counts."""
+    rng = random.Random(12)
+    lines = []
+    for n in (4, 5, 6, 8, 9, 11):
+        for stem in range(3):
+            base = [f"s{chr(97 + stem)}", "b", "c", *(rng.choice("uvwxyz") for _ in range(n - 3))]
+            for _ in range(25):
+                line = list(base)
+                for k in rng.sample(range(3, n), rng.randint(0, n - 3)):
+                    line[k] = rng.choice("uvwxyz")
+                lines.append(line)
+    rng.shuffle(lines)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs_of(spark, [" ".join(x) for x in lines])).collect()}
+    for i, line in enumerate(lines):
+        assert got[i] == any(line == other or similar_lines(line, other) for other in lines[:i])
+
+
+def test_scattered_differences_of_long_lines(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(80)]
+    lines = []
+    for _ in range(12):
+        line = list(base)
+        for k in rng.sample(range(3, 80), 6):
+            line[k] = word()
+        lines.append(line)
+    foreign = [[*base[:3], *(word() for _ in range(77))] for _ in range(6)]
+    texts = [" ".join(x) for x in [*foreign, *lines]]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(18)] == [0] * 7 + [1] * 11
+
+
 def test_short_lines_that_begin_alike_are_kept(spark):
     texts = [
         "he went home early\nthe red door was open\nthe old clock on wall struck twelve",
