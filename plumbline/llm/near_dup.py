@@ -148,7 +148,10 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pile, texts, text) to (pile, texts, token, number of the slice's texts with it)."""
+    """(pile, texts, text) to (pile, texts, token, number of the slice's texts with it), without tokens of one text.
+
+    What a pile has in common, and the order of tokens, may be any; these counts only make them fit.
+    """
     for part, texts in slices(batches, "text"):
         text, token = _tokens(texts)
         pile, whole = part.column("pile").to_numpy()[text], part.column("texts").to_numpy()[text]
@@ -157,7 +160,9 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (pile[1:] != pile[:-1])
         starts = np.flatnonzero(first)
-        columns = [pile[starts], whole[starts], token[starts].view(np.int64), np.diff(starts, append=len(token))]
+        times = np.diff(starts, append=len(token))
+        starts, times = starts[times > 1], times[times > 1]
+        columns = [pile[starts], whole[starts], token[starts].view(np.int64), times]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pile", "texts", "token", "n"])
 
 
@@ -206,8 +211,11 @@ def _by_pile(rows: DataFrame, facts: DataFrame, spread: str) -> DataFrame:
 
 def _crowd_rows(crowd: DataFrame, scaled: int) -> DataFrame:
     """The texts of piles with their differences, from (pile, texts, node, label, size, text)."""
+    # Some texts of a pile together, so that tokens are counted where they are.
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("texts") / PART_TEXTS)).cast("int")
+    parts = crowd.select("pile", "texts", "text", part.alias("part")).repartition("pile", "part").sortWithinPartitions("pile", "part")
     counts = materialize(
-        crowd.select("pile", "texts", "text").mapInArrow(_token_counts, "pile long, texts long, token long, n long")
+        parts.select("pile", "texts", "text").mapInArrow(_token_counts, "pile long, texts long, token long, n long")
         .groupBy("pile", "texts", "token").agg(F.sum("n").alias("n"))
     )
     # A token's remainder as unsigned number, as in _differences.
