@@ -40,7 +40,7 @@ from .words import numbered, slices
 CAPACITY = 2048
 END_ID = 0
 SALTS = 256
-CACHED_WORDS = 900_000
+CACHED_WORDS = 250_000
 
 _tokenizers: dict = {}
 
