@@ -20,7 +20,6 @@ interchangeable; repeated rows are packed each. An empty table gives an empty re
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -40,7 +39,7 @@ from .words import numbered, slices
 CAPACITY = 2048
 END_ID = 0
 SALTS = 256
-CACHED_WORDS = 250_000
+CACHED_WORDS = 900_000
 
 _tokenizers: dict = {}
 
@@ -57,8 +56,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        added = [t.content.lower() for t in self.inner.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content.lower() for t in self.inner.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.ends = dict(zip(".,", self._encoded([".", ","])))
 
@@ -87,12 +85,13 @@ class WordTokenizer:
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if self.added and self.added.search(text.lower()):
+            low = text.lower()
+            if any(a in low for a in self.added):
                 words.append(text)
                 counts[i] = 1
                 continue
             if text.isascii() or "\u03a3" not in text and is_normalized("NFC", text):
-                text = text.lower()  # as the tokenizer will, but for the final sigma
+                text = low  # as the tokenizer will, but for the final sigma
             found = text.replace("\n", " ").replace("\t", " ").split(" ")
             words += found
             counts[i] = len(found)
