@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +10,11 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULTS, WIDE_AGG_COLUMNS, Thresholds
 from ..functions.columns import as_double, batches, fresh, is_numeric, numeric_columns, ref, types_of
+from ..functions.correlations import correlations
 from ..functions.counts import most_frequent
 from .ordered import row_numbers
 from .profile import Profile, fences, null_mask, outside
 
-PAIRS_PER_PASS = 200
-
 
 def _ranges(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, int]]:
     found = {}
@@ -117,15 +115,11 @@ def correlation_matrix(
     if len(columns) < limits.heatmap_min_columns:
         return df.sparkSession.createDataFrame([], schema)
     rows = []
-    pairs = [*combinations(columns, 2), *[(c, c) for c in columns]]
-    for group in batches(pairs, PAIRS_PER_PASS):
-        row = df.agg(
-            *[F.corr(as_double(a), as_double(b)).alias(f"r{i}") for i, (a, b) in enumerate(group)]
-        ).first()
-        for i, (a, b) in enumerate(group):
-            r = row[f"r{i}"]
-            r = None if r is None or r != r else 1.0 if a == b else r
-            rows += [(a, b, r)] if a == b else [(a, b, r), (b, a, r)]
+    for a, b, _, r in correlations(df, {c: as_double(c) for c in columns}):
+        if a == b:
+            rows.append((a, b, None if r is None else 1.0))
+        else:
+            rows += [(a, b, r), (b, a, r)]
     return df.sparkSession.createDataFrame(rows, schema)
 
 

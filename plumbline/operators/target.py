@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULTS, WIDE_AGG_COLUMNS, Thresholds
-from ..functions.columns import as_double, batches, is_numeric, ref, require_columns, types_of
+from ..config import DEFAULTS, Thresholds
+from ..functions.columns import as_double, fresh, is_numeric, ref, require_columns, types_of
+from ..functions.correlations import correlations
 from ..functions.counts import bounded_distinct
 from ..functions.stats import correlation_p_value
 from .joins import attach
@@ -119,7 +120,7 @@ def feature_correlations(
 ) -> DataFrame:
     """Pearson correlation of each numeric feature with the target, strongest first.
 
-    All correlations of a batch come from one aggregate over pairwise complete rows.
+    All correlations come from one pass over pairwise complete rows, however many columns there are.
     """
     require_columns(df, [target])
     spark = df.sparkSession
@@ -133,24 +134,15 @@ def feature_correlations(
     if goal is None:
         return spark.createDataFrame([], schema)
     rows = []
-    for group in batches(features, WIDE_AGG_COLUMNS):
-        aggs = []
-        for i, c in enumerate(group):
-            x = features[c]
-            aggs += [
-                F.count_if(x.isNotNull() & goal.isNotNull()).alias(f"n{i}"),
-                F.corr(x, goal).alias(f"r{i}"),
-            ]
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(group):
-            n, r = row[f"n{i}"], row[f"r{i}"]
-            if n < limits.correlation_min_rows:
-                continue
-            if r is None or r != r:
-                rows.append((c, n, None, None, None))
-            else:
-                p = correlation_p_value(r, n)
-                rows.append((c, n, round(r, digits) + 0.0, round(p, digits), p < limits.alpha))
+    goal_name = fresh(df, "_goal")
+    for _, c, n, r in correlations(df, {goal_name: goal} | features, [goal_name]):
+        if c == goal_name or n < limits.correlation_min_rows:
+            continue
+        if r is None:
+            rows.append((c, n, None, None, None))
+        else:
+            p = correlation_p_value(r, n)
+            rows.append((c, n, round(r, digits) + 0.0, round(p, digits), p < limits.alpha))
     rows.sort(key=lambda r: (-(abs(r[2]) if r[2] is not None else -1.0), r[0]))
     return spark.createDataFrame(rows, schema)
 
