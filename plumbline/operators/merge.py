@@ -1,8 +1,8 @@
 """Profiles that are kept per chunk and merged later.
 
 A chunk's state is one row per column: counts, centred moments, extremes and two
-sketches. States of any number of chunks merge by aggregation, so new data never
-needs a second look at old data. Counts, moments and extremes merge exactly; medians,
+sketches. States of any number of chunks combine into states, level by level if there
+are many, so new data never needs a second look at old data. Counts, moments and extremes merge exactly; medians,
 distinct and outlier counts come from sketches and are approximate.
 """
 
@@ -68,29 +68,37 @@ def _category(dtype: T.DataType) -> str:
     return "categorical" if is_string(dtype) or isinstance(dtype, T.BooleanType) else "other"
 
 
-def merge_states(states: DataFrame, limits: Thresholds = DEFAULTS, digits: int = 4) -> DataFrame:
-    """One profile row per column from the states of all chunks.
+def combine_states(states: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """States of several chunks as one state per column and new ``chunk`` (default: all in one).
 
-    ``states`` is read twice and should be a stored table.
+    The result is again a table of states, so chunks can be combined level by level. ``states`` is
+    read twice and should be a stored table.
     """
-    pooled = states.groupBy("column").agg(
-        (F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("_mean")
-    )
-    # One row per column of the profiled table.
-    about = states.join(F.broadcast(pooled), "column")
-    gap = F.col("mean") - F.col("_mean")
-    n = F.col("n")
-    merged = about.groupBy("column", "type_category").agg(
+    key = F.lit("all") if chunk is None else chunk.cast("string")
+    keyed, by = states.withColumn("chunk", key), ["chunk", "column"]
+    weighted = F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))
+    pooled = keyed.groupBy(*by).agg(weighted.alias("_mean"))
+    # Without a chunk there is one row per column of the profiled table.
+    about = keyed.join(F.broadcast(pooled) if chunk is None else pooled, by)
+    gap, n = F.col("mean") - F.col("_mean"), F.col("n")
+    merged = about.groupBy(*by, "type_category").agg(
         F.sum("n").alias("n"),
-        F.sum("nulls").alias("null_count"),
+        F.sum("nulls").alias("nulls"),
         F.first("_mean").alias("mean"),
-        F.sum(F.col("m2") + n * gap * gap).alias("m2"),
-        F.sum(F.col("m3") + 3 * gap * F.col("m2") + n * gap * gap * gap).alias("m3"),
+        F.sum(F.col("m2") + F.coalesce(n * gap * gap, F.lit(0.0))).alias("m2"),
+        F.sum(F.col("m3") + F.coalesce(3 * gap * F.col("m2") + n * gap * gap * gap, F.lit(0.0))).alias("m3"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
         F.kll_merge_agg_double("quantiles").alias("quantiles"),
-        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("approx_unique_count"),
+        F.hll_union_agg("distinct").alias("distinct"),
     )
+    return merged.select("chunk", "column", "type_category", *[c for c in merged.columns if c not in (*by, "type_category")])
+
+
+def merge_states(states: DataFrame, limits: Thresholds = DEFAULTS, digits: int = 4) -> DataFrame:
+    """One profile row per column from the states of all chunks."""
+    merged = combine_states(states).withColumnsRenamed({"nulls": "null_count"})
+    merged = merged.withColumn("approx_unique_count", F.hll_sketch_estimate("distinct"))
     numeric = F.col("type_category") == "numeric"
     present = numeric & (F.col("n") > 0)
     spread = F.col("m2") / F.nullif(F.col("n"), F.lit(0))
@@ -136,9 +144,11 @@ def frequency_states(df: DataFrame, columns: Sequence[str], chunk: Column | None
     return value_frequencies(df if chunk is None else df.filter(chunk), columns)
 
 
-def merge_frequencies(states: DataFrame, k: int = DEFAULTS.top_values) -> DataFrame:
-    """Top values from the value counts of all chunks."""
-    merged = states.groupBy("column", "whole", "real", "text").agg(F.sum("count").alias("count"))
-    return top_values(merged, k)
+def combine_frequencies(states: DataFrame) -> DataFrame:
+    """Value counts of several chunks as value counts of all of them."""
+    return states.groupBy("column", "whole", "real", "text").agg(F.sum("count").alias("count"))
 
 
+def merge_frequencies(states: DataFrame, k: int = DEFAULTS.top_values) -> DataFrame:
+    """Top values from the value counts of all chunks."""
+    return top_values(combine_frequencies(states), k)

@@ -18,7 +18,7 @@ from .operators.joins import attach
 from .plans import rules
 from .plans.execute import apply_plan
 from .plans.run import clean, propose
-from .session import materialize, shared_dir
+from .session import materialize, new_folder
 from .sources import tables
 from .views import load
 
@@ -353,9 +353,8 @@ def cleaning_log(spark, sf):  # L5
 
 @register
 def csv_round_trip(spark, sf):  # S1 S2
-    import uuid
 
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = new_folder(spark, "csv")
     source = load(spark, sf, "customer")
     tables.write_csv(source, path)
     return tables.read_csv(spark, path)

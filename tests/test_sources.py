@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.config import NULL_TOKENS
+from plumbline.operators import merge
 from plumbline.operators.profile import numeric_profile
-from plumbline.session import materialize, shared_dir
+from plumbline.plans.run import clean
+from plumbline.session import materialize, run_scope, shared_dir
 from plumbline.sources import tables
 from plumbline.streaming.profile_stream import ProfileStream
 from tests.conftest import same_rows
@@ -84,3 +88,63 @@ def test_stream_profile(spark, tmp_path, replay):
     assert merged["x"]["skewness"] == whole["skewness"]
     top = follower.top_values(spark).filter("column = 's'").orderBy("position").collect()
     assert [(r["value"], r["count"]) for r in top] == [(f"s{i}", 75) for i in range(4)]
+
+
+def test_stream_states_are_combined_by_levels(spark, tmp_path):
+    table = spark.range(700).select("id", (F.col("id") % 17 * 1.5 + F.col("id")).alias("x"), F.concat(F.lit("s"), F.col("id") % 4).alias("s"))
+    part = lambda b: table.filter((F.col("id") >= b * 70) & (F.col("id") < b * 70 + 70))
+    follower = ProfileStream(str(tmp_path / "p"), fan=3)
+    for b in range(10):
+        follower.update(part(b), b)
+    # Nine batches are one folder, the tenth its own.
+    assert sorted(follower._finished(spark, "states")) == [(0, 9), (9, 1)]
+    want = {r["column"]: r for r in merge.merge_states(merge.profile_states(table)).collect()}
+
+    def check():
+        for c, r in {r["column"]: r for r in follower.profile(spark).collect()}.items():
+            for name in ("rows", "null_count", "mean", "std", "min", "max", "skewness", "type_category"):
+                assert r[name] == want[c][name], (c, name)
+            assert r["approx_unique_count"] == pytest.approx(want[c]["approx_unique_count"], rel=0.05)
+        top = follower.top_values(spark).filter("column = 's'").collect()
+        assert {(r["value"], r["count"]) for r in top} == {(f"s{i}", 175) for i in range(4)}
+
+    check()
+    follower.update(part(4), 4)  # replayed after it was combined
+    check()
+    # A failure after a combined folder was written leaves parts behind that count no more.
+    merge.profile_states(part(1), chunk=F.lit("1")).write.parquet(follower._folder("states", 1))
+    check()
+
+
+def test_merge_of_merges_equals_one_merge(spark):
+    df = spark.range(999).select((F.sqrt("id") - 9).alias("x"), F.lit(None).cast("double").alias("none"), (F.col("id") % 9).alias("k"))
+    states = materialize(merge.profile_states(df, ["x", "none"], F.col("k")))
+    halves = materialize(merge.combine_states(states, F.col("chunk").cast("int") % 2))
+    assert halves.columns == states.columns and halves.count() == 4
+    one, two = ({r["column"]: r.asDict() for r in merge.merge_states(s).collect()} for s in (states, halves))
+    for c in ("x", "none"):
+        # What sketches say may differ within their error.
+        near = one[c].pop("approx_median"), two[c].pop("approx_median")
+        assert near[0] == near[1] or abs(near[0] - near[1]) < 0.2
+        assert two[c].pop("approx_unique_count") == pytest.approx(one[c].pop("approx_unique_count"), rel=0.05)
+        assert one[c] == two[c]
+
+
+def test_run_scope_leaves_nothing_behind(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i % 3}", float(i % 7) if i % 5 else None) for i in range(60)], "id int, name string, v double")
+    rows = rows.unionByName(rows.limit(3))
+    folder = Path(shared_dir(spark))
+    before = {p.name for p in folder.iterdir()}
+    with run_scope(spark):
+        result = clean(rows, ["id"], target="v")
+        assert {p.name for p in folder.iterdir()} > before
+        with run_scope(spark):
+            inner = materialize(rows)
+            assert inner.count() == 63
+        result.cleaned.write.parquet(str(tmp_path / "out"))
+    assert {p.name for p in folder.iterdir()} == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+    with pytest.raises(ValueError), run_scope(spark):
+        materialize(rows)
+        raise ValueError
+    assert {p.name for p in folder.iterdir()} == before
