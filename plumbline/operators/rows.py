@@ -38,30 +38,56 @@ HASH, COPIES = "_row_hash", "_copies"
 
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of the whole row; equal rows have equal hashes."""
-    parts = []
-    for name, dtype in types_of(df).items():
-        value = ref(name)
-        if isinstance(dtype, (T.FloatType, T.DoubleType)):
-            value = value + F.lit(0.0)  # -0.0 equals 0.0
-        elif isinstance(dtype, T.MapType):
-            value = _entries(value)
-        parts.append(value)
-    return F.xxhash64(*parts)
+    return F.xxhash64(*[_comparable(ref(c), t, True) for c, t in types_of(df).items()])
 
 
-def _entries(value: Column) -> Column:
-    """A map as its entries in order of their keys: comparable, and equal for equal maps."""
-    return F.array_sort(F.map_entries(value))
+def _holds(dtype: T.DataType, kinds: tuple) -> bool:
+    """Whether a type or a part of it is of one of the kinds."""
+    if isinstance(dtype, T.StructType):
+        return any(_holds(f.dataType, kinds) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _holds(dtype.elementType, kinds)
+    if isinstance(dtype, T.MapType):
+        return isinstance(dtype, kinds) or _holds(dtype.keyType, kinds) or _holds(dtype.valueType, kinds)
+    return isinstance(dtype, kinds)
+
+
+def _comparable(value: Column, dtype: T.DataType, zeros: bool = False) -> Column:
+    """A value that can be compared: maps, at any depth, as their entries in order of the keys.
+
+    With ``zeros`` -0.0 becomes 0.0, which it equals.
+    """
+    kinds = (T.MapType, T.FloatType, T.DoubleType) if zeros else (T.MapType,)
+    if not _holds(dtype, kinds):
+        return value
+    if isinstance(dtype, T.StructType):
+        fields = [
+            _comparable(value.getField(f.name), f.dataType, zeros).alias(f"f{i}") for i, f in enumerate(dtype.fields)
+        ]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _comparable(x, dtype.elementType, zeros))
+    if isinstance(dtype, T.MapType):
+        # Keys differ, so values, which may be maps, need no order.
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(
+                _comparable(e["key"], dtype.keyType, zeros).alias("key"),
+                _comparable(e["value"], dtype.valueType, zeros).alias("value"),
+            ),
+        )
+        return F.array_sort(entries, by_key)
+    return value + F.lit(0.0).cast(dtype)
 
 
 def _row_keys(df: DataFrame) -> list[Column]:
     """What the rows of ``df`` are compared by."""
-    types = types_of(df)
-    return [_entries(ref(c)) if isinstance(types[c], T.MapType) else ref(c) for c in df.columns]
+    return [_comparable(ref(c), t) for c, t in types_of(df).items()]
 
 
 def _one_of_each(df: DataFrame) -> DataFrame:
-    if not any(isinstance(t, T.MapType) for t in types_of(df).values()):
+    if not any(_holds(t, (T.MapType,)) for t in types_of(df).values()):
         return df.dropDuplicates()
     keys = [k.alias(f"k{i}") for i, k in enumerate(_row_keys(df))]
     rows = df.groupBy(*keys).agg(F.first(F.struct(*[ref(c) for c in df.columns])).alias("row"))

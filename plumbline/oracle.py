@@ -353,6 +353,9 @@ UNION ALL SELECT 'outliers', 'o_totalprice', 'drop', count(*)
   FROM filled, {fence("filled", "o_totalprice")} WHERE o_totalprice < lo OR o_totalprice > hi""")
 
     q("csv_round_trip", "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+    q("text_files", """SELECT coalesce(lang, 'none') AS lang, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS characters,
+  CAST(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS BIGINT) AS line_ends
+FROM documents GROUP BY ALL""")
     q("normalized_nulls", """SELECT * REPLACE (
   CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN c_mktsegment END AS c_mktsegment,
   CASE WHEN c_nationkey <> 3 THEN c_acctbal END AS c_acctbal) FROM customer""")
@@ -444,6 +447,14 @@ FROM g, b GROUP BY x, n, h""")
         "SELECT 'nullity_matrix', 7 * count(DISTINCT bucket) FROM b",
         "SELECT 'bar_o_orderpriority', least(count(DISTINCT o_orderpriority), 10) FROM base"]))
 
+    whiskers = ["q1", "median", "q3", "lower_whisker", "upper_whisker", "outlier_count"]
+    q("dashboard_contents", f"WITH {UNIQUE}, {matrix.format('base')} SELECT chart, item, round(CAST(amount AS DOUBLE), 4) + 0.0 AS amount FROM (" + union([
+        *[f"SELECT 'dist_{c}' AS chart, CAST(bin AS VARCHAR) AS item, CAST(\"count\" AS DOUBLE) AS amount FROM ({bins('base', c, 20)})" for c in ORDER_NUMBERS],
+        *[f"SELECT 'box_{c}', '{w}', {w} FROM ({_whisker('base', c)})" for c in ORDER_NUMBERS for w in whiskers],
+        *[f"SELECT 'correlation_heatmap', '{a}|{b}', corr({a}, {b}) FROM base" for a in ORDER_NUMBERS for b in ORDER_NUMBERS],
+        f"""SELECT 'nullity_matrix', "column" || '|' || CAST(bucket AS VARCHAR), null_share FROM ({shares})""",
+        f"SELECT 'bar_o_orderpriority', value, \"count\" FROM ({top_n('base', ['o_orderpriority'], 10)})"]) + ")")
+
     q("text_chunks", """SELECT doc_id, CAST(start / 450 AS BIGINT) AS chunk_id, CAST(start AS BIGINT) AS start,
   substr(text, CAST(start AS INTEGER) + 1, 500) AS text
 FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS start FROM documents)""")

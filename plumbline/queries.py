@@ -353,13 +353,26 @@ def cleaning_log(spark, sf):  # L5
 
 @register
 def csv_round_trip(spark, sf):  # S1 S2
-
     path = new_folder(spark, "csv")
     source = load(spark, sf, "customer")
     tables.write_csv(source, path)
     return tables.read_csv(spark, path)
 
 
+@register
+def text_files(spark, sf):  # S3
+    """Documents written as text files by language, read back whole: characters and line ends by language."""
+    path = new_folder(spark, "text")
+    documents = load(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    documents.write.partitionBy("lang").text(path)
+    files = tables.read_text(spark, f"{path}/*/*")
+    lang = F.regexp_extract("doc_id", "lang=([^/]+)", 1)
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return files.groupBy(lang.alias("lang")).agg(
+        F.sum(F.length("text")).alias("characters"), F.sum(ends).cast("bigint").alias("line_ends")
+    )
+
+
 @register
 def normalized_nulls(spark, sf):  # S4
     tokens = F.when(F.col("c_mktsegment") == "BUILDING", "N/A").when(F.col("c_mktsegment") == "MACHINERY", "")
@@ -537,6 +550,31 @@ def dashboard_sizes(spark, sf):  # V7
     return spark.createDataFrame(sizes, "chart string, rows bigint")
 
 
+@register
+def dashboard_contents(spark, sf):  # V7
+    """Every chart of the dashboard as ``(chart, item, amount)``."""
+    table = rows.drop_duplicates(orders(spark, sf))
+    found = prof.profile(table, ORDERS_ORDER, duplicates=False)
+    parts = []
+    for name, chart in dashboard.dashboard(table, found, "o_orderkey").items():
+        if name.startswith("dist_"):
+            cells = [(F.col("bin").cast("string"), F.col("count"))]
+        elif name.startswith("box_"):
+            cells = [(F.lit(c), F.col(c)) for c in chart.columns if c != "column"]
+        elif name.startswith("bar_"):
+            cells = [(F.col("value"), F.col("count"))]
+        elif name == "correlation_heatmap":
+            cells = [(F.concat_ws("|", "x", "y"), F.col("r"))]
+        else:
+            cells = [(F.concat_ws("|", "column", F.col("bucket").cast("string")), F.col("null_share"))]
+        pairs = F.array(*[F.struct(i.alias("item"), a.cast("double").alias("amount")) for i, a in cells])
+        parts.append(chart.select(F.lit(name).alias("chart"), F.inline(pairs)))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return rounded(whole, "amount")
+
+
 # Retrieval
 
 

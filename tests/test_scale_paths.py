@@ -43,6 +43,20 @@ def test_rows_with_maps_are_compared(odd):
     assert table_profile(only).first()["duplicate_rows"] == 2
 
 
+def test_rows_with_maps_inside_other_values(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+      (named_struct('m`x', map('a', map('k', -0.0D, 'l', 1D))), array(map(1, 'x', 2, 'y')), 1),
+      (named_struct('m`x', map('a', map('l', 1D, 'k', 0.0D))), array(map(2, 'y', 1, 'x')), 1),
+      (named_struct('m`x', map('a', map('l', 2D, 'k', 0.0D))), array(map(2, 'y', 1, 'x')), 1),
+      (NULL, array(NULL, map(2, 'y')), 2), (NULL, array(NULL, map(2, 'y')), 2),
+      (NULL, array(map(2, 'y'), NULL), 2), (NULL, NULL, 2) AS t(s, a, `n.n`)""")
+    assert rows.count_duplicates(df) == rows.count_duplicates(df, 0) == 2
+    for limit in (100, 0):
+        kept = rows.drop_duplicates(df, limit)
+        assert kept.count() == 5 and kept.dtypes == df.dtypes
+    assert table_profile(df).first()["duplicate_rows"] == 2
+
+
 def test_infinite_values_are_in_no_bin(odd):
     bins = dashboard.histogram(odd, ["v"], 2).orderBy("bin").collect()
     assert [(r["low"], r["high"], r["count"]) for r in bins] == [(1.0, 2.0, 1), (2.0, 3.0, 2)]
