@@ -10,8 +10,8 @@ Assembly joins requests and metadata to responses through the concurrent-to iden
 either direction) and emits one nested row per capture; records whose partner is missing are
 kept, as captures without a response.
 
-Which payloads are equal is told by SHA-1. A hot payload costs one row a task: the largest
-page id of every digest is combined before the shuffle.
+Which payloads are equal is told by SHA-1. The largest page id of a digest is combined before the
+shuffle; the rows of a hot payload, with their text, are split among tasks by Spark's skew handling.
 
 Cases: a NULL payload is empty, a NULL url is empty; line ends in a url are written
 as %0D and %0A. Of equal payloads with one page id, the largest url is the response. Rows
@@ -23,14 +23,13 @@ from __future__ import annotations
 
 import gzip
 import io
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir
+from ..session import materialize, new_folder
 
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 6000
@@ -81,9 +80,13 @@ def write_archives(pages: DataFrame, path: str, date: str = DATE, records_per_fi
         html.alias("html"),
         base32_sha1(html.cast("binary")).alias("digest"),
     )
-    stored = rows.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("stored"))
-    rows = rows.join(stored, "digest")
-    here = F.col("page_id").eqNullSafe(F.col("stored.page_id")) & (F.col("url") == F.col("stored.url"))
+    # A written table of the payloads that occur twice: both sides of the join are then shuffled right
+    # before it, so a payload that a third of all pages hold is split among tasks.
+    stored = rows.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("stored"), F.count(F.lit(1)).alias("copies"))
+    stored = materialize(stored.where("copies > 1").drop("copies"))
+    rows = rows.join(stored, "digest", "left")
+    same = F.col("page_id").eqNullSafe(F.col("stored.page_id")) & (F.col("url") == F.col("stored.url"))
+    here = F.col("stored").isNull() | same
     own, other = F.col("page_id"), F.col("stored.page_id")
     head = F.concat(
         F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=UTF-8{_EOL}Content-Length: "),
@@ -214,7 +217,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def page_digests(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes the pages as archives in the shared folder, reads them back, and reports every capture."""
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark, "warc")
     write_archives(pages, path)
     records = read_archives(spark, path)
     slim = materialize(

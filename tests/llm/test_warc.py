@@ -97,3 +97,35 @@ def test_archives_of_others_are_read(tmp_path):
 
 def test_no_pages(spark):
     assert warc.page_digests(spark, spark.createDataFrame([], PAGES)).isEmpty()
+
+
+def test_rows_of_a_hot_payload_are_split(spark, tmp_path):
+    # Longer than a block of the shuffle's compression, so that it is large in the shuffle too.
+    hot = "".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(1500))
+    text = F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.md5(F.col("id").cast("string")), F.col("id") % 900))
+    pages = spark.range(900, numPartitions=12).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), text.alias("html"))
+    pages = pages.unionByName(pages.where("page_id % 3 > 0").withColumn("page_id", F.col("page_id") + 900)).repartition(12)
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000000",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        path = str(tmp_path / "archives")
+        warc.write_archives(pages, path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    sizes = [sum(1 for _ in warc._parsed(bytes(f["content"]))) for f in files]
+    assert sum(sizes) == 3 * 1500
+    assert sum(size > 0 for size in sizes) >= 5
+    records = warc.read_archives(spark, path)
+    kinds = {r["type"]: r["count"] for r in records.groupBy("type").count().collect()}
+    assert kinds["response"] == 601 and kinds["revisit"] == 899
