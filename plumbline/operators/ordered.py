@@ -12,8 +12,6 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,7 +23,6 @@ from ..functions.columns import fresh, ref, types_of
 from .joins import attach
 
 SAMPLES_PER_RANGE = 20
-FLAT_LOOKUP = 32
 
 
 def _key(names: Sequence[str]) -> Column:
@@ -45,35 +42,28 @@ def _boundaries(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> l
     return [tuple(sample[p]) for p in picks if p < len(sample)]
 
 
-def _edge_literal(bound: tuple, types: Sequence[T.DataType]) -> Column:
-    return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(bound, types))])
-
-
-def _edge_runs(runs: list[list[tuple]], types: Sequence[T.DataType]) -> Column:
-    """All boundaries as one constant array of runs; one literal keeps the plan small."""
+def _edge_array(bounds: list[tuple], types: Sequence[T.DataType]) -> Column:
+    """All boundaries as one constant array; one literal keeps the plan small."""
 
     def plain(value):
         return value.isoformat() if hasattr(value, "isoformat") else str(value)
 
     entry = ", ".join(f"k{i}: {t.simpleString()}" for i, t in enumerate(types))
-    rows = [[{f"k{i}": v for i, v in enumerate(b) if v is not None} for b in run] for run in runs]
+    rows = [{f"k{i}": v for i, v in enumerate(b) if v is not None} for b in bounds]
     text = json.dumps(rows, default=plain, ensure_ascii=False)
-    return F.from_json(F.lit(text), f"array<array<struct<{entry}>>>", {"timeZone": "UTC"})
+    return F.from_json(F.lit(text), f"array<struct<{entry}>>", {"timeZone": "UTC"})
 
 
-def _locate(key: Column, bounds: list[tuple], types: Sequence[T.DataType]) -> tuple[Column, Column]:
-    """Number of boundaries at or below the key, and the boundaries themselves as an array.
+def _locate(key: Column, edges: Column, count: int) -> Column:
+    """Number of boundaries at or below the key, by halving: some log2(count) comparisons a row."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(count.bit_length()))])
 
-    Many boundaries are searched in two short lookups instead of a long one.
-    """
-    if len(bounds) <= FLAT_LOOKUP:
-        edges = [_edge_literal(b, types) for b in bounds]
-        return reduce(add, [(key >= e).cast("int") for e in edges]), F.array(*edges)
-    width = math.ceil(math.sqrt(len(bounds)))
-    runs = _edge_runs([bounds[i : i + width] for i in range(0, len(bounds), width)], types)
-    run = F.size(F.filter(runs, lambda r: r[0] <= key))
-    within = F.size(F.filter(F.element_at(runs, run), lambda b: b <= key))
-    return F.when(run == 0, 0).otherwise((run - 1) * width + within), F.flatten(runs)
+    def halved(k: Column) -> Column:
+        # Beyond the last boundary there is no entry, and no step is taken.
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= k, at + step).otherwise(at))
+
+    # The key is built once a row; the result is never NULL, so no filter repeats the search.
+    return F.coalesce(F.get(F.transform(F.array(key), halved), F.lit(0)), F.lit(0))
 
 
 class Ranges:
@@ -100,7 +90,8 @@ class Ranges:
             raise TypeError(f"rows cannot be ordered by {', '.join(odd)}")
         located, self.edges = F.lit(0), None
         if self.bounds:
-            located, self.edges = _locate(_key(keys), self.bounds, [types[k] for k in keys])
+            self.edges = _edge_array(self.bounds, [types[k] for k in keys])
+            located = _locate(_key(keys), self.edges, len(self.bounds))
         self.df = df.withColumn(self.bucket, located)
 
     def window(self, *extra: str) -> W:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,3 +117,19 @@ def test_no_range_sees_all_rows(rows):
     cut = ordered.Ranges(rows, ["ts", "id"], ["user"], rows_per_range=100)
     sizes = cut.df.groupBy(cut.bucket).count().collect()
     assert len(sizes) >= 12 and max(r["count"] for r in sizes) < 500
+
+
+@pytest.mark.parametrize("size", [400, 20, 3])
+def test_ranges_are_found_by_halving(rows, size):
+    """A row meets some log2 of the boundaries, not each of them or the root of their number."""
+    some = rows.withColumn("user", F.when(F.col("id") % 7 > 0, F.col("user")))
+    cut = ordered.Ranges(some, ["ts", "id"], ["user"], rows_per_range=size)
+    comparable = lambda key: tuple((v is not None, v) if v is not None else (False,) for v in key)
+    bounds = [comparable(b) for b in cut.bounds]
+    assert len(bounds) > 2
+    for r in cut.df.collect():
+        assert r[cut.bucket] == bisect.bisect_right(bounds, comparable((r["user"], r["ts"], r["id"])))
+    steps = ",".join(str(1 << b) for b in reversed(range(len(bounds).bit_length())))
+    plan = cut.df._jdf.queryExecution().optimizedPlan().toString()
+    assert f"aggregate([{steps}]" in plan and "filter(" not in plan
+    assert not cut.df.schema[cut.bucket].nullable
