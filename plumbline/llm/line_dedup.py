@@ -8,16 +8,17 @@ lines need, so a foreign line undoes none.
 
 Lines of a leaf meet without being paired. The tokens after the leading ones are cut into a fixed number of fields.
 Lines that agree in any set of fields that is enough by itself are one template: each smallest such
-set is a group. Differences that are scattered over many fields of a long line are found
-by single fields: a line is compared, token by token, with the few earliest lines that share a field
-of two tokens or more with it.
+set is a group. Scattered differences are found by shorter fields: lines of one template differ in a
+bounded number of tokens after the leading ones, so of one field more than that at least one is equal. A line is compared, token by
+token, with every line of such an equal field that would take it to an earlier document; no line of a template is missed. Lines of
+a field that very many share are dealt into parts.
 
 A template in two documents or more recurs. Its lines stay in the document with the
 smallest id and are dropped from all others, so one copy of each text remains: a line goes from
 every document but the first one that has the line or an earlier one of its template.
 
 Only hashes move: some 70 bytes a line and four a token. Only lines of leaves with different
-lines are looked at again, each distinct one once, and only in fields that others share. Groups that a third of all lines may belong to are
+lines are looked at again, each distinct one once. Groups that a third of all lines may belong to are
 aggregated before they are shuffled, and written before lines are joined to them, so that adaptive execution
 can split them.
 
@@ -41,7 +42,7 @@ DEPTH = 3
 FIELDS = 8
 SIMILAR = 0.7
 LEAVES = 1_000_000  # leaves with different lines that are handed to all tasks, 16 MB; more are joined by a shuffle
-EARLIEST = 4  # lines of a shared field that others are compared with
+CROWD = 10_000  # lines of a shared field that are compared with others in one task
 VARIABLE = "<*>"
 # A whole token with a digit in it. The quantifiers never go back, so long tokens cost linear time.
 FIELD_TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
@@ -51,9 +52,15 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.xxhash64(text))
 
 
-def _cut(i: int, tail: Column) -> Column:
+def _cut(i: int | Column, tail: Column, fields: int | Column = FIELDS) -> Column:
     """Where field ``i`` of a tail of so many tokens begins."""
-    return F.floor(tail * i / FIELDS).cast("int")
+    return F.floor(tail * i / fields).cast("int")
+
+
+def _field(i: int | Column, tail: Column, fields: int | Column = FIELDS) -> Column:
+    """The tokens of field ``i``."""
+    begin = _cut(i, tail, fields)
+    return F.slice("tokens", begin + DEPTH + 1, _cut(i + 1, tail, fields) - begin)
 
 
 def parse_lines(docs: DataFrame) -> DataFrame:
@@ -67,8 +74,6 @@ def parse_lines(docs: DataFrame) -> DataFrame:
     tokens = F.filter(F.split(masked, f"[{SPACE}]+"), lambda t: t != "")
     lines = lines.select("doc", "text_hash", "line_no", F.transform(tokens, lambda t: F.hash(t)).alias("tokens"))
     n = F.size("tokens")
-    tail = F.greatest(n - DEPTH, F.lit(0))
-    field = lambda i: F.hash(F.slice("tokens", DEPTH + 1 + _cut(i, tail), _cut(i + 1, tail) - _cut(i, tail)))
     return lines.select(
         "doc",
         "text_hash",
@@ -77,7 +82,6 @@ def parse_lines(docs: DataFrame) -> DataFrame:
         F.xxhash64(n, F.slice("tokens", 1, DEPTH)).alias("leaf"),
         F.xxhash64("tokens", F.lit(1)).alias("line_hash"),
         "tokens",
-        *(field(i).alias(f"f{i}") for i in range(FIELDS)),
     )
 
 
@@ -106,34 +110,27 @@ def first_documents(lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     several = materialize(leaves.where("low <> high").select("leaf"))
     if several.count() <= LEAVES:
         several = F.broadcast(several)
-    fields = [f"f{i}" for i in range(FIELDS)]
     distinct = lines.join(several, "leaf").groupBy("leaf", "line_hash").agg(
-        F.min(F.struct("doc", "line_no")).alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
-        *(F.first(f).alias(f) for f in fields),
+        F.min(F.struct("doc", "line_no"))["doc"].alias("doc"), F.first("n").alias("n"), F.first("tokens").alias("tokens"),
     )
+    tail = F.greatest(F.col("n") - DEPTH, F.lit(0))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda i: F.hash(_field(i, tail)))
     # The ids are fixed by writing them.
-    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()))
-    shared = materialize(_shared_fields(distinct))
-    bits = shared.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("bits"))
-    known = distinct.select("id", "leaf", "first", "n", *fields).join(bits, "id")
+    distinct = materialize(distinct.withColumns({"id": F.monotonically_increasing_id(), "cells": cells}))
 
     # Agreement in whole fields.
     sets = materialize(_field_sets(distinct.select("n").distinct(), similar))
     bit = lambda i: F.col("fields").bitwiseAND(1 << i) != 0
-    key = F.xxhash64("leaf", "fields", *(F.when(bit(i), F.col(f"f{i}")) for i in range(FIELDS)))
-    keyed = known.join(sets, "n").where(F.col("fields").bitwiseAND(F.col("bits")) == F.col("fields"))
-    keyed = materialize(keyed.select("id", F.col("first.doc").alias("doc"), key.alias("key")))
+    key = F.xxhash64("leaf", "fields", *(F.when(bit(i), F.get("cells", F.lit(i))) for i in range(FIELDS)))
+    keyed = distinct.select("id", "leaf", "doc", "n", "cells").join(sets, "n")
+    keyed = materialize(keyed.select("id", "doc", key.alias("key")))
     groups = keyed.groupBy("key").agg(F.min("doc").alias("to"), F.max("doc").alias("last"))
     groups = materialize(groups.where("to < last").select("key", "to"))
-    by_fields = keyed.join(groups, "key").where("to < doc").select("id", "to")
-
-    # Agreement token by token with the earliest lines that share a field.
-    held = shared.where("size > 1").select("key", "id", "first")
-    turn = F.row_number().over(W.partitionBy("key").orderBy("first", "id"))
-    heads = held.withColumn("turn", turn).where(F.col("turn") <= EARLIEST)
-    heads = materialize(heads.select("key", F.col("id").alias("head"), F.col("first").alias("h_first")))
-    pairs = held.join(heads, "key").where("h_first.doc < first.doc")
-    pairs = materialize(pairs.select("id", "head", F.col("h_first.doc").alias("to")).distinct())
+    by_fields = keyed.join(groups, "key").where("to < doc").groupBy("id").agg(F.min("to").alias("to"))
+    by_fields = materialize(by_fields)
+
+    # Agreement token by token with the lines of an equal field that are earlier than the document found so far.
+    pairs = materialize(_earlier_pairs(distinct, by_fields, similar))
     tokens = distinct.select("id", "n", "tokens")
     met = pairs.join(tokens, "id").join(tokens.select(F.col("id").alias("head"), F.col("tokens").alias("others")), "head")
     same = F.size(F.filter(F.zip_with("tokens", "others", lambda a, b: a == b), lambda x: x))
@@ -143,17 +140,25 @@ def first_documents(lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return first.join(distinct.select("id", "leaf", "line_hash"), "id").select("leaf", "line_hash", "to")
 
 
-def _shared_fields(distinct: DataFrame) -> DataFrame:
-    """(key, id, first, place, size): the fields of lines that other lines of their leaf have too."""
+def _earlier_pairs(distinct: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+    """(id, head, to): lines with each line of an earlier document, before the one found, that may be of their template."""
     tail = F.greatest(F.col("n") - DEPTH, F.lit(0))
-    size = lambda i: _cut(i + 1, tail) - _cut(i, tail)
-    cells = [
-        F.when(size(i) > 0, F.struct(F.lit(i).alias("place"), size(i).alias("size"), F.xxhash64("leaf", F.lit(i), f"f{i}").alias("key")))
-        for i in range(FIELDS)
-    ]
-    held = distinct.select("id", "first", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("id", "first", "x.*")
-    several = held.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    return held.join(materialize(several), "key")
+    # Rounding may only let more tokens differ here; pairs are compared exactly later.
+    asked = F.greatest(F.ceil(F.lit(similar) * F.col("n") - 1e-6) - F.least(F.col("n"), F.lit(DEPTH)), F.floor(tail / 2) + 1)
+    fields = (tail - asked + 1).cast("int")
+    cell = lambda i: F.xxhash64("leaf", i, _field(i, tail, F.col("parts")))
+    # Lines of one template that may not differ are one line.
+    held = distinct.withColumn("parts", fields).where("parts > 1")
+    held = held.select("id", "doc", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell)).alias("key"))
+    held = held.join(found, "id", "left").select("key", "id", "doc", F.least("doc", "to").alias("until"))
+    crowds = held.groupBy("key").agg(F.min("doc").alias("low"), F.max("until").alias("high"), F.count("*").alias("size"))
+    held = held.join(materialize(crowds.where("low < high")), "key").withColumn("parts", F.ceil(F.col("size") / CROWD).cast("int"))
+    held = materialize(held.where("low < until or doc < high"))
+    late = held.where("low < until").select("key", "id", "until", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    early = held.where("doc < high").select(
+        "key", F.col("id").alias("head"), F.col("doc").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    return late.join(early, ["key", "part"]).where("to < until").select("id", "head", "to").distinct()
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -20,9 +20,6 @@ def _line_dedup() -> str:
     enough = f"least(n, {lines.DEPTH}) + agreed >= {lines.SIMILAR} * n AND 2 * agreed > {tail}"
     values = ", ".join(f"CASE WHEN {bit(i)} THEN f{i} END AS k{i}" for i in fields)
     keys = ", ".join(f"k{i}" for i in fields)
-    shared = " UNION ALL ".join(
-        f"SELECT leaf, masked, doc, line_no, n, tokens, {i} AS i, f{i} AS f FROM line WHERE {size(i)} > 1" for i in fields
-    )
     return rf"""
 WITH cut AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
@@ -49,13 +46,11 @@ sets AS MATERIALIZED (
 grouped AS (SELECT leaf, masked, doc, mask, {values} FROM line JOIN sets USING (n)),
 by_fields AS (
   SELECT leaf, masked, doc, min(doc) OVER (PARTITION BY leaf, mask, {keys}) AS target FROM grouped),
-held AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY leaf, i, f ORDER BY doc, line_no, masked) AS turn FROM ({shared})),
 by_tokens AS (
   SELECT leaf, masked, target FROM (
     SELECT x.leaf, x.masked, h.doc AS target, x.n,
            len(list_filter(list_zip(x.tokens, h.tokens), lambda p: p[1] = p[2])) - least(x.n, {lines.DEPTH}) AS agreed
-    FROM held x JOIN held h ON x.leaf = h.leaf AND x.i = h.i AND x.f = h.f AND h.turn <= {lines.EARLIEST} AND h.doc < x.doc)
+    FROM line x JOIN line h ON x.leaf = h.leaf AND h.doc < x.doc)
   WHERE {enough}),
 near AS (
   SELECT leaf, masked, min(target) AS target FROM (
