@@ -97,3 +97,6 @@ MAX_RANGES = 16_384  # ranges of an ordered operator; bounds every carry table
 BROADCAST_ROWS = 100_000  # largest lookup that is broadcast, checked by a count
 QUERY_BLOCK = 1024  # query vectors that are handed to all tasks, or scored at once in one
 VECTOR_CELL = 8192  # vectors of either side that one task scores against each other
+GRID_PARTS = 16  # parts of a side of the grid, as each vector is copied for all parts of the other side
+LARGEST_CELL = 32_768  # vectors of a part from which on there are more parts instead
+SCORE_BLOCK = 4_194_304  # scores that a task holds at once

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import COLUMN_QUERY, DEFAULTS, QUERY_BLOCK, VECTOR_CELL, Thresholds
+from ..config import COLUMN_QUERY, DEFAULTS, GRID_PARTS, LARGEST_CELL, QUERY_BLOCK, SCORE_BLOCK, VECTOR_CELL, Thresholds
 from ..functions.columns import ref, types_of
 from ..session import materialize
 
@@ -141,23 +141,33 @@ def _best(candidates: pd.DataFrame, ids: list[str], k: int) -> pd.DataFrame:
     return order.groupby("query_id", sort=False).head(k)
 
 
+def _floors(block: np.ndarray, k: int) -> np.ndarray:
+    """A score for each query that its ``k`` best reach: the k-th of the best of stretches."""
+    if block.shape[1] <= k:
+        return np.full(len(block), -np.inf)
+    best = np.maximum.reduceat(block, np.arange(0, block.shape[1], max(1, block.shape[1] // (16 * k))), axis=1)
+    return np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] - 1e-9  # more than rounding moves
+
+
+def _parts(rows: int, cell: int) -> int:
+    """Parts of one side of the grid: GRID_PARTS at most, until a part has LARGEST_CELL vectors."""
+    return max(1, math.ceil(rows / max(cell, min(LARGEST_CELL, math.ceil(rows / GRID_PARTS)))))
+
+
 def _nearest(part: pd.DataFrame, names: Sequence, units: np.ndarray, kept: list[str], ids: list[str], k: int) -> pd.DataFrame:
     """At most ``k`` rows of ``part`` for each query; equal scores take the smaller ids."""
     part = part.sort_values(ids, kind="stable", ignore_index=True)
     corpus, rows, columns, scores = _unit_rows(part["vector"]), [], [], []
-    for at in range(0, len(names), QUERY_BLOCK):
-        block = np.round(corpus @ units[at : at + QUERY_BLOCK].T, 10)  # equal vectors score alike
-        if len(part) > k:
-            floors = np.partition(block, len(part) - k, axis=0)[len(part) - k]
-        for j in range(block.shape[1]):
-            column = block[:, j]
-            picks = np.arange(len(part))
-            if len(part) > k:
-                above = np.flatnonzero(column > floors[j])
-                picks = np.concatenate([above, np.flatnonzero(column == floors[j])[: k - len(above)]])
-            rows.append(picks)
-            columns.append(np.full(len(picks), at + j))
-            scores.append(column[picks])
+    step = max(1, min(QUERY_BLOCK, SCORE_BLOCK // len(part)))
+    for at in range(0, len(names), step):
+        block = units[at : at + step] @ corpus.T
+        column, row = np.nonzero(block >= _floors(block, k)[:, None])
+        score = np.round(block[column, row], 10)  # equal vectors score alike
+        order = np.lexsort((row, -score, column))
+        picks = order[np.arange(len(order)) - np.searchsorted(column, column) < k]
+        rows.append(row[picks])
+        columns.append(column[picks] + at)
+        scores.append(score[picks])
     found = part[kept].iloc[np.concatenate(rows)].reset_index(drop=True)
     found.insert(0, "score", np.concatenate(scores))
     found.insert(0, "query_id", pd.Series(names, dtype=object).iloc[np.concatenate(columns)].to_numpy())
@@ -178,7 +188,7 @@ def top_matches(
 
     Up to ``block`` queries, by a count, are handed to all tasks: every corpus row is scored where it
     lies, and no vector is shuffled. More queries meet the corpus on a grid: both sides are
-    dealt into parts of about ``cell`` vectors, and each part of the queries is scored against each part
+    dealt into parts of about ``cell`` vectors, of more where there would be many parts, and each part of the queries is scored against each part
     of the corpus in a task of its own, which keeps k rows a query. Either way only those are merged.
     The score floor applies after the top k, as part of the result. Scores are compared to ten digits; of
     equal ones the smaller ids are nearer.
@@ -232,7 +242,7 @@ def _scored_on_grid(
 ) -> DataFrame:
     """Each part of the corpus against each part of the queries, in a task that holds one of both."""
     rows, asked = materialize(rows), materialize(asked)
-    across, down = (max(1, math.ceil(side.count() / cell)) for side in (rows, asked))
+    across, down = (_parts(side.count(), cell) for side in (rows, asked))
 
     def dealt(side: DataFrame, parts: int, others: int, mine: str, other: str) -> DataFrame:
         # Repeated rows are dealt apart too.

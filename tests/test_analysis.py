@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,3 +404,26 @@ def test_word_vectors_equal_plain_weights(spark):
     for i, values in raw.items():
         size = math.sqrt(sum(v * v for v in values)) or 1.0
         assert np.allclose(got[i], [v / size for v in values], atol=1e-6)
+
+
+def test_parts_of_the_grid_are_few():
+    """Every vector is copied once for each part of the other side."""
+    assert [retrieval._parts(n, 512) for n in (0, 100, 2000, 120_000, 524_288)] == [1, 1, 4, 16, 16]
+    assert retrieval._parts(10_000_000, 512) == math.ceil(10_000_000 / 32_768)
+
+
+@pytest.mark.parametrize("scores", [1, 50, 4_194_304])
+def test_nearest_equal_all_scores(monkeypatch, scores):
+    monkeypatch.setattr(retrieval, "SCORE_BLOCK", scores)
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(40, 3)), 1)
+    vectors = np.concatenate([vectors, vectors[:20], np.zeros((3, 3)), vectors[:5] * 2])  # equal vectors and scores
+    part = pd.DataFrame({"id": rng.permutation(len(vectors)), "vector": list(vectors)})
+    for size in (1, 3, 20, len(part)):
+        some = part.head(size).reset_index(drop=True)
+        got = retrieval._nearest(some, list(range(9)), retrieval._unit_rows(vectors[:9]), ["id"], ["id"], 3)
+        every = np.round(retrieval._unit_rows(vectors[:9]) @ retrieval._unit_rows(some["vector"]).T, 10)
+        for q in range(9):
+            want = sorted(zip(-every[q], some["id"]))[:3]
+            mine = got[got["query_id"] == q]
+            assert list(zip(-mine["score"], mine["id"])) == want
