@@ -6,11 +6,13 @@ one template if at least ``similar`` of their tokens agree, place by place, and
 leading ones, which a leaf has in common by definition. A leaf holds as many templates as its
 lines need, so a foreign line undoes none.
 
-Lines of a leaf meet without being paired. The tokens after the leading ones are cut into a fixed number of fields.
+Lines of a leaf meet without being paired. Each is compared with the earliest line of its leaf; most leaves hold
+one template and end there. In the others the tokens after the leading ones are cut into a fixed number of fields.
 Lines that agree in any set of fields that is enough by itself are one template: each smallest such
 set is a group. Scattered differences are found by shorter fields: lines of one template differ in a
 bounded number of tokens after the leading ones, so of one field more than that at least one is equal. A line is compared, token by
-token, with every line of such an equal field that would take it to an earlier document; no line of a template is missed. Lines of
+token, with the earlier lines of such an equal field, the earliest of them first and more in each round, until none is
+left that would take it to an earlier document; no line of a template is missed. Lines of
 a field that very many share are dealt into parts.
 
 A template in two documents or more recurs. Its lines stay in the document with the
@@ -43,6 +45,8 @@ FIELDS = 8
 SIMILAR = 0.7
 LEAVES = 1_000_000  # leaves with different lines that are handed to all tasks, 16 MB; more are joined by a shuffle
 CROWD = 10_000  # lines of a shared field that are compared with others in one task
+HEADS = 4  # lines of a shared field that others are compared with in the first round
+MORE_HEADS = 8  # times as many in each round after it
 VARIABLE = "<*>"
 # A whole token with a digit in it. The quantifiers never go back, so long tokens cost linear time.
 FIELD_TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
@@ -118,47 +122,100 @@ def first_documents(lines: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # The ids are fixed by writing them.
     distinct = materialize(distinct.withColumns({"id": F.monotonically_increasing_id(), "cells": cells}))
 
+    # Agreement with the earliest line of the leaf; nothing is earlier for the lines that agree.
+    heads = distinct.groupBy("leaf").agg(F.min(F.struct("doc", "id", "tokens")).alias("head"), F.max("doc").alias("last"))
+    heads = heads.where(F.col("head.doc") < F.col("last"))
+    heads = materialize(heads.select("leaf", F.col("head.doc").alias("to"), F.col("head.tokens").alias("others")))
+    met = distinct.join(heads, "leaf").where("to < doc")
+    met = materialize(met.select("id", "leaf", "to", _same_template(similar).alias("agrees")))
+    by_leaf = met.where("agrees").select("id", "to")
+    several = materialize(met.where("not agrees").select("leaf").distinct())
+    rest = materialize(distinct.join(several, "leaf", "left_semi"))
+
     # Agreement in whole fields.
-    sets = materialize(_field_sets(distinct.select("n").distinct(), similar))
+    sets = materialize(_field_sets(rest.select("n").distinct(), similar))
     bit = lambda i: F.col("fields").bitwiseAND(1 << i) != 0
     key = F.xxhash64("leaf", "fields", *(F.when(bit(i), F.get("cells", F.lit(i))) for i in range(FIELDS)))
-    keyed = distinct.select("id", "leaf", "doc", "n", "cells").join(sets, "n")
+    keyed = rest.select("id", "leaf", "doc", "n", "cells").join(sets, "n")
     keyed = materialize(keyed.select("id", "doc", key.alias("key")))
     groups = keyed.groupBy("key").agg(F.min("doc").alias("to"), F.max("doc").alias("last"))
     groups = materialize(groups.where("to < last").select("key", "to"))
     by_fields = keyed.join(groups, "key").where("to < doc").groupBy("id").agg(F.min("to").alias("to"))
-    by_fields = materialize(by_fields)
-
-    # Agreement token by token with the lines of an equal field that are earlier than the document found so far.
-    pairs = materialize(_earlier_pairs(distinct, by_fields, similar))
-    tokens = distinct.select("id", "n", "tokens")
-    met = pairs.join(tokens, "id").join(tokens.select(F.col("id").alias("head"), F.col("tokens").alias("others")), "head")
-    same = F.size(F.filter(F.zip_with("tokens", "others", lambda a, b: a == b), lambda x: x))
-    by_tokens = met.where(_enough(same - F.least(F.col("n"), F.lit(DEPTH)), F.col("n"), similar)).select("id", "to")
+    found = materialize(_earliest(by_leaf.unionByName(by_fields)))
 
-    first = by_fields.unionByName(by_tokens).groupBy("id").agg(F.min("to").alias("to"))
+    first = _earliest(found.unionByName(_by_tokens(rest, found, similar)))
     return first.join(distinct.select("id", "leaf", "line_hash"), "id").select("leaf", "line_hash", "to")
 
 
-def _earlier_pairs(distinct: DataFrame, found: DataFrame, similar: float) -> DataFrame:
-    """(id, head, to): lines with each line of an earlier document, before the one found, that may be of their template."""
+def _earliest(found: DataFrame) -> DataFrame:
+    return found.groupBy("id").agg(F.min("to").alias("to"))
+
+
+def _same_template(similar: float) -> Column:
+    """Whether lines of one leaf, ``tokens`` and ``others``, are of one template."""
+    same = F.size(F.filter(F.zip_with("tokens", "others", lambda a, b: a == b), lambda x: x))
+    n = F.size("tokens")
+    return _enough(same - F.least(n, F.lit(DEPTH)), n, similar)
+
+
+def _by_tokens(lines: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+    """(id, to): agreement token by token with the lines of an equal field, before the document found so far.
+
+    In rounds: each round takes a few of the earliest lines of every field as heads, more in each. A line that agrees
+    with a head has no use for later ones, so only lines without a template meet all earlier lines of their fields.
+    """
+    late, early = _sharing_lines(lines, found, similar)
+    tokens = lines.select("id", "tokens")
+    others = lines.select(F.col("id").alias("head"), F.col("tokens").alias("others"))
+    result, wanted = found.limit(0), HEADS
+    while not late.isEmpty():
+        heads = early.groupBy("key", F.pmod(F.xxhash64("head"), F.lit(wanted)).alias("slot")).agg(
+            F.min(F.struct("to", "head")).alias("first"), F.max("parts").alias("parts")
+        )
+        heads = materialize(heads.select("key", "first.to", "first.head", "parts"))
+        dealt = heads.select("key", "to", "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        part = F.pmod(F.xxhash64("id"), "parts").cast("int")
+        pairs = late.select("key", "id", "until", part.alias("part")).join(dealt, ["key", "part"])
+        pairs = materialize(pairs.where("to < until").select("id", "head", "to").distinct())
+        met = pairs.join(tokens, "id").join(others, "head").where(_same_template(similar))
+        agreed = materialize(_earliest(met.select("id", "to")))
+        result = result.unionByName(agreed)
+
+        late = late.join(agreed, "id", "left").select("key", "id", F.least("until", "to").alias("until"), "parts")
+        early = early.join(heads.select("key", "head"), ["key", "head"], "left_anti")
+        late, early = _open_fields(late, early)
+        wanted *= MORE_HEADS
+    return result
+
+
+def _sharing_lines(lines: DataFrame, found: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(key, id, until, parts) and (key, head, to, parts): by equal field, lines that may be of the template of a line
+    of a document before the one found, and these lines."""
     tail = F.greatest(F.col("n") - DEPTH, F.lit(0))
     # Rounding may only let more tokens differ here; pairs are compared exactly later.
     asked = F.greatest(F.ceil(F.lit(similar) * F.col("n") - 1e-6) - F.least(F.col("n"), F.lit(DEPTH)), F.floor(tail / 2) + 1)
     fields = (tail - asked + 1).cast("int")
     cell = lambda i: F.xxhash64("leaf", i, _field(i, tail, F.col("parts")))
     # Lines of one template that may not differ are one line.
-    held = distinct.withColumn("parts", fields).where("parts > 1")
+    held = lines.withColumn("parts", fields).where("parts > 1")
     held = held.select("id", "doc", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell)).alias("key"))
     held = held.join(found, "id", "left").select("key", "id", "doc", F.least("doc", "to").alias("until"))
     crowds = held.groupBy("key").agg(F.min("doc").alias("low"), F.max("until").alias("high"), F.count("*").alias("size"))
     held = held.join(materialize(crowds.where("low < high")), "key").withColumn("parts", F.ceil(F.col("size") / CROWD).cast("int"))
     held = materialize(held.where("low < until or doc < high"))
-    late = held.where("low < until").select("key", "id", "until", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
-    early = held.where("doc < high").select(
-        "key", F.col("id").alias("head"), F.col("doc").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    return late.join(early, ["key", "part"]).where("to < until").select("id", "head", "to").distinct()
+    late = held.where("low < until").select("key", "id", "until", "parts")
+    return late, held.where("doc < high").select("key", F.col("id").alias("head"), F.col("doc").alias("to"), "parts")
+
+
+def _open_fields(late: DataFrame, early: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of both sides where a field holds a line before the document found so far."""
+    late, early = materialize(late), materialize(early)
+    low = early.groupBy("key").agg(F.min("to").alias("low"))
+    high = late.groupBy("key").agg(F.max("until").alias("high"))
+    bounds = materialize(low.join(high, "key").where("low < high"))
+    late = late.join(bounds, "key").where("low < until").select("key", "id", "until", "parts")
+    early = early.join(bounds, "key").where("to < high").select("key", "head", "to", "parts")
+    return materialize(late), materialize(early)
 
 
 def dropped_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -299,3 +299,26 @@ def test_line_dedup_misses_no_line_of_a_template(spark, monkeypatch, crowd):
     want = {i: int(any(near(a, b) for b in cut[:i])) for i, a in enumerate(cut)}
     assert sum(want.values()) >= 3
     assert got == want
+
+
+def test_lines_of_a_template_are_not_paired_with_each_other(spark, monkeypatch):
+    """The lines that meet grow with the lines of a template, not with their square."""
+    rng = random.Random(3)
+    lines = []
+    for i in range(200):
+        tail = [f"{'xy'[i % 2]}{'abcdefghijklmnopqrstuvwxyzA'[k]}" for k in range(27)]
+        for k in rng.sample(range(27), 4):
+            tail[k] = "other" + "".join(rng.choices("abcdef", k=8))
+        lines.append(" ".join(["the", "page", "of", *tail]))
+    met, write = [], line_dedup.materialize
+
+    def counted(df):
+        out = write(df)
+        if out.columns == ["id", "head", "to"]:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs_of(spark, lines)).collect()}
+    assert got == {i: int(i > 1) for i in range(200)}
+    assert sum(met) <= 5 * len(lines)
