@@ -119,7 +119,7 @@ def _narrow(work: DataFrame, targets: list[_Target], limit: int, sketch_k: int)
                     F.count_if(x < F.lit(low)).alias(f"b{i}"),
                     F.count_if(x <= F.lit(high)).alias(f"u{i}"),
                 ]
-            row = work.agg(*checks).first()
+            row = _evaluated(work, group).agg(*checks).first()
             crowded = []
             for i, (target, (low, high)) in enumerate(zip(group, proposals)):
                 below, upto = row[f"b{i}"], row[f"u{i}"]
@@ -136,6 +136,16 @@ def _narrow(work: DataFrame, targets: list[_Target], limit: int, sketch_k: int)
                 _discount_ends(work, crowded)
 
 
+def _evaluated(work: DataFrame, targets: Sequence[_Target]) -> DataFrame:
+    """The columns of the targets, each computed once a row, however often a pass names it.
+
+    Conditions on what a generator returns stay behind it; otherwise a filter repeats the expression, which may
+    read numbers from text, for every end of every bracket.
+    """
+    columns = list(dict.fromkeys(t.column for t in targets))
+    return work.select(F.stack(F.lit(1), *columns).alias(*columns))
+
+
 def _discount_ends(work: DataFrame, targets: list[_Target]) -> None:
     """A hot value at an end of a bracket is one value; count only what lies between."""
     row = work.agg(
@@ -170,7 +180,7 @@ def _propose(
                 F.array(*[F.lit(r) for r in ranks]),
             ).alias(f"k{i}")
         )
-    row = work.agg(*sketches).first()
+    row = _evaluated(work, group).agg(*sketches).first()
     proposals = []
     for t in group:
         i, at = asked[id(t)]
@@ -191,7 +201,7 @@ def _select(work: DataFrame, targets: list[_Target]) -> dict[tuple[str, float],
                         f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY v{i})"
                     ).alias(f"{end}{i}")
                 )
-        narrowed = work.select(
+        narrowed = _evaluated(work, group).select(
             *[F.when(t.within(), F.col(t.column)).alias(f"v{i}") for i, t in enumerate(group)]
         ).filter(F.coalesce(*[f"v{i}" for i in range(len(group))]).isNotNull())
         row = narrowed.agg(*aggs).first()

@@ -12,6 +12,7 @@ from plumbline.functions import counts
 from plumbline.functions.columns import as_double
 from plumbline.functions.counts import bounded_distinct, distinct_counts, modes, top_values, value_frequencies
 from plumbline.functions.leading import first_values, leading_values
+from plumbline.functions.parsing import parse_number
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.functions.stats import adjusted_skew, correlation_p_value
 from plumbline.operators import merge
@@ -151,6 +152,22 @@ def test_quantiles_direct_and_narrowed_agree(spark):
     assert direct["none"] == [None, None, None]
 
 
+def test_quantiles_compute_each_value_once_a_row(spark, monkeypatch):
+    """Text that holds numbers is read once a pass, not for each end of each bracket."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).cast("string").alias("x")).repartition(2)
+    plans, first = [], type(df).first
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return first(frame)
+
+    monkeypatch.setattr(type(df), "first", seen)
+    found = exact_quantiles(df, {"x": parse_number(F.col("x"))}, [0.25, 0.5, 0.75], direct_rows=100)["x"]
+    data = sorted(i * 7919 % 5003 for i in range(5000))
+    assert found == pytest.approx([_interpolated(data, p) for p in (0.25, 0.5, 0.75)])
+    assert len(plans) >= 4 and max(p.count("RLIKE") for p in plans) == 1
+
+
 def test_leading_values_of_sparse_columns(spark):
     df = spark.range(5000).select(
         "id",
